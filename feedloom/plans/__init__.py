@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import dealt
+from feedloom.plans import dealt, scans
 
-MODULES = [dealt]
+MODULES = [dealt, scans]
 
 
 def core_queries() -> dict:
