@@ -3,8 +3,8 @@
 The chain moves from the loser of a comparison to its winner. The rate from j
 to i is (wins of i over j) / (strength i + strength j): normalised so that
 neither many comparisons nor strong opponents bias it. Every item is also
-smoothed by ``smoothing`` wins and losses against a virtual item of strength 1,
-which connects the chain and keeps unbeaten items finite. A step of the power
+smoothed by ``smoothing`` wins and losses against a virtual item of mean (log)
+strength, which connects the chain and keeps unbeaten items finite. A step of the power
 iteration moves the present strengths along these rates and divides what
 arrives at an item by the rate at which it leaves; the stationary distribution,
 where both agree, is the maximum of the (smoothed) Bradley-Terry likelihood.
@@ -22,6 +22,8 @@ name.
 
 from __future__ import annotations
 
+import math
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -71,9 +73,12 @@ def feed_comparisons(kills: DataFrame, placements: DataFrame) -> DataFrame:
 
 
 def item_strengths(
-    comparisons: DataFrame, smoothing: float = 0.5, tolerance: float = 1e-3, most_steps: int = 60, broadcast_items: int = 1_000_000
+    comparisons: DataFrame, smoothing: float = 0.5, tolerance: float = 0.02, most_steps: int = 60, broadcast_items: int = 1_000_000
 ) -> DataFrame:
-    """(item, strength) of all items in ``comparisons`` (winner, loser, weight)."""
+    """(item, strength) of all items in ``comparisons`` (winner, loser, weight); the mean log strength is 0.
+
+    The steps end when no log strength moves by more than ``tolerance`` against their mean.
+    """
     clean = comparisons.select(F.trim("winner").alias("winner"), F.trim("loser").alias("loser"), F.col("weight").cast("double").alias("w"))
     sums = materialize(
         clean.where("winner <> '' and loser <> '' and winner <> loser and w > 0").groupBy("winner", "loser").agg(F.sum("w").alias("w")),
@@ -93,7 +98,7 @@ def item_strengths(
     if not small:
         by_id = by_id.repartition("a")
     by_id = by_id.persist(StorageLevel.MEMORY_AND_DISK)  # lost parts are read again from the written table
-    now = materialize(items.select("i", F.lit(1.0).alias("s")), "strengths")
+    now, mean = materialize(items.select("i", F.lit(1.0).alias("s")), "strengths"), 1.0
     for _ in range(most_steps if n else 0):
         side = F.broadcast(now) if small else now
         flows = (
@@ -111,17 +116,18 @@ def item_strengths(
             .groupBy("i")
             .agg(F.sum("into").alias("into"), F.sum("out").alias("out"))
         )
-        virtual = F.lit(smoothing) / (F.col("s") + 1)
+        virtual = F.lit(smoothing) / (F.col("s") + F.lit(mean))
         after = materialize(
-            flows.join(now, "i").select("i", ((F.col("into") + virtual) / (F.col("out") + virtual)).alias("s"), F.col("s").alias("was")),
+            flows.join(now, "i").select("i", ((F.col("into") + virtual * F.lit(mean)) / (F.col("out") + virtual)).alias("s"), F.col("s").alias("was")),
             "strengths",
         )
-        moved = after.agg(F.max(F.abs(F.log("s") - F.log("was")))).first()[0]
-        now = after.select("i", "s")
-        if moved < tolerance:
+        change = F.log("s") - F.log("was")
+        most, least, drift, level = after.agg(F.max(change), F.min(change), F.avg(change), F.avg(F.log("s"))).first()
+        now, mean = after.select("i", "s"), math.exp(level)
+        if max(most - drift, drift - least) < tolerance:
             break
     by_id.unpersist()
-    return items.join(now, "i").select("item", F.col("s").alias("strength"))
+    return items.join(now, "i").select("item", (F.col("s") / F.lit(mean)).alias("strength"))
 
 
 def distributed_rank(strengths: DataFrame) -> DataFrame:
