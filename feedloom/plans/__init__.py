@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import dealt, scans
+from feedloom.plans import dealt, relational, scans
 
-MODULES = [dealt, scans]
+MODULES = [dealt, scans, relational]
 
 
 def core_queries() -> dict:
