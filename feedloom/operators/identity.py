@@ -37,3 +37,59 @@ def merge_placements(placements: DataFrame, alias: DataFrame) -> DataFrame:
     named = placements.join(alias, "player", "left").withColumn("_own", F.col("canonical").isNull()).withColumn("_to", F.coalesce("canonical", "player"))
     first = F.row_number().over(Window.partitionBy("match_id", "_to").orderBy(F.desc("_own"), "player"))
     return named.withColumn("_n", first).where("_n = 1").withColumn("player", F.col("_to")).drop("_own", "_to", "_n", "canonical")
+
+
+LEAST_LENGTH = 4
+SAME_PREFIX, OTHER_PREFIX = 0.70, 0.82
+
+
+def similar_names(players: DataFrame) -> DataFrame:
+    """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82.
+
+    A ratio of t over names of lengths x <= y needs at least t (x + y) / 2
+    common letters in order, so at t = 0.82 names of length 4 to 9 share their
+    first or last quarter or a bigram nearby; candidates meet under a shared
+    prefix or under letter trigrams. Length and letter-count bounds come before
+    the ratio, which is taken with the player of more matches first.
+    """
+    from feedloom.functions.similarity import length_bound, ratio
+
+    n = players.select("player", "matches_played", F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
+    grams = F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))
+    keys = n.withColumn("keys", F.array_distinct(grams)).withColumn("key", F.explode("keys"))
+    a = keys.select("key", *(F.col(c).alias(f"{c}_a") for c in ("player", "matches_played", "low", "keys")))
+    b = keys.select("key", *(F.col(c).alias(f"{c}_b") for c in ("player", "matches_played", "low", "keys")))
+    ahead = (F.col("matches_played_a") > F.col("matches_played_b")) | ((F.col("matches_played_a") == F.col("matches_played_b")) & (F.col("player_a") < F.col("player_b")))
+    prefix = F.substring("low_a", 1, 3) == F.substring("low_b", 1, 3)
+    once = F.col("key") == F.array_intersect("keys_a", "keys_b")[0]
+    bound = F.when(prefix, length_bound("low_a", "low_b", SAME_PREFIX)).otherwise(length_bound("low_a", "low_b", OTHER_PREFIX))
+    pairs = a.join(b, "key").where(ahead & once & bound).select("player_a", "player_b", "low_a", "low_b", prefix.alias("prefix"))
+    scored = pairs.withColumn("r", ratio("low_a", "low_b"))
+    return scored.where(F.col("r") >= F.when(F.col("prefix"), SAME_PREFIX).otherwise(OTHER_PREFIX)).select(F.col("player_a").alias("a"), F.col("player_b").alias("b"))
+
+
+def key_edges(players: DataFrame) -> DataFrame:
+    """Names of one confusion key, each tied to the first of its group."""
+    from pyspark.sql import Window
+
+    from feedloom.functions.text import confusion_key
+
+    keyed = players.select("player", confusion_key("player").alias("key")).where(F.length("key") >= LEAST_LENGTH)
+    return keyed.select("player", F.min("player").over(Window.partitionBy("key")).alias("b")).where("player <> b").select(F.col("player").alias("a"), "b")
+
+
+def base_token_edges(players: DataFrame) -> DataFrame:
+    """A name of several words tied to the name that is its first word."""
+    single = players.where(~F.contains("player", F.lit(" "))).groupBy(F.lower("player").alias("k")).agg(F.max("player").alias("b"))
+    multi = players.where(F.contains("player", F.lit(" "))).select(F.col("player").alias("a"), F.lower(F.split("player", " ")[0]).alias("k"))
+    return multi.where(F.length("k") >= LEAST_LENGTH).join(single, "k").select("a", "b")
+
+
+def cluster_names(ratings: DataFrame) -> DataFrame:
+    """(player, canonical) of names that are not their own canonical form."""
+    from feedloom.operators.graph import components
+
+    edges = similar_names(ratings).unionByName(key_edges(ratings)).unionByName(base_token_edges(ratings))
+    groups = components(edges)
+    named = ratings.select("player", "matches_played").join(groups.withColumnRenamed("member", "player"), "player")
+    return named.join(choose_canonical(named, "group"), "group").where("player <> canonical").select("player", "canonical")

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import dealt, relational, scans
+from feedloom.plans import dealt, functions, relational, scans
 
-MODULES = [dealt, scans, relational]
+MODULES = [dealt, scans, relational, functions]
 
 
 def core_queries() -> dict:
