@@ -23,6 +23,8 @@ from pyspark.sql import functions as F
 from feedloom.functions.similarity import ratio_at_least, ratio_of, same_line_distinct_victim
 
 S = 1_000_000
+#: So many independent stretches of a key share a task, for less overhead.
+STRETCHES_A_TASK = 64
 
 
 @dataclass(frozen=True)
@@ -141,7 +143,7 @@ def dedup_events(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFram
         ]
         return pdf[[c.split()[0] for c in KEPT.split(", ")]]
 
-    return placed.drop("cell").groupBy("key", "stretch").applyInPandas(run, KEPT)
+    return placed.drop("cell").groupBy("key", F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, KEPT)
 
 
 def fold_reads(kept: DataFrame) -> DataFrame:

@@ -46,11 +46,11 @@ SAME_PREFIX, OTHER_PREFIX = 0.70, 0.82
 def similar_names(players: DataFrame) -> DataFrame:
     """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82.
 
-    A ratio of t over names of lengths x <= y needs at least t (x + y) / 2
-    common letters in order, so at t = 0.82 names of length 4 to 9 share their
-    first or last quarter or a bigram nearby; candidates meet under a shared
-    prefix or under letter trigrams. Length and letter-count bounds come before
-    the ratio, which is taken with the player of more matches first.
+    Candidates meet under a shared letter trigram, which every pair with a common
+    prefix has; a pair without one is found if any stretch of three letters is
+    common, as it is for one difference in names of six letters or more. A bound
+    by length comes before the ratio, which is taken with the player of more
+    matches first.
     """
     from feedloom.functions.similarity import length_bound, ratio
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import dealt, functions, relational, scans
+from feedloom.plans import dealt, functions, relational, scans, stateful
 
-MODULES = [dealt, scans, relational, functions]
+MODULES = [dealt, scans, relational, functions, stateful]
 
 
 def core_queries() -> dict:

@@ -126,8 +126,8 @@ def f32(t: Tables) -> DataFrame:
 @R.add("ref_f33_parse_line")
 def f33(t: Tables) -> DataFrame:
     """Parsed lines beside the stored names."""
-    rows = events(t).where("r is not null").select("id", F.trim("a").alias("stored_attacker"), F.trim("v").alias("stored_victim"), X.parse_line("r", RULES).alias("p"))
-    return rows.select("id", "p.event_type", "p.attacker", "p.victim", "stored_attacker", "stored_victim")
+    rows = events(t).where("r is not null").select("id", F.trim("a").alias("stored_attacker"), F.trim("v").alias("stored_victim"), "r")
+    return X.parse_lines(rows, "r", RULES).select("id", "event_type", "attacker", "victim", "stored_attacker", "stored_victim")
 
 
 @R.add("ref_f35_noise")
