@@ -73,6 +73,8 @@ _FOLD = str.maketrans({"i": "l", "c": "e", "v": "u", "m": "rn", "w": "uu"})
 _TAG = re.compile(r"^(?:\[[^\]]*\]\s*|[A-Z]{2,5} (?=.*[a-z]))")
 _SPLIT = re.compile(r"[^0-9A-Za-z\u0080-\U0010ffff]+|(?<=[a-z0-9])(?=[A-Z])")
 _NUMBER_DIGITS = 4
+#: A first part with so many different rests, and so large a share of those of the other one, is no typing error of it.
+WORD_RESTS, WORD_SHARE = 3, 0.1
 _VOWELS = set("aeiou")
 
 
@@ -227,10 +229,10 @@ def _pet_swap(a: str, b: str, least: int) -> bool:
 def log_likelihood(canon: tuple, variant: tuple) -> float | None:
     """Log likelihood that ``canon`` was typed as ``variant``; None: never.
 
-    Both are (number, letters, word, first part, is the first part a known word).
+    Both are (number, letters, word, first part, number of different rests seen with that first part).
     """
-    number, letters_c, c, first_c, known_c = canon
-    _, letters_v, v, first_v, known_v = variant
+    number, letters_c, c, first_c, rests_c = canon
+    _, letters_v, v, first_v, rests_v = variant
     if c == v:
         return -1.0 if letters_c == letters_v else -2.0
     if len(c) == len(v) and len(c) >= 8 and v in c + c:
@@ -242,7 +244,7 @@ def log_likelihood(canon: tuple, variant: tuple) -> float | None:
         return -5.0
     if _pet_swap(c, v, least) or _pet_swap(v, c, least):
         return -5.0
-    if known_c and known_v and first_c != first_v and fold(first_c) != fold(first_v):
+    if first_c != first_v and fold(first_c) != fold(first_v) and two_words(rests_c, rests_v):
         return None
     length = min(len(c), len(v))
     most = 0 if length < 4 else 1 if length < (9 if number else 12) else 2
@@ -250,12 +252,18 @@ def log_likelihood(canon: tuple, variant: tuple) -> float | None:
     return -3.0 - 3.0 * d if d <= most else None
 
 
+def two_words(rests_a: int, rests_b: int) -> bool:
+    """Whether two first parts are words of their own: typing errors of a word are rare beside it."""
+    few, many = sorted((rests_a, rests_b))
+    return few >= WORD_RESTS and few >= WORD_SHARE * many
+
+
 def _score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         keep: list[tuple] = []
         for number, ci, name, cn, cl, cw, cf, ck, vi, vl, vw, vf, vk in zip(
-            pdf["number"], pdf["c_id"], pdf["c_name"], pdf["c_n"], pdf["c_letters"], pdf["c_word"], pdf["c_first"], pdf["c_known"],
-            pdf["id"], pdf["letters"], pdf["word"], pdf["first"], pdf["known"],
+            pdf["number"], pdf["c_id"], pdf["c_name"], pdf["c_n"], pdf["c_letters"], pdf["c_word"], pdf["c_first"], pdf["c_rests"],
+            pdf["id"], pdf["letters"], pdf["word"], pdf["first"], pdf["rests"],
         ):
             ll = log_likelihood((number, cl, cw, cf, ck), (number, vl, vw, vf, vk))
             if ll is not None:
@@ -263,12 +271,8 @@ def _score_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(keep, columns=["id", "c_id", "c_name", "posterior", "c_n"])
 
 
-def attribute(counts: DataFrame, known_from: int = 3) -> DataFrame:
-    """(name, canonical) of every spelling in ``counts`` (name, n).
-
-    ``known_from``: a first part seen with so many different rests is a word of
-    its own; a typing error never turns one such word into another.
-    """
+def attribute(counts: DataFrame) -> DataFrame:
+    """(name, canonical) of every spelling in ``counts`` (name, n)."""
     numbered = counts.select("name", "n", F.monotonically_increasing_id().alias("id"))
     parsed = materialize(
         numbered.mapInPandas(
@@ -278,19 +282,17 @@ def attribute(counts: DataFrame, known_from: int = 3) -> DataFrame:
         "spellings",
     )
     rest = F.struct("number", F.expr("substr(letters, length(first) + 1)"))
-    known = (
+    words = (
         parsed.where("first <> '' and (first <> letters or number <> '')")
         .groupBy("first")
         .agg(F.count_distinct(rest).alias("rests"))
-        .where(F.col("rests") >= known_from)
-        .select("first", F.lit(True).alias("known"))
     )
-    ready = parsed.join(known, "first", "left").select(
-        "id", "name", "n", "number", "letters", "word", "first", F.coalesce("known", F.lit(False)).alias("known"),
+    ready = parsed.join(words, "first", "left").select(
+        "id", "name", "n", "number", "letters", "word", "first", F.coalesce("rests", F.lit(0)).alias("rests"),
         F.transform("keys", lambda k: F.xxhash64(k)).alias("keys"),
     )
     blocked = ready.withColumn("key", F.explode("keys"))
-    canon = blocked.select("key", *(F.col(x).alias("c_" + x) for x in ("id", "name", "n", "number", "letters", "word", "first", "known", "keys")))
+    canon = blocked.select("key", *(F.col(x).alias("c_" + x) for x in ("id", "name", "n", "number", "letters", "word", "first", "rests", "keys")))
     pairs = (
         blocked.join(canon, "key")
         .where("number = c_number and (c_n > n or (c_n = n and c_name < name))")
