@@ -316,7 +316,8 @@ def _split_batches(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 ends.append(end)
                 texts.append(text[low:end])
                 low = end
-        yield pd.DataFrame({"doc_id": ids, "char_start": starts, "char_end": ends, "sentence": texts})
+        if ids:
+            yield pd.DataFrame({"doc_id": ids, "char_start": starts, "char_end": ends, "sentence": texts})
 
 
 def sentences(documents: DataFrame) -> DataFrame:
