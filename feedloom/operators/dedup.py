@@ -14,7 +14,7 @@ Rows without both names pass.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import astuple, dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,6 +64,14 @@ class State:
     exact: dict[tuple, tuple[int, int]] = field(default_factory=dict)
     chains: dict[str, list[Chain]] = field(default_factory=dict)
 
+    def dump(self) -> tuple:
+        """Plain values, for a state store."""
+        return list(self.exact.items()), [(k, [astuple(c) for c in v]) for k, v in self.chains.items()]
+
+    @classmethod
+    def load(cls, plain: tuple) -> State:
+        return cls(dict(plain[0]), {k: [Chain(*c) for c in v] for k, v in plain[1]})
+
     def prune(self, now: int, rules: DedupRules) -> None:
         self.exact = {k: v for k, v in self.exact.items() if now - v[0] <= rules.exact_us}
         self.chains = {k: live for k, c in self.chains.items() if (live := [x for x in c if now - x.last < rules.chain_gap_us])}
@@ -162,7 +170,8 @@ def stream_dedup(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFram
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def run(key: tuple, batches: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
-        state, waiting = pickle.loads(held.get[0]) if held.exists else (State(), [])
+        plain, waiting = pickle.loads(held.get[0]) if held.exists else (State().dump(), [])
+        state = State.load(plain)
         for pdf in batches:
             waiting += list(pdf[[c.split()[0] for c in READS.split(", ")]].itertuples(index=False, name=None))
         mark = held.getCurrentWatermarkMs() * 1000
@@ -170,7 +179,7 @@ def stream_dedup(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFram
         waiting = [r for r in waiting if r[2] > mark]
         out = [(*r, step(state, r[2], r[1], r[3], r[4], r[5], rules)) for r in ready]
         if waiting or state.exact or state.chains:
-            held.update((pickle.dumps((state, waiting)),))
+            held.update((pickle.dumps((state.dump(), waiting)),))
             soonest = min([r[2] for r in waiting], default=mark + rules.chain_gap_us) // 1000 + 1
             held.setTimeoutTimestamp(max(soonest, held.getCurrentWatermarkMs() + 1))
         else:

@@ -181,4 +181,41 @@ def st10(t: Tables) -> DataFrame:
     return a.select("anchor").join(hits, "anchor", "left").select("anchor", F.coalesce("seen", F.lit(0)).cast("long").alias("seen"))
 
 
+_LIVE = """
+with e as (select lower(trim(streamer)) as key, timestamp as ts, id from feed_events where timestamp is not null and trim(streamer) <> ''),
+f as (select *, case when ts - lag(ts) over (partition by key order by ts, id) <= interval 90 second then 0 else 1 end as opens from e),
+g as (select *, sum(opens) over (partition by key order by ts, id rows unbounded preceding) as n from f)
+select key, min(ts) as start_time, max(ts) as end_time, count(*) as events from g group by key, n"""
+
+
+@R.add("ref_st17_session_window", _LIVE)
+def st17(t: Tables) -> DataFrame:
+    """Sessions by the built-in session window: 90 seconds apart is together, as in the reference form."""
+    rows = t.feed_events.select(F.lower(F.trim("streamer")).alias("key"), F.col("timestamp").cast("timestamp").alias("ts")).where("ts is not null and key <> ''")
+    out = rows.groupBy("key", F.session_window("ts", "90 seconds")).agg(F.min("ts").alias("s"), F.max("ts").alias("e"), F.count("*").alias("events"))
+    return out.select("key", F.col("s").cast("timestamp_ntz").alias("start_time"), F.col("e").cast("timestamp_ntz").alias("end_time"), "events")
+
+
+@R.add("ref_st17_live_sessions", _LIVE)
+def st17b(t: Tables) -> DataFrame:
+    """The same as a stream over the files of the table, run until it has seen them all."""
+    from feedloom.session import fresh_path
+    from feedloom.streaming.live import live_sessions
+
+    out, state = fresh_path(t.spark, "live-sessions"), fresh_path(t.spark, "live-state")
+    source = t.spark.readStream.schema(t.feed_events.schema).option("maxFilesPerTrigger", 16).parquet(f"{t.folder}/feed_events.parquet*")
+    events = source.select("streamer", F.col("timestamp").cast("timestamp").alias("ts")).where("ts is not null")
+    query = (
+        live_sessions(events)
+        .writeStream.outputMode("complete")
+        .option("checkpointLocation", state)
+        .trigger(availableNow=True)
+        .foreachBatch(lambda batch, n: batch.write.mode("overwrite").parquet(out))
+        .start()
+    )
+    query.awaitTermination()
+    rows = t.spark.read.parquet(out)
+    return rows.select("key", F.col("start_time").cast("timestamp_ntz").alias("start_time"), F.col("end_time").cast("timestamp_ntz").alias("end_time"), "events")
+
+
 QUERIES, ORACLE = R.queries, R.oracle
