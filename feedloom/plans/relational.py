@@ -38,9 +38,9 @@ def j2(t: Tables) -> DataFrame:
 
 
 @R.add("ref_j3_event_trace", """
-select k.id, k.source_event_id, m.match_id, m.streamer, m.start_time from match_kills k join matches m on m.match_id = k.match_id where k.source_event_id between 100 and 400""")
+select k.id, k.source_event_id, m.match_id, m.streamer, m.start_time from match_kills k join matches m on m.match_id = k.match_id where k.source_event_id is not null""")
 def j3(t: Tables) -> DataFrame:
-    k = t.match_kills.where("source_event_id between 100 and 400").select("id", "source_event_id", "match_id")
+    k = t.match_kills.where("source_event_id is not null").select("id", "source_event_id", "match_id")
     return k.join(t.matches.select("match_id", "streamer", "start_time"), "match_id")
 
 

@@ -193,7 +193,7 @@ def p22(t: Tables) -> DataFrame:
     return t.player_ratings.where(F.lower("player") == "pacebot_meridian").select("player", "elo")
 
 
-@R.add("ref_p23_mismatch", "select id, coalesce(raw_text <> canonical, false) as differs from feed_events where id % 1 = 0")
+@R.add("ref_p23_mismatch", "select id, coalesce(raw_text <> canonical, false) as differs from feed_events")
 def p23(t: Tables) -> DataFrame:
     return t.feed_events.select("id", F.coalesce(F.col("raw_text") != F.col("canonical"), F.lit(False)).alias("differs"))
 
