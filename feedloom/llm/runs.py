@@ -4,7 +4,8 @@ Within time buckets of an entity, an event's row number less its row number
 among the events of its own value is constant along a run; (value, difference,
 session) identifies it. Runs that touch a bucket's edge are then joined to
 their continuation. Of an entity at most two runs a bucket take part in that,
-so no task ever holds all events of a hot entity.
+so no task ever holds all events of a hot entity. The local runs are written once,
+as both parts read them.
 
 Defined cases: rows without entity or time are left out; rows of equal
 (entity, time, id) count once; a null value ends the run before it and is in
@@ -17,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from feedloom.session import materialize
+
 BUCKET_US = 3_600_000_000
 
 
@@ -35,7 +38,7 @@ def collapse_runs(events: DataFrame, gap_us: int, bucket_us: int = BUCKET_US) ->
         .withColumn("session", F.sum("opens").over(in_time.rowsBetween(Window.unboundedPreceding, 0)))
     )
     of_value = Window.partitionBy("key", "bucket", "value").orderBy("us", "id")
-    local = (
+    local = materialize(
         rows.withColumn("shift", F.col("place") - F.row_number().over(of_value))
         .groupBy("key", "bucket", "session", "value", "shift")
         .agg(
@@ -43,7 +46,8 @@ def collapse_runs(events: DataFrame, gap_us: int, bucket_us: int = BUCKET_US) ->
             F.count(F.lit(1)).alias("events"), F.min("place").alias("first"), F.max("place").alias("last"),
         )
         .withColumn("head", F.col("first") == 1)
-        .withColumn("tail", F.col("last") == F.max("last").over(bucket))
+        .withColumn("tail", F.col("last") == F.max("last").over(bucket)),
+        "local-runs",
     )
     out = ["key", "value", "start_us", "end_us", "min_id", "max_id", "events"]
     inner = local.where("not head and not tail and value is not null").select(*out)
