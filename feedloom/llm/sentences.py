@@ -80,7 +80,9 @@ _IDENTIFIER = regex.compile(r"`|\w*[_\d]|[\p{Ll}]+\p{Lu}|\w+[./\\:(]\w|\w+://|\w
 _ONLY_MARKS = regex.compile(r"(?:[>\-*+•‣·–#\s]|(?<!\S)\d{1,3}[.)](?!\S))*")
 _PAIRS = {"(": ")", "[": "]", "{": "}", "（": "）", "「": "」", "『": "』", "【": "】", "《": "》", "〈": "〉", "«": "»", "„": "“", "“": "”"}
 _MARKS = regex.compile(r"[()\[\]{}（）「」『』【】《》〈〉«»„“”\"]")
-_KINDS = {"}": "{", ")": "(", "]": "["}
+_GOES_ON = regex.compile(r"\p{SB=SContinue}|\p{L}")
+_BREAKS_OFF = regex.compile(r"[,;:，、；：)\]]|[-–—] \p{Ll}")
+_INITIAL = regex.compile(r"\p{Latin}|\p{Cyrillic}|\p{Greek}")
 
 
 def _enclosed(text: str, low: int, high: int) -> list[tuple[int, int]]:
@@ -169,7 +171,7 @@ def _ends(text: str, low: int, term: regex.Match, high: int) -> int:
     if not text[closed].isspace():
         if not full:
             # Other scripts' own terminators need no blank.
-            return closed if marks[-1] not in ".!?…․" and not regex.match(r"\p{SB=SContinue}|\p{L}", text[closed]) else 0
+            return closed if marks[-1] not in ".!?…․" and not _GOES_ON.match(text, closed) else 0
         if text[closed] in "，、；：,;:":
             return 0
         if closed > at and text.startswith(JAPANESE_GO_ON + CHINESE_GO_ON, closed):
@@ -186,7 +188,7 @@ def _ends(text: str, low: int, term: regex.Match, high: int) -> int:
             return 0
         if _NEXT_TOKEN.match(text, k, min(high, k + 40))[0].strip(".,،।;:") in GO_ON_WORDS:
             return 0
-    if regex.match(r"[,;:，、；：)\]]|[-–—] \p{Ll}", text[k : k + 3]):
+    if _BREAKS_OFF.match(text, k, min(high, k + 3)):
         return 0
     if marks in ("...", "…", "……", "....") or marks.endswith("..."):
         return 0 if kind == "lower" else closed
@@ -220,7 +222,7 @@ def _ends(text: str, low: int, term: regex.Match, high: int) -> int:
         before = text[max(low, term.start() - 3) : term.start() - 1].strip()
         if before[-1:].isdigit():  # a unit
             return 0 if kind == "lower" else closed
-        if letter.isupper() and letter != "I" and regex.match(r"\p{Latin}|\p{Cyrillic}|\p{Greek}", letter):
+        if letter.isupper() and letter != "I" and _INITIAL.match(letter):
             return 0
         if kind != "upper" or letter.islower() and word.isascii():
             return 0
@@ -242,6 +244,9 @@ def _piece(text: str, low: int, high: int, out: list[int]) -> None:
     ends: list[int] = []
     s = 0
     for term in _TERM.finditer(text, body, high):
+        follows = text[term.end()] if term.end() < high else " "
+        if follows.isalnum() and term[0][-1] in ".!?…":
+            continue  # a decimal, a name or a link
         while s < len(spans) and spans[s][1] <= term.start():
             s += 1
         at = term.start()
@@ -251,11 +256,12 @@ def _piece(text: str, low: int, high: int, out: list[int]) -> None:
                 continue  # enclosed, and not at the end of what encloses it
         if ends and at < ends[-1]:
             continue
-        line = at
-        while line > low and text[line - 1] not in _LINES and at - line < 8:
-            line -= 1
-        if (line == low or text[line - 1] in _LINES) and _LINE_MARK.match(text, line, high).end() > at:
-            continue  # the mark of a list
+        if term[0] == "." and at > low and text[at - 1].isdigit():
+            line = at
+            while line > low and text[line - 1] not in _LINES and at - line < 8:
+                line -= 1
+            if (line == low or text[line - 1] in _LINES) and _LINE_MARK.match(text, line, high).end() > at:
+                continue  # the mark of a list
         end = _ends(text, ends[-1] if ends else body, term, high)
         if end:
             ends.append(end)
