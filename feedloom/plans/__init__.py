@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import dealt, functions, names_eval, relational, scans, stateful
+from feedloom.plans import api, dealt, functions, names_eval, relational, scans, stateful
 
-MODULES = [dealt, scans, relational, functions, names_eval, stateful]
+MODULES = [dealt, scans, relational, functions, names_eval, stateful, api]
 
 
 def core_queries() -> dict:
