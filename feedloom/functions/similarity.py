@@ -29,6 +29,24 @@ def ratio_at_least(a: str, b: str, least: float) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+class Target:
+    """A text that many others are compared with: difflib indexes its second text only once."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self._m = SequenceMatcher(None, "", text)
+
+    def at_least(self, other: str, least: float) -> bool:
+        """As ``ratio_at_least(other, self.text, least)``."""
+        if other == self.text:
+            return True
+        total = len(other) + len(self.text)
+        if 2 * min(len(other), len(self.text)) < least * total:
+            return False
+        self._m.set_seq1(other)
+        return self._m.quick_ratio() >= least and self._m.ratio() >= least
+
+
 def ratio(a: str | Column, b: str | Column) -> Column:
     @F.pandas_udf(T.DoubleType())
     def sm_ratio(x: pd.Series, y: pd.Series) -> pd.Series:

@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.similarity import ratio_at_least, ratio_of, same_line_distinct_victim
+from feedloom.functions.similarity import Target, ratio_of, same_line_distinct_victim
 
 S = 1_000_000
 #: So many independent stretches of a key share a task, for less overhead.
@@ -56,6 +56,14 @@ class Chain:
     kept_id: int
     victims: list[str] = field(default_factory=list)
 
+    def resembles(self, signature: str, victim: str, rules: DedupRules) -> bool:
+        """Whether the line resembles the chain's first one, or the victim one that the chain kept."""
+        if not hasattr(self, "_line"):
+            self._line, self._names = Target(self.signature), []
+        while len(self._names) < len(self.victims):
+            self._names.append(Target(self.victims[len(self._names)]))
+        return self._line.at_least(signature, rules.line_similarity) or any(n.text and n.at_least(victim, rules.victim_similarity) for n in self._names)
+
 
 @dataclass
 class State:
@@ -105,7 +113,7 @@ def step(state: State, us: int, id_: int, kind: str, attacker: str | None, victi
 def _find(chains: list[Chain], signature: str, victim: str, rules: DedupRules) -> Chain | None:
     best, best_at = None, 0.0
     for chain in chains:
-        same = ratio_at_least(signature, chain.signature, rules.line_similarity) or any(ratio_at_least(victim, v, rules.victim_similarity) for v in chain.victims if v)
+        same = chain.resembles(signature, victim, rules)
         if same and not rules.best_match:
             return chain
         if same:
@@ -155,9 +163,11 @@ def dedup_events(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFram
 
 
 def fold_reads(kept: DataFrame) -> DataFrame:
-    """The kept rows with the reads of all rows that count for them."""
-    total = kept.groupBy("kept_id").agg(F.sum("reads").alias("read_count"), F.count("*").alias("rows"))
-    return kept.where("id = kept_id").drop("kept_id", "reads").join(total.withColumnRenamed("kept_id", "id"), "id")
+    """The kept rows with the reads of all rows that count for them; ``kept`` is gone through once."""
+    columns = [c.split()[0] for c in READS.split(", ") if not c.startswith("reads")]
+    own = F.max(F.when(F.col("id") == F.col("kept_id"), F.struct(*columns)))
+    grouped = kept.groupBy("kept_id").agg(own.alias("x"), F.sum("reads").alias("read_count"), F.count("*").alias("rows"))
+    return grouped.where("x is not null").select("x.*", "read_count", "rows")
 
 
 def stream_dedup(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:

@@ -12,6 +12,7 @@ from feedloom.operators.sessions import GAP_US, micros
 MOST_PLAYERS = 62
 LONGEST_S = 1500
 STAT_WINDOW_US = 120_000_000
+SESSIONS_A_TASK = 64
 
 
 def _norm(col: str):
@@ -118,24 +119,33 @@ def split_points(times: list[int], names: list[tuple], most: int = MOST_PLAYERS,
 
 
 def _chunk(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values(["us", "is_kill", "id"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-    names = list(zip(pdf["attacker"], pdf["victim"]))
-    starts = split_points(pdf["us"].tolist(), [tuple(n if isinstance(n, str) else None for n in p) for p in names])
-    marks = pd.Series(0, index=pdf.index)
-    marks.iloc[starts] = 1
-    pdf["chunk"] = marks.cumsum()
+    """Chunk numbers of whole sessions."""
+    pdf = pdf.sort_values(["session", "us", "is_kill", "id"], ascending=[True, True, False, True], kind="stable").reset_index(drop=True)
+    us, sessions = pdf["us"].tolist(), pdf["session"].tolist()
+    names = [tuple(n if isinstance(n, str) else None for n in p) for p in zip(pdf["attacker"], pdf["victim"])]
+    chunks: list[int] = []
+    low = 0
+    for high in range(1, len(us) + 1):
+        if high == len(us) or sessions[high] != sessions[low]:
+            starts = set(split_points(us[low:high], names[low:high]))
+            chunk = 0
+            for k in range(high - low):
+                chunk += k in starts
+                chunks.append(chunk)
+            low = high
+    pdf["chunk"] = chunks
     return pdf
 
 
 def match_events(events: DataFrame, gap_us: int = GAP_US) -> DataFrame:
-    """Rating input and fingerprints with session and chunk. A session is short, so it may be split in one task."""
+    """Rating input and fingerprints with session and chunk. Sessions are short, so some whole ones may be split in one task."""
     cols = ["id", "streamer", "timestamp", name_or_null("attacker").alias("attacker"), name_or_null("victim").alias("victim")]
     cols += [confidence("attacker_conf").alias("attacker_conf"), confidence("victim_conf").alias("victim_conf")]
     kills = rating_input(events).select(*cols, F.lit(True).alias("is_kill"))
     marks = fingerprints(events).select(*cols, F.lit(False).alias("is_kill"))
     rows = kills.unionByName(marks).dropDuplicates(["id"])
     placed = rows.join(session_ordinals(rows, gap_us).select("id", "key", "us", "session"), "id").drop("streamer", "timestamp")
-    return placed.groupBy("key", "session").applyInPandas(_chunk, CHUNKED)
+    return placed.groupBy("key", F.floor(F.col("session") / SESSIONS_A_TASK)).applyInPandas(_chunk, CHUNKED)
 
 
 def build_matches(events: DataFrame, gap_us: int = GAP_US, least_kills: int = 3) -> DataFrame:
