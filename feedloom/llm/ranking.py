@@ -30,8 +30,7 @@ from pyspark.sql import functions as F
 
 from feedloom.session import materialize
 
-#: How far apart in the order of a match placements are compared.
-PLACES_APART = (1, 3)
+#: What all comparisons of a match weigh per placement in it.
 PLACEMENT_WEIGHT = 0.05
 
 
@@ -45,31 +44,43 @@ def usable_kills(kills: DataFrame) -> DataFrame:
     )
 
 
-def placement_comparisons(placements: DataFrame, apart: tuple[int, ...] = PLACES_APART) -> DataFrame:
-    """(winner, loser): each player against those so many places later in the match; a fixed number a row."""
-    rows = (
+def _places(placements: DataFrame) -> DataFrame:
+    """(m, player, out): one row a player of a match, its latest place."""
+    return (
         placements.select(F.trim("match_id").alias("m"), F.trim("player").alias("player"), F.col("kill_order_out").alias("out"))
         .where("m <> '' and player <> '' and out is not null")
         .groupBy("m", "player")
         .agg(F.max("out").alias("out"))
     )
+
+
+def placement_comparisons(placements: DataFrame, apart: tuple[int, ...]) -> DataFrame:
+    """(winner, loser): each player against those so many places later in the match; only a sample, the ranking takes ``all_placement_comparisons``."""
     order = Window.partitionBy("m").orderBy("out", "player")
     later = [F.lead(F.struct("player", "out"), k).over(order) for k in apart]
     return (
-        rows.select("player", "out", F.array(*later).alias("later"))
+        _places(placements)
+        .select("player", "out", F.array(*later).alias("later"))
         .select("player", "out", F.explode("later").alias("x"))
         .where("x.out > out")
         .select(F.col("x.player").alias("winner"), F.col("player").alias("loser"))
     )
 
 
+def all_placement_comparisons(placements: DataFrame, weight: float = PLACEMENT_WEIGHT) -> DataFrame:
+    """(winner, loser, weight): each player against everybody of the match with a lower place; tied ones are not compared.
+
+    A pair of a match of n players weighs 2 ``weight`` / n, so a match weighs in proportion to n and not to its pairs.
+    """
+    rows = _places(placements).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("m")))
+    later = rows.select("m", F.col("player").alias("winner"), F.col("out").alias("later"), (F.lit(2 * weight) / F.col("n")).alias("weight"))
+    earlier = rows.select("m", F.col("player").alias("loser"), F.col("out").alias("earlier"))
+    return later.join(earlier, "m").where("later > earlier").select("winner", "loser", "weight")
+
+
 def feed_comparisons(kills: DataFrame, placements: DataFrame) -> DataFrame:
     """Kills count 1; a place gained says less about strength and counts PLACEMENT_WEIGHT."""
-    return (
-        usable_kills(kills)
-        .withColumn("weight", F.lit(1.0))
-        .unionByName(placement_comparisons(placements).withColumn("weight", F.lit(PLACEMENT_WEIGHT)))
-    )
+    return usable_kills(kills).withColumn("weight", F.lit(1.0)).unionByName(all_placement_comparisons(placements))
 
 
 def item_strengths(

@@ -1,7 +1,7 @@
 import random
 
 from feedloom.llm.components import connected_components
-from feedloom.llm.ranking import distributed_rank, item_strengths, placement_comparisons, usable_kills
+from feedloom.llm.ranking import distributed_rank, feed_comparisons, item_strengths, placement_comparisons, usable_kills
 
 
 def brute(edges):
@@ -63,3 +63,13 @@ def test_comparisons(spark):
     places = spark.createDataFrame([("m ", "a", 1), ("m", "b", 2), ("m", "c", 2), ("m", "d", 5), ("m", "d", 5), (None, "e", 1)], "match_id string, player string, kill_order_out int")
     got = sorted(tuple(r) for r in placement_comparisons(places, (1,)).collect())
     assert got == [("b", "a"), ("d", "c")]
+
+
+def test_every_place_beats_all_earlier_ones_whatever_is_tied(spark):
+    kills = spark.createDataFrame([(1, "x", "y")], "id long, attacker string, victim string")
+    rows = [(" m", "out", 1)] + [("m", f"s{k}", 9) for k in range(5)] + [("m", "mid", 4), ("m", "mid", 4), ("t", "only", 1), ("t", "tied", 1)]
+    places = spark.createDataFrame(rows, "match_id string, player string, kill_order_out int")
+    got = {(r.winner, r.loser): r.weight for r in feed_comparisons(kills, places).collect()}
+    pairs = {("mid", "out")} | {(f"s{k}", loser) for k in range(5) for loser in ("out", "mid")}
+    assert set(got) == pairs | {("x", "y")} and got["x", "y"] == 1.0
+    assert all(abs(got[p] - 2 * 0.05 / 7) < 1e-12 for p in pairs)
