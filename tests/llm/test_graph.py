@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from feedloom.llm.components import connected_components
 from feedloom.llm.ranking import distributed_rank, feed_comparisons, item_strengths, placement_comparisons, usable_kills
 
@@ -73,3 +75,25 @@ def test_every_place_beats_all_earlier_ones_whatever_is_tied(spark):
     pairs = {("mid", "out")} | {(f"s{k}", loser) for k in range(5) for loser in ("out", "mid")}
     assert set(got) == pairs | {("x", "y")} and got["x", "y"] == 1.0
     assert all(abs(got[p] - 2 * 0.05 / 7) < 1e-12 for p in pairs)
+
+
+def test_strengths_are_the_stationary_distribution(spark):
+    rnd = random.Random(7)
+    rows = [(f"p{i}", f"p{j}", 1.0) for i in range(40) for j in (i + 1, i + 2) if j < 40 for _ in range(1 + rnd.randrange(3))]
+    rows += [(f"p{j}", f"p{i}", 1.0) for i in range(40) for j in (i + 1,) if j < 40 and rnd.random() < 0.5]  # a long chain settles slowly
+    s = {f"p{i}": 1.0 for i in range(40)}
+    for _ in range(5000):
+        into, out = ({k: 0.5 / (v + 1) for k, v in s.items()} for _ in range(2))
+        for w, x, n in rows:
+            into[w] += n * s[x] / (s[w] + s[x])
+            out[x] += n / (s[w] + s[x])
+        s = {k: into[k] / out[k] for k in s}
+        level = 1.0
+        for v in s.values():
+            level *= v ** (1 / len(s))
+        s = {k: v / level for k, v in s.items()}
+    df = spark.createDataFrame(rows, "winner string, loser string, weight double")
+    got = {r["item"]: r.strength for r in item_strengths(df).collect()}
+    assert all(abs(got[k] / v - 1) < 1e-4 for k, v in s.items())
+    with pytest.raises(ArithmeticError):
+        item_strengths(df, most_steps=3)
