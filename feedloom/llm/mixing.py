@@ -11,15 +11,20 @@ fit the gap. So no
 document is used more often than ``max_repeats``, and no two uses differ by
 more than one within a shard.
 
-The total is the largest at which no source that has documents runs out:
-min over sources of (tokens * max_repeats / share). With ``total_tokens`` a
-larger one may be asked for; then sources that run out give all they have and
-their missing blocks go to the others by their next quotients.
+With ``of_all`` each source is to have its share of all tokens of the documents,
+those of no source or target included: a source that is short of it gives all it
+has ``max_repeats`` times, the others stay at their own share, and the report
+says what is missing.
+
+Otherwise shares are strict. The total is the largest at which no source that
+has documents runs out: min over sources of (tokens * max_repeats / share). With
+``total_tokens`` a larger one may be asked for; then sources that run out give
+all they have and their missing blocks go to the others by their next quotients.
 
 Defined cases: sources are compared without surrounding blanks; documents
 without a source or of one without a target, and empty ones, are not used;
-sources with a target and no documents get no block, and the other shares are
-taken relative to each other; shares not above 0 or null count as no target,
+sources with a target and no documents get no block, and strict shares are then
+taken relative to each other (not those of all tokens); shares not above 0 or null count as no target,
 repeats below 1 or null as no use; of a source listed twice the larger share
 counts; ties between quotients go to the first source in code-point order; an
 empty table gives an empty mixture.
@@ -90,12 +95,15 @@ def mix(
     block_tokens: int = BLOCK_TOKENS,
     docs_per_cell: int = 20_000,
     total_tokens: int | None = None,
+    of_all: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """``documents`` (doc_id, source, tokens): (selection, report).
 
     The selection has (doc_id, source, tokens, shard, cell, block, uses); the report
     (source, target_share, tokens_available, max_repeats, quota_blocks,
-    tokens_used, reached_share, most_uses) has every source of either side.
+    tokens_used, reached_share, most_uses, wanted_tokens, missing_tokens, reached_of_all)
+    has every source of either side. ``reached_share`` is that of the mixture,
+    ``reached_of_all`` that of all tokens of ``documents``.
     """
     spark = documents.sparkSession
     goals = {
@@ -106,12 +114,14 @@ def mix(
         .agg(F.max("target_share").alias("share"), F.max_by("max_repeats", "target_share").alias("repeats"))
         .collect()  # the fixed list of targets
     }
-    sized = materialize(
+    everything = materialize(
         documents.select(F.trim("source").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"))
-        .where("source <> '' and tokens > 0")
+        .where("tokens > 0")
         .dropDuplicates(["doc_id"]),
         "sized",
     )
+    all_tokens = everything.agg(F.sum("tokens")).first()[0] or 0
+    sized = everything.where("source <> ''")
     wanted = sized.where(F.col("source").isin(list(goals)))
     cells = max(1, -(-wanted.count() // docs_per_cell))
     blocks = materialize(make_blocks(wanted, cells, min(cells, MOST_SHARDS), seed, block_tokens), "blocks")
@@ -122,14 +132,23 @@ def mix(
     have: dict[str, int] = {}
     for (source, _), tokens in per_shard.items():
         have[source] = have.get(source, 0) + tokens
-    shares = {s: goals[s][0] / sum(goals[t][0] for t in have) for s in sorted(have)}
-    limit = {s: max(1, have[s] * goals[s][1] // block_tokens) for s in shares}
-    reachable = min((have[s] * goals[s][1] / shares[s] for s in shares), default=0)
-    total = reachable if total_tokens is None else total_tokens
-    quota = sainte_lague(shares, round(total / block_tokens), limit)
+    limit = {s: max(1, -(-have[s] * goals[s][1] // block_tokens)) for s in have}  # the last block may be a part of one
+    if of_all:
+        total = all_tokens * sum(share for share, _ in goals.values())
+        shares = {s: goals[s][0] / sum(share for share, _ in goals.values()) for s in sorted(goals)}
+        quota = {s: min(n, limit.get(s, 0)) for s, n in sainte_lague(shares, round(total / block_tokens)).items()}
+    else:
+        shares = {s: goals[s][0] / sum(goals[t][0] for t in have) for s in sorted(have)}
+        reachable = min((have[s] * goals[s][1] / shares[s] for s in shares), default=0)
+        total = reachable if total_tokens is None else total_tokens
+        quota = sainte_lague(shares, round(total / block_tokens), limit)
+    wanted_tokens = {s: round(total * share) for s, share in shares.items()}
     turns: list[tuple[str, int, int, int]] = []
     for source, n in quota.items():
         of = {shard: tokens for (s, shard), tokens in per_shard.items() if s == source}
+        if n and n * block_tokens >= have[source] * goals[source][1]:  # all of it
+            turns += [(source, shard, goals[source][1], 0) for shard in of]
+            continue
         for shard, k in sainte_lague({shard: float(t) for shard, t in of.items()}, n).items():
             wanted_here = min(k * block_tokens, of[shard] * goals[source][1])
             turns.append((source, shard, wanted_here // of[shard], wanted_here % of[shard]))
@@ -166,8 +185,8 @@ def mix(
         blocks.join(drawn, ["source", "cell", "block"]).select("doc_id", "source", "tokens", "shard", "cell", "block", "uses"), "mixture"
     )
     goal_rows = spark.createDataFrame(
-        [(s, share, repeats, quota.get(s, 0)) for s, (share, repeats) in goals.items()],
-        "source string, target_share double, max_repeats int, quota_blocks long",
+        [(s, share, repeats, quota.get(s, 0), wanted_tokens.get(s, 0)) for s, (share, repeats) in goals.items()],
+        "source string, target_share double, max_repeats int, quota_blocks long, wanted_tokens long",
     )
     used = selection.groupBy("source").agg(F.sum(F.col("tokens") * F.col("uses")).alias("tokens_used"), F.max("uses").alias("most_uses"))
     all_used = used.agg(F.sum("tokens_used").alias("all_used"))
@@ -186,6 +205,9 @@ def mix(
             F.coalesce("tokens_used", F.lit(0)).cast("long").alias("tokens_used"),
             F.coalesce(F.col("tokens_used") / F.col("all_used"), F.lit(0.0)).alias("reached_share"),
             F.coalesce("most_uses", F.lit(0)).alias("most_uses"),
+            F.coalesce("wanted_tokens", F.lit(0)).cast("long").alias("wanted_tokens"),
+            F.greatest(F.coalesce("wanted_tokens", F.lit(0)) - F.coalesce("tokens_used", F.lit(0)), F.lit(0)).cast("long").alias("missing_tokens"),
+            (F.coalesce("tokens_used", F.lit(0)) / F.lit(float(max(all_tokens, 1)))).alias("reached_of_all"),
         )
     )
     return selection, report

@@ -39,7 +39,7 @@ def p7_fill(spark: SparkSession, folder: str) -> DataFrame:
 
 def _mixture(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     documents = token_sizes(table(spark, folder, "documents").select("doc_id", "source", "text"))
-    return mix(documents, table(spark, folder, "source_targets"))
+    return mix(documents, table(spark, folder, "source_targets"), of_all=True)
 
 
 def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
@@ -48,7 +48,7 @@ def p8_selection(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
-    """Wanted and reached share of every source."""
+    """Wanted and reached share of every source, and what it is short of."""
     return _mixture(spark, folder)[1]
 
 

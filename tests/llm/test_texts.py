@@ -111,3 +111,28 @@ def test_mix_reaches_targets_and_caps(spark):
     again = {tuple(r) for r in mix(df.repartition(7), goals, docs_per_cell=500)[0].collect()}
     assert again == {tuple(r) for r in selection.collect()}
     assert mix(df.where("1 = 0"), goals)[0].count() == 0
+
+
+def test_a_short_source_does_not_shrink_the_others(spark):
+    docs = [(k, "big", 100, "question") for k in range(2000)] + [(5000 + k, "mid", 100, "question") for k in range(900)]
+    docs += [(9000, "scarce", 10, "question"), (9001, None, 5000, "question"), (9002, "other", 5000, "question")]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long, doc_type string")
+    goals = spark.createDataFrame([("big", 0.58, 1), ("mid", 0.3, 2), ("scarce", 0.02, 4), ("absent", 0.1, 4)], "source string, target_share double, max_repeats int")
+    selection, report = mix(df, goals, of_all=True)
+    by, total = {r.source: r for r in report.collect()}, 300_010
+    for s, share in (("big", 0.58), ("mid", 0.3)):
+        assert abs(by[s].tokens_used / total - share) < 0.01 and abs(by[s].reached_of_all - share) < 0.01
+    assert by["scarce"].tokens_used == 40 and by["scarce"].missing_tokens == round(0.02 * total) - 40
+    assert by["absent"].tokens_used == 0 and by["absent"].missing_tokens == round(0.1 * total)
+    assert all(r.most_uses <= r.max_repeats for r in by.values())
+
+
+def test_p8_gives_all_tokens_as_the_total(spark, tmp_path):
+    from feedloom.llm.text_queries import p8_shares
+
+    texts = [(k, "big", "some words of a text " * 40) for k in range(300)] + [(900, "scarce", "short")]
+    spark.createDataFrame(texts, "doc_id long, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    goals = [("big", 0.9, 1), ("scarce", 0.1, 4)]
+    spark.createDataFrame(goals, "source string, target_share double, max_repeats int").write.parquet(f"{tmp_path}/source_targets.parquet")
+    got = {r.source: r for r in p8_shares(spark, str(tmp_path)).collect()}
+    assert got["big"].tokens_used > 0.88 * got["big"].tokens_available and got["scarce"].tokens_used == 4 * got["scarce"].tokens_available
