@@ -41,6 +41,19 @@ def test_lines(spark):
     assert got[1] == ("Kill", "Ann_1", "Bob") and got[2] == (None, None, None) and got[3] == ("Kill", None, "Bob") and got[4] == (None, None, None)
 
 
+def test_names_of_tagged_merged_and_digit_lines(spark):
+    rows = [
+        ("[ZTB]MellowRanukune7784 >> SunnyDamuteki5033", "MellowRanukune7784", "SunnyDamuteki5033"),
+        ("[GARF] Noble Venereme 6665 [LONGSHOT] [ZTB]Kindly", "Noble Venereme 6665", "Kindly"),
+        ("Alice <gun_icon> Robert <kill_icon> Charles", "Robert", "Charles"),
+        ("Alice <kill_icon> 949930934", "Alice", "949930934"), ("3043 <gun_icon> 949930934", None, None), ("11 <gun_icon> 3043 <kill_icon> Alice", None, "Alice"),
+        ("[BTA] reo <kill_icon> Shu", "reo", "Shu"), ("Alice x> Robert", "Alice", "Robert"), ("Alice knocked [ABC] Robert", "Alice", "Robert"), ("[ABC] Alice", None, None),
+    ]
+    df = spark.createDataFrame([(k, r[0]) for k, r in enumerate(rows)], "id int, raw string")
+    got = {r.id: (r.attacker, r.victim) for r in X.parse_lines(df, "raw", RULES).collect()}
+    assert [got[k] for k in range(len(rows))] == [r[1:] for r in rows]
+
+
 def test_normalization(spark):
     assert one(spark, "enemyshieid  broken", lambda c: X.fix_typos(c, RULES)) == "enemyshield  broken"
     assert one(spark, "a bleed 0ut b", X.normalize_brackets) == "a [Bleed Out]b" or "[Bleed Out]" in one(spark, "a bleed 0ut b", X.normalize_brackets)
