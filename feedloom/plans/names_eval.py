@@ -107,7 +107,7 @@ def _truth_and_reads(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
 def q7(t: Tables) -> DataFrame:
     """Stored kills as truth against the kill events of each stream."""
     truth, reads, _ = _truth_and_reads(t)
-    return E.scores(truth, reads, 5_000_000)
+    return E.scores(truth, reads)
 
 
 @R.add("ref_j22_q7_misses")

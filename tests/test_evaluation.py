@@ -51,3 +51,14 @@ def test_line_text_and_zone(spark):
     assert E.line_text(boxes, "line").first().text == "Annb c <GUN_ICON> Bob"
     z = E.derive_zone(spark.createDataFrame([("s", 0.7, 0.1, 0.9, 0.2), ("s", 0.6, 0.2, 0.95, 0.5), ("s", 0.1, 0.3, 0.2, 0.4)], "s string, x0 double, y0 double, x1 double, y1 double"), "s").first()
     assert (z.x0, z.y0, z.x1) == (0.6, 0.1, 0.95) and abs(z.y1 - 0.34) < 1e-9
+
+
+def test_registered_scores_use_the_window_of_the_misses(spark, tmp_path):
+    from feedloom.plans.names_eval import QUERIES
+
+    at = "timestamp'2024-05-01 10:00:{}'"
+    spark.sql("select 'm' as match_id, 'g' as streamer").write.parquet(f"{tmp_path}/matches.parquet")
+    spark.sql(f"select 1L as id, 'm' as match_id, {at.format('00')} as timestamp, 'anna' as attacker, 'victimone' as victim").write.parquet(f"{tmp_path}/match_kills.parquet")
+    event = f"select 7L as id, 'G ' as streamer, {at.format('40')} as timestamp, 'anna' as attacker, 'victimone' as victim, 'Kill' as event_type, 'x' as raw_text"
+    spark.sql(event).write.parquet(f"{tmp_path}/feed_events.parquet")
+    assert QUERIES["ref_j21_q7_scores"](spark, str(tmp_path)).first().matched == 1
