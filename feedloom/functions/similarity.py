@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -61,6 +62,39 @@ def length_bound(a: str | Column, b: str | Column, least: float) -> Column:
     return 2 * F.least(x, y) >= F.lit(least) * (x + y)
 
 
+def possible_pairs(x: list[str], y: list[str], least: float) -> list[tuple[int, int]]:
+    """Places of all pairs that may reach a ratio of ``least``: what ``ratio`` matches is a common subsequence of both."""
+    code = {c: k for k, c in enumerate(sorted({c for t in (*x, *y) for c in t}))}
+    la, lb = (np.array([len(t) for t in side], dtype=np.int64) for side in (x, y))
+    counts = [np.zeros((len(side), len(code)), dtype=np.int16) for side in (x, y)]
+    for side, of in zip((x, y), counts):
+        for k, t in enumerate(side):
+            for c in t:
+                of[k, code[c]] += 1
+    need = least * (la[:, None] + lb[None, :]) / 2 - 1e-9
+    common = np.zeros(need.shape, dtype=np.int16)
+    for k in range(len(code)):
+        common += np.minimum(counts[0][:, k, None], counts[1][None, :, k])
+    p, q = np.nonzero(common >= need)
+    short = (la[p] <= 64) & (la[p] > 0)
+    # Longest common subsequences of all pairs at once, a bit for each letter of the first text.
+    masks = np.zeros((len(x), len(code) + 1), dtype=np.uint64)
+    for k, t in enumerate(x):
+        for at, c in enumerate(t[:64]):
+            masks[k, code[c]] |= np.uint64(1 << at)
+    codes = np.full((len(y), max(lb, default=0)), len(code), dtype=np.int64)
+    for k, t in enumerate(y):
+        codes[k, : len(t)] = [code[c] for c in t]
+    row = np.full(len(p), np.uint64(2**64 - 1), dtype=np.uint64)
+    for at in range(codes.shape[1]):
+        hit = row & masks[p, codes[q, at]]
+        row = (row + hit) | (row - hit)
+    used = np.where(la[p] >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(la[p], 63).astype(np.uint64)) - np.uint64(1))
+    longest = np.bitwise_count(~row & used)
+    keep = ~short | (longest >= need[p, q])
+    return list(zip(p[keep].tolist(), q[keep].tolist()))
+
+
 def word_edits(a: list[str], b: list[str]) -> int:
     """Unit-cost edits between two token lists."""
     row = list(range(len(b) + 1))

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from feedloom.functions.similarity import possible_pairs, ratio_of
+
 
 def choose_canonical(players: DataFrame, cluster: str) -> DataFrame:
     """(cluster, canonical): mixed case first, then most matches, longest, first by name."""
@@ -68,6 +71,40 @@ def similar_names(players: DataFrame) -> DataFrame:
     return scored.where(F.col("r") >= F.when(F.col("prefix"), SAME_PREFIX).otherwise(OTHER_PREFIX)).select(F.col("player_a").alias("a"), F.col("player_b").alias("b"))
 
 
+BLOCK = 500
+
+
+def pairs_at_least(players: DataFrame, least: float) -> DataFrame:
+    """(a, b, ratio): all pairs of names whose ratio without letter case is ``least`` or more; of matches, more first, as in ``similar_names``.
+
+    Nothing is left out by blocking: names are dealt to blocks, every two blocks
+    meet in one group, and there only upper bounds of the ratio come before it,
+    by length, by common letters and by the longest common subsequence. Work is
+    that of all pairs, most of them in numpy.
+    """
+    n = players.select("player", F.coalesce("matches_played", F.lit(0)).alias("matches"), F.lower("player").alias("low")).where("low <> ''").distinct()
+    blocks = max(1, -(-n.count() // BLOCK))
+    own = n.withColumn("own", F.pmod(F.xxhash64("player"), F.lit(blocks)).cast("int"))
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = own.withColumn("other", other).select("*", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")).drop("other")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        sides = (pdf, pdf) if i == j else (pdf[pdf["own"] == i], pdf[pdf["own"] == j])
+        x, y = (list(zip(side["low"], side["player"], side["matches"])) for side in sides)
+        rows = []
+        for p, q in possible_pairs([r[0] for r in x], [r[0] for r in y], least):
+            if i == j and p >= q:
+                continue
+            first, second = sorted((x[p], y[q]), key=lambda r: (-r[2], r[1]))
+            r = ratio_of(first[0], second[0])
+            if r >= least:
+                rows.append((first[1], second[1], r))
+        return pd.DataFrame(rows, columns=["a", "b", "ratio"])
+
+    return met.groupBy("i", "j").applyInPandas(run, "a string, b string, ratio double")
+
+
 def key_edges(players: DataFrame) -> DataFrame:
     """Names of one confusion key, each tied to the first of its group."""
     from pyspark.sql import Window

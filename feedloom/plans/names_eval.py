@@ -86,11 +86,12 @@ def j18(t: Tables) -> DataFrame:
 
 @R.add("ref_j19_j20_review_pairs")
 def j19(t: Tables) -> DataFrame:
-    """Pairs for a person to review, with the reason."""
-    from feedloom.operators.identity import similar_names
+    """All pairs of a ratio of 0.70 or more for a person to review, with the reason; those of 1 differ in letter case only (J20 has them, J19 not)."""
+    from feedloom.operators.identity import pairs_at_least
 
-    pairs = similar_names(_players(t)).withColumn("ratio", S.ratio(F.lower("a"), F.lower("b")))
-    reason = F.when(X.norm("a") == X.norm("b"), "same letters").when(X.stem("a") == X.stem("b"), "same stem").when(F.col("ratio") > 0.85, "very similar").otherwise("similar")
+    pairs = pairs_at_least(_players(t), 0.70)
+    reason = F.when(F.lower(F.substring("a", 1, 3)) != F.lower(F.substring("b", 1, 3)), "different prefix").when(X.norm("a") == X.norm("b"), "same letters")
+    reason = reason.when(X.stem("a") == X.stem("b"), "same stem").when(F.col("ratio") > 0.85, "very similar").otherwise("similar")
     return pairs.select("a", "b", F.round("ratio", 6).alias("ratio"), reason.alias("reason"))
 
 

@@ -62,3 +62,25 @@ def test_registered_scores_use_the_window_of_the_misses(spark, tmp_path):
     event = f"select 7L as id, 'G ' as streamer, {at.format('40')} as timestamp, 'anna' as attacker, 'victimone' as victim, 'Kill' as event_type, 'x' as raw_text"
     spark.sql(event).write.parquet(f"{tmp_path}/feed_events.parquet")
     assert QUERIES["ref_j21_q7_scores"](spark, str(tmp_path)).first().matched == 1
+
+
+def test_all_pairs_for_review(spark, tmp_path):
+    import random
+    from difflib import SequenceMatcher
+
+    from feedloom.plans.names_eval import QUERIES
+
+    rnd = random.Random(5)
+    names = ["abc", "abd", "Casey", "casey", "Xabcde", "Yabcdf", "axbxcxdxe", "aybyczdze", "n" * 70, "n" * 66 + "mmmm", *("".join(rnd.choice("abCd1") for _ in range(rnd.randrange(3, 12))) for _ in range(150))]
+    names = sorted(set(names))
+    spark.createDataFrame([(n, 9 - k % 5) for k, n in enumerate(names)], "player string, matches_played int").write.parquet(f"{tmp_path}/player_ratings.parquet")
+    order = sorted(names, key=lambda n: (-(9 - names.index(n) % 5), n))
+    want = {}
+    for k, a in enumerate(order):
+        for b in order[k + 1 :]:
+            r = SequenceMatcher(None, a.lower(), b.lower()).ratio()
+            if r >= 0.70:
+                want[a, b] = round(r, 6)
+    rows = QUERIES["ref_j19_j20_review_pairs"](spark, str(tmp_path)).collect()
+    assert {(r.a, r.b): r.ratio for r in rows} == want and len(rows) == len(want)
+    assert all((r.reason == "different prefix") == (r.a[:3].lower() != r.b[:3].lower()) for r in rows)
