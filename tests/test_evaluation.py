@@ -84,3 +84,16 @@ def test_all_pairs_for_review(spark, tmp_path):
     rows = QUERIES["ref_j19_j20_review_pairs"](spark, str(tmp_path)).collect()
     assert {(r.a, r.b): r.ratio for r in rows} == want and len(rows) == len(want)
     assert all((r.reason == "different prefix") == (r.a[:3].lower() != r.b[:3].lower()) for r in rows)
+
+
+def test_blocked_pairs_of_a_large_block(spark, tmp_path):
+    from difflib import SequenceMatcher
+
+    from feedloom.plans.names_eval import QUERIES
+
+    names = sorted({f"Jon{k * 7919 % 1000:03d}{'xyz'[k % 3] * (k % 4)}" for k in range(120)} | {"abcd", "abce", "abcdefg"})
+    rows = [(n, 5) for n in names] + [("Jon001x9", 1)]
+    spark.createDataFrame(rows, "player string, matches_played int").write.parquet(f"{tmp_path}/player_ratings.parquet")
+    pairs = [(a, b, SequenceMatcher(None, a.lower(), b.lower()).ratio()) for a in names for b in names if a < b and a[:3].lower() == b[:3].lower()]
+    want = sorted((a, b, round(r, 6)) for a, b, r in pairs if r >= 0.8)
+    assert sorted(tuple(r) for r in QUERIES["ref_j18_blocked_pairs"](spark, str(tmp_path)).collect()) == want and len(want) > 50
