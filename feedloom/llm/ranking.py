@@ -14,10 +14,13 @@ The accelerated start of a step is checked by the step itself: the end is where
 a plain step changes nothing beyond the tolerance, and running out of steps is
 an error.
 
-Per step the comparisons stay where they are cached; strengths go to them by
-broadcast while there are at most ``broadcast_items`` (their count is checked,
-12 bytes each) and by shuffle joins beyond. Sums are combined before the
-shuffle, so an item in a third of all comparisons is no hot spot.
+There are two forms of a step, of equal results. While there are at most
+``broadcast_items`` items (counted first), the vector of strengths, 8 bytes an
+item, is broadcast, and the comparisons lie in packed blocks of arrays in the
+shared folder, so that a step is one pass of array sums. Beyond that count
+strengths reach the comparisons by shuffle joins and stay in tables. Sums are
+combined before the shuffle, so an item in a third of all comparisons is no
+hot spot.
 
 Defined cases: comparisons without winner or loser, of an item with itself or
 of weight not above 0 don't count; names are compared without surrounding
@@ -27,8 +30,11 @@ name.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-from pyspark import StorageLevel
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -60,20 +66,7 @@ def _places(placements: DataFrame) -> DataFrame:
     )
 
 
-def placement_comparisons(placements: DataFrame, apart: tuple[int, ...]) -> DataFrame:
-    """(winner, loser): each player against those so many places later in the match; only a sample, the ranking takes ``all_placement_comparisons``."""
-    order = Window.partitionBy("m").orderBy("out", "player")
-    later = [F.lead(F.struct("player", "out"), k).over(order) for k in apart]
-    return (
-        _places(placements)
-        .select("player", "out", F.array(*later).alias("later"))
-        .select("player", "out", F.explode("later").alias("x"))
-        .where("x.out > out")
-        .select(F.col("x.player").alias("winner"), F.col("player").alias("loser"))
-    )
-
-
-def all_placement_comparisons(placements: DataFrame, weight: float = PLACEMENT_WEIGHT) -> DataFrame:
+def placement_comparisons(placements: DataFrame, weight: float = PLACEMENT_WEIGHT) -> DataFrame:
     """(winner, loser, weight): each player against everybody of the match with a lower place; tied ones are not compared.
 
     A pair of a match of n players weighs 2 ``weight`` / n, so a match weighs in proportion to n and not to its pairs.
@@ -86,7 +79,29 @@ def all_placement_comparisons(placements: DataFrame, weight: float = PLACEMENT_W
 
 def feed_comparisons(kills: DataFrame, placements: DataFrame) -> DataFrame:
     """Kills count 1; a place gained says less about strength and counts PLACEMENT_WEIGHT."""
-    return usable_kills(kills).withColumn("weight", F.lit(1.0)).unionByName(all_placement_comparisons(placements))
+    return usable_kills(kills).withColumn("weight", F.lit(1.0)).unionByName(placement_comparisons(placements))
+
+
+class _Ahead:
+    """Where a vector and its last ``MEMORY`` plain steps point (Anderson's acceleration), from sums over all items alone."""
+
+    def __init__(self) -> None:
+        self.best = float("inf")
+
+    def misled(self, change: float) -> bool:
+        """Whether the look back led away; then it is to be forgotten."""
+        restart = change > 10 * self.best
+        self.best = change if restart else min(self.best, change)
+        return restart
+
+    @staticmethod
+    def weights(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+        scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+        return np.linalg.lstsq(gram / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
+
+
+def _unsettled(most_steps: int, change: float, tolerance: float) -> ArithmeticError:
+    return ArithmeticError(f"strengths not settled after {most_steps} steps: the last one moved one by {change:g}, allowed is {tolerance:g}")
 
 
 def item_strengths(
@@ -102,26 +117,99 @@ def item_strengths(
         clean.where("winner <> '' and loser <> '' and winner <> loser and w > 0").groupBy("winner", "loser").agg(F.sum("w").alias("w")),
         "comparisons",
     )
-    items = materialize(
-        sums.select(F.explode(F.array("winner", "loser")).alias("item")).distinct().withColumn("i", F.monotonically_increasing_id()), "items"
-    )
+    items = materialize(sums.select(F.explode(F.array("winner", "loser")).alias("item")).distinct(), "items")
     n = items.count()
+    if not n:
+        return items.select("item", F.lit(1.0).alias("strength"))
+    if n <= broadcast_items:
+        return _by_vectors(sums, items, smoothing, tolerance, most_steps)
+    return _by_tables(sums, items, smoothing, tolerance, most_steps)
+
+
+def _by_vectors(sums: DataFrame, items: DataFrame, smoothing: float, tolerance: float, most_steps: int) -> DataFrame:
+    spark = sums.sparkSession
+    names = np.sort(items.toPandas()["item"].to_numpy(dtype=object))  # at most broadcast_items
+    n = len(names)
+    ids = F.broadcast(spark.createDataFrame(pd.DataFrame({"item": names, "i": np.arange(n, dtype=np.int32)}), "item string, i int"))
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [batch.column(c).to_numpy(zero_copy_only=False).tobytes() for c in ("a", "b", "w")]
+            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["a", "b", "w"])
+
+    blocks = materialize(
+        sums.join(ids.withColumnsRenamed({"item": "winner", "i": "a"}), "winner")
+        .join(ids.withColumnsRenamed({"item": "loser", "i": "b"}), "loser")
+        .select("a", "b", "w")
+        .mapInArrow(packed, "a binary, b binary, w binary"),
+        "comparisons",
+    )
+
+    def flows(strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        sent = spark.sparkContext.broadcast(strength)
+
+        def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            s = sent.value
+            into, out = np.zeros(n), np.zeros(n)
+            for batch in batches:
+                for a, b, w in zip(*(batch.column(c) for c in ("a", "b", "w"))):
+                    a, b = (np.frombuffer(x.as_buffer(), np.int32) for x in (a, b))
+                    rate = np.frombuffer(w.as_buffer(), np.float64) / (s[a] + s[b])
+                    into += np.bincount(a, rate * s[b], n)
+                    out += np.bincount(b, rate, n)
+            there = np.flatnonzero((into != 0) | (out != 0))
+            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(into[there]), pa.array(out[there])], names=["i", "into", "out"])
+
+        got = (
+            blocks.mapInArrow(partial, "i int, into double, out double").groupBy("i").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).toArrow()
+        )
+        sent.destroy()
+        into, out = np.zeros(n), np.zeros(n)
+        at = got["i"].to_numpy()
+        into[at], out[at] = got["into"].to_numpy(), got["out"].to_numpy()
+        return into, out
+
+    x, was, was_step, ahead = np.zeros(n), None, None, _Ahead()
+    dx: list[np.ndarray] = []
+    dstep: list[np.ndarray] = []
+    change = float("inf")
+    for _ in range(most_steps):
+        into, out = flows(np.exp(x))
+        virtual = smoothing / (np.exp(x) + 1)
+        step = np.log((into + virtual) / (out + virtual)) - x
+        step -= step.mean()
+        change = float(np.abs(step).max())
+        if change < tolerance:
+            strength = pd.DataFrame({"item": names, "strength": np.exp(x + step)})
+            return spark.createDataFrame(strength, "item string, strength double")
+        if was is not None:
+            dx, dstep = [x - was, *dx][:MEMORY], [step - was_step, *dstep][:MEMORY]
+        was, was_step = x, step
+        if ahead.misled(change):
+            dx, dstep, was = [], [], None
+        x = x + step
+        if dx:
+            past = np.array(dstep)
+            x = x - ahead.weights(past @ past.T / n, past @ step / n) @ (np.array(dx) + past)
+            x -= x.mean()
+    raise _unsettled(most_steps, change, tolerance)
+
+
+def _by_tables(sums: DataFrame, items: DataFrame, smoothing: float, tolerance: float, most_steps: int) -> DataFrame:
+    items = materialize(items.withColumn("i", F.monotonically_increasing_id()), "items")
     by_id = materialize(
         sums.join(items.withColumnsRenamed({"item": "winner", "i": "a"}), "winner")
         .join(items.withColumnsRenamed({"item": "loser", "i": "b"}), "loser")
-        .select("a", "b", "w"),
+        .select("a", "b", "w")
+        .repartition("a"),
         "comparisons",
     )
-    small = n <= broadcast_items
-    if not small:
-        by_id = by_id.repartition("a")
-    by_id = by_id.persist(StorageLevel.MEMORY_AND_DISK)  # lost parts are read again from the written table
     # x: log strength of mean 0, step: what a plain step adds to it; dx and dstep: their last differences, newest first.
-    now = items.select("i", F.lit(0.0).alias("x"), *(F.lit(None).cast("double").alias(c) for c in ("was", "was_step")), *(F.array().cast("array<double>").alias(c) for c in ("dx", "dstep")))
-    now, known, best = materialize(now, "strengths"), -1, float("inf")
-    for _ in range(most_steps if n else 0):
+    none = F.array().cast("array<double>")
+    now = items.select("i", F.lit(0.0).alias("x"), *(F.lit(None).cast("double").alias(c) for c in ("was", "was_step")), none.alias("dx"), none.alias("dstep"))
+    now, known, ahead, change = materialize(now, "strengths"), -1, _Ahead(), float("inf")
+    for _ in range(most_steps):
         side = now.select("i", F.exp("x").alias("s"))
-        side = F.broadcast(side) if small else side
         flows = (
             by_id.join(side.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a")
             .join(side.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b")
@@ -158,26 +246,18 @@ def item_strengths(
         most, least, drift, *sums = row
         change = max(most - drift, drift - least)
         if change < tolerance:
-            break
+            return items.join(after, "i").select("item", F.exp(F.col("x") + F.col("step") - F.lit(float(drift))).alias("strength"))
         means, right, gram = (np.array(v, dtype=float) for v in (sums[:known], sums[known : 2 * known], sums[2 * known :]))
-        restart = change > 10 * best  # the look back misleads: forget it and take a plain step
-        best = change if restart else min(best, change)
+        restart = ahead.misled(change)
         go = F.col("x") + F.col("step") - F.lit(float(drift))
         if known > 0 and not restart:
-            scale = np.sqrt(np.maximum(np.diag(gram.reshape(known, known)), 1e-300))
-            ahead = np.linalg.lstsq(gram.reshape(known, known) / np.outer(scale, scale), right / scale, rcond=1e-12)[0] / scale
+            weights = ahead.weights(gram.reshape(known, known), right)
             for j in past:
-                go = go - F.lit(float(ahead[j])) * (F.col("dx")[j] + d(j) - F.lit(float(means[j])))
+                go = go - F.lit(float(weights[j])) * (F.col("dx")[j] + d(j) - F.lit(float(means[j])))
         now = after.select("i", go.alias("x"), F.col("x").alias("was"), F.col("step").alias("was_step"), "dx", "dstep")
         if restart:
-            now, known = now.withColumns({"dx": F.array().cast("array<double>"), "dstep": F.array().cast("array<double>")}), 0
-    else:
-        by_id.unpersist()
-        if n:
-            raise ArithmeticError(f"strengths not settled after {most_steps} steps: the last one moved one by {change:g}, allowed is {tolerance:g}")
-        return items.select("item", F.lit(1.0).alias("strength"))
-    by_id.unpersist()
-    return items.join(after, "i").select("item", F.exp(F.col("x") + F.col("step") - F.lit(float(drift))).alias("strength"))
+            now, known = now.withColumns({"dx": none, "dstep": none}), 0
+    raise _unsettled(most_steps, change, tolerance)
 
 
 def distributed_rank(strengths: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@ import random
 
 import pytest
 
-from feedloom.llm.components import connected_components
-from feedloom.llm.ranking import distributed_rank, feed_comparisons, item_strengths, placement_comparisons, usable_kills
+from feedloom.llm.components import connected_components, forest_levels
+from feedloom.llm.ranking import distributed_rank, feed_comparisons, item_strengths, usable_kills
 
 
 def brute(edges):
@@ -28,7 +28,20 @@ def test_random_graphs_over_several_levels(spark):
     edges += [(None, "q"), ("q", "  "), (" n1", "n2 "), ("self", "self"), ("Ä", "Z"), ("z", "Ä")]
     want = brute(edges)
     assert found(spark, edges) == want
-    assert found(spark, edges, edges_per_partition=10, least_partitions=8) == want
+    assert found(spark, edges, edges_per_range=10, least_ranges=8) == want
+
+
+def test_few_levels_whatever_the_names_are(spark):
+    """A chain in id order, one whose neighbours never lie in one range, and a hub with most edges."""
+    ordered = spark.range(50_000).selectExpr("format_string('m%06d', id) a", "format_string('m%06d', id + 1) b")
+    filed = forest_levels(ordered, edges_per_range=782, least_ranges=64)
+    assert len(filed) <= 7
+    assert connected_components(ordered, 782, 64).groupBy("group").count().collect() == [("m000000", 50_001)]
+    name = "format_string('s%03d_%06d', ({0}) % 40, ({0}) div 40)"
+    apart = spark.range(2_000).selectExpr(name.format("id") + " a", name.format("id + 1") + " b")
+    assert len(forest_levels(apart, edges_per_range=50, least_ranges=40)) <= 11
+    hub = spark.range(3_000).selectExpr("'hub' a", "format_string('x%06d', id) b")
+    assert connected_components(hub, 100, 4).groupBy("group").count().collect() == [("hub", 3_001)]
 
 
 def test_no_edges(spark):
@@ -62,9 +75,6 @@ def test_no_comparisons(spark):
 def test_comparisons(spark):
     kills = spark.createDataFrame([(1, " a", "b "), (1, " a", "b "), (2, "a", "a"), (3, None, "b"), (4, "a", "b")], "id long, attacker string, victim string")
     assert [tuple(r) for r in usable_kills(kills).collect()] == [("a", "b")] * 2
-    places = spark.createDataFrame([("m ", "a", 1), ("m", "b", 2), ("m", "c", 2), ("m", "d", 5), ("m", "d", 5), (None, "e", 1)], "match_id string, player string, kill_order_out int")
-    got = sorted(tuple(r) for r in placement_comparisons(places, (1,)).collect())
-    assert got == [("b", "a"), ("d", "c")]
 
 
 def test_every_place_beats_all_earlier_ones_whatever_is_tied(spark):
@@ -95,5 +105,7 @@ def test_strengths_are_the_stationary_distribution(spark):
     df = spark.createDataFrame(rows, "winner string, loser string, weight double")
     got = {r["item"]: r.strength for r in item_strengths(df).collect()}
     assert all(abs(got[k] / v - 1) < 1e-4 for k, v in s.items())
+    beyond = {r["item"]: r.strength for r in item_strengths(df, broadcast_items=0).collect()}
+    assert all(abs(got[k] / v - 1) < 1e-6 for k, v in beyond.items()) and set(got) == set(beyond)
     with pytest.raises(ArithmeticError):
         item_strengths(df, most_steps=3)
