@@ -1,15 +1,17 @@
 """Records of several sources mixed to target weights.
 
 Documents are dealt by hash to cells of bounded size, ordered there by a seeded
-hash and cut into blocks of about equal size in tokens. Cells are put together
-to a bounded number of shards. Sainte-Lague apportionment gives
-each source a whole number of ``block_tokens`` by highest quotients (share / 1,
-/ 3, / 5, ...), and each source's to its shards the same way. A shard then
-takes whole rounds while a source is repeated, and after that blocks in seeded
-order as far as its quota reaches, long documents first, then later ones that
-fit the gap. So no
-document is used more often than ``max_repeats``, and no two uses differ by
-more than one within a shard.
+hash and cut into blocks of about equal size in tokens. Sainte-Lague
+apportionment gives each source a whole number of ``block_tokens`` by highest
+quotients (share / 1, / 3, / 5, ...), each source's to its groups of cells the
+same way, and each group's to its cells. There are as many groups as cells in
+a group, so the driver sees sources times the root of the cells, and a task
+that apportions a group as many rows. A shard (the documents of a source in a
+cell) then takes whole rounds while a source is repeated, and after that each
+block, in seeded order, that fits what is left of its quota, and at last single
+documents of the blocks left over in the same way. So no document is used more
+often than ``max_repeats``, no two uses differ by more than one within a shard,
+and what a shard is short of is less than its smallest unused document.
 
 With ``of_all`` each source is to have its share of all tokens of the documents,
 those of no source or target included: a source that is short of it gives all it
@@ -26,22 +28,24 @@ without a source or of one without a target, and empty ones, are not used;
 sources with a target and no documents get no block, and strict shares are then
 taken relative to each other (not those of all tokens); shares not above 0 or null count as no target,
 repeats below 1 or null as no use; of a source listed twice the larger share
-counts; ties between quotients go to the first source in code-point order; an
-empty table gives an empty mixture.
+counts; ties between quotients go to the first source in code-point order; of
+rows with one doc_id the first by source and tokens counts; an empty table
+gives an empty mixture; more than ``most_sources`` targets are refused.
 """
 
 from __future__ import annotations
 
 import heapq
+import math
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.session import materialize
 
 BLOCK_TOKENS = 1024
-GAP_PASSES = 3
-MOST_SHARDS = 4096
 
 
 def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
@@ -76,18 +80,55 @@ def sainte_lague(weights: dict, seats: int, most: dict | None = None) -> dict:
     return given
 
 
-def make_blocks(sized: DataFrame, cells: int, shards: int, seed: int, block_tokens: int) -> DataFrame:
-    """(source, doc_id, tokens, shard, cell, block): documents in seeded order, a block ends where its tokens are full."""
-    order = Window.partitionBy("source", "cell").orderBy("key", "doc_id")
-    before = F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("tokens")
+BLOCKS = "source string, doc_id long, tokens long, cell long, block long, order long"
+
+
+def make_blocks(documents: DataFrame, cells: int, seed: int, block_tokens: int) -> DataFrame:
+    """BLOCKS of ``documents`` (source, doc_id, tokens): documents in seeded order, a block ends where its tokens are full."""
+
+    def cut(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["doc_id", "source", "tokens"], na_position="last").drop_duplicates("doc_id").sort_values(["key", "doc_id"])
+        before = pdf.groupby("source", dropna=False)["tokens"].cumsum() - pdf["tokens"]
+        pdf = pdf.assign(block=before // block_tokens, order=range(len(pdf)))
+        return pdf[["source", "doc_id", "tokens", "cell", "block", "order"]]
+
     return (
-        sized.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(cells)))
+        documents.withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(cells)))
         .withColumn("key", F.xxhash64("doc_id", F.lit(seed)))
-        .withColumn("block", F.floor(before / block_tokens).cast("long"))
-        .select("source", "doc_id", "tokens", F.pmod("cell", F.lit(shards)).cast("int").alias("shard"), "cell", "block")
+        .groupBy("cell")
+        .applyInPandas(cut, BLOCKS)
     )
 
 
+def _choose(seed: int):
+    """The rows of one shard, in seeded order of its blocks, with their uses; ``plan`` has its rounds and its gap."""
+
+    def choose(rows: pd.DataFrame, plan: pd.DataFrame) -> pd.DataFrame:
+        if rows.empty or plan.empty:
+            return pd.DataFrame({c.split()[0]: [] for c in SELECTED.split(", ")})
+        rounds, gap = int(plan["rounds"].iloc[0]), int(plan["gap"].iloc[0])
+        sizes = rows.groupby("block")["tokens"].sum()
+        blocks = np.random.default_rng([seed, int(rows["cell"].iloc[0])]).permutation(np.sort(sizes.index.to_numpy()))
+        taken = set()
+        for block in blocks.tolist():
+            if sizes[block] <= gap:
+                gap -= int(sizes[block])
+                taken.add(block)
+        extra = rows["block"].isin(taken).to_numpy()
+        tokens = rows["tokens"].to_numpy()
+        for k in np.argsort(rows["order"].to_numpy(), kind="stable").tolist() if gap else []:
+            if not extra[k] and tokens[k] <= gap:
+                gap -= int(tokens[k])
+                extra[k] = True
+        out = rows.assign(uses=rounds + extra.astype("int32"))
+        return out[out["uses"] > 0][[c.split()[0] for c in SELECTED.split(", ")]]
+
+    return choose
+
+
+SELECTED = "doc_id long, source string, tokens long, cell long, block long, uses int"
+
+
 def mix(
     documents: DataFrame,
     targets: DataFrame,
@@ -96,42 +137,51 @@ def mix(
     docs_per_cell: int = 20_000,
     total_tokens: int | None = None,
     of_all: bool = False,
+    most_sources: int = 10_000,
 ) -> tuple[DataFrame, DataFrame]:
     """``documents`` (doc_id, source, tokens): (selection, report).
 
-    The selection has (doc_id, source, tokens, shard, cell, block, uses); the report
+    The selection has (doc_id, source, tokens, cell, block, uses); the report
     (source, target_share, tokens_available, max_repeats, quota_blocks,
     tokens_used, reached_share, most_uses, wanted_tokens, missing_tokens, reached_of_all)
     has every source of either side. ``reached_share`` is that of the mixture,
     ``reached_of_all`` that of all tokens of ``documents``.
     """
     spark = documents.sparkSession
-    goals = {
-        r.source: (r.share, r.repeats)
-        for r in targets.select(F.trim("source").alias("source"), "target_share", "max_repeats")
+    listed = (
+        targets.select(F.trim("source").alias("source"), "target_share", "max_repeats")
         .where("source <> '' and target_share > 0 and max_repeats >= 1")
         .groupBy("source")
         .agg(F.max("target_share").alias("share"), F.max_by("max_repeats", "target_share").alias("repeats"))
+        .limit(most_sources + 1)
         .collect()  # the fixed list of targets
-    }
-    everything = materialize(
-        documents.select(F.trim("source").alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens"))
-        .where("tokens > 0")
-        .dropDuplicates(["doc_id"]),
+    )
+    if len(listed) > most_sources:
+        raise ValueError(f"more than {most_sources} sources with a target")
+    goals = {r.source: (r.share, r.repeats) for r in listed}
+    source = F.trim("source")
+    sized = materialize(
+        documents.select(
+            F.when(source != "", source).alias("source"), F.col("doc_id").cast("long").alias("doc_id"), F.col("tokens").cast("long").alias("tokens")
+        ).where("tokens > 0"),
         "sized",
     )
+    cells = max(1, -(-sized.count() // docs_per_cell))
+    everything = materialize(make_blocks(sized, cells, seed, block_tokens), "blocks")
     all_tokens = everything.agg(F.sum("tokens")).first()[0] or 0
-    sized = everything.where("source <> ''")
-    wanted = sized.where(F.col("source").isin(list(goals)))
-    cells = max(1, -(-wanted.count() // docs_per_cell))
-    blocks = materialize(make_blocks(wanted, cells, min(cells, MOST_SHARDS), seed, block_tokens), "blocks")
-    per_shard = {
-        (r.source, r.shard): r.tokens
-        for r in blocks.groupBy("source", "shard").agg(F.sum("tokens").alias("tokens")).collect()  # targets times MOST_SHARDS at most
+    sized = everything.where("source is not null")
+    blocks = sized.where(F.col("source").isin(list(goals)))
+    groups = math.isqrt(cells - 1) + 1
+    shards = materialize(
+        blocks.groupBy("source", "cell").agg(F.sum("tokens").alias("tokens")).withColumn("group", F.col("cell") % groups), "shards"
+    )
+    per_group = {
+        (r.source, r.group): r.tokens
+        for r in shards.groupBy("source", "group").agg(F.sum("tokens").alias("tokens")).collect()  # targets times the root of the cells
     }
     have: dict[str, int] = {}
-    for (source, _), tokens in per_shard.items():
-        have[source] = have.get(source, 0) + tokens
+    for (name, _), tokens in per_group.items():
+        have[name] = have.get(name, 0) + tokens
     limit = {s: max(1, -(-have[s] * goals[s][1] // block_tokens)) for s in have}  # the last block may be a part of one
     if of_all:
         total = all_tokens * sum(share for share, _ in goals.values())
@@ -143,46 +193,35 @@ def mix(
         total = reachable if total_tokens is None else total_tokens
         quota = sainte_lague(shares, round(total / block_tokens), limit)
     wanted_tokens = {s: round(total * share) for s, share in shares.items()}
-    turns: list[tuple[str, int, int, int]] = []
-    for source, n in quota.items():
-        of = {shard: tokens for (s, shard), tokens in per_shard.items() if s == source}
-        if n and n * block_tokens >= have[source] * goals[source][1]:  # all of it
-            turns += [(source, shard, goals[source][1], 0) for shard in of]
-            continue
-        for shard, k in sainte_lague({shard: float(t) for shard, t in of.items()}, n).items():
-            wanted_here = min(k * block_tokens, of[shard] * goals[source][1])
-            turns.append((source, shard, wanted_here // of[shard], wanted_here % of[shard]))
-    plan = spark.createDataFrame(turns, "source string, shard int, rounds long, gap long")
-    drawn = (
-        blocks.groupBy("source", "shard", "cell", "block")
-        .agg(F.sum("tokens").alias("size"))
-        .withColumn("key", F.xxhash64("cell", "block", F.lit(seed)))
-        .join(F.broadcast(plan), ["source", "shard"])
-        .withColumn("taken", F.lit(False))
-    )
-    shard = Window.partitionBy("source", "shard")
-    seeded = shard.orderBy("key", "cell", "block").rowsBetween(Window.unboundedPreceding, 0)
-    # Blocks of one long document come first, as many as their part of the quota rounds to.
-    long = F.col("size") >= 4 * block_tokens
-    long_reach = F.sum(F.when(long, F.col("size")).otherwise(0)).over(seeded)
-    long_part = F.sum(F.when(long, F.col("size")).otherwise(0)).over(shard) / F.sum("size").over(shard)
-    drawn = (
-        drawn.withColumn("reach", long_reach)
-        .withColumn("taken", long & (F.col("reach") - F.col("size") / 2 <= F.col("gap") * long_part) & (F.col("reach") <= F.col("gap")))
-        .withColumn("gap", F.col("gap") - F.sum(F.when(F.col("taken"), F.col("size")).otherwise(0)).over(shard))
+    due: list[tuple[str, int, int, int]] = []
+    for name, n in quota.items():
+        of = {g: tokens for (s, g), tokens in per_group.items() if s == name}
+        repeats = goals[name][1]
+        if n and n * block_tokens >= have[name] * repeats:  # all of it
+            due += [(name, g, -1, repeats) for g in of]
+        elif n:
+            most = {g: -(-t * repeats // block_tokens) for g, t in of.items()}
+            due += [(name, g, k, repeats) for g, k in sainte_lague({g: float(t) for g, t in of.items()}, n, most).items()]
+
+    def turns(pdf: pd.DataFrame) -> pd.DataFrame:
+        n, repeats = int(pdf["due"].iloc[0]), int(pdf["repeats"].iloc[0])
+        of = dict(sorted(zip(pdf["cell"].tolist(), pdf["tokens"].tolist())))
+        if n < 0:
+            wanted = {cell: t * repeats for cell, t in of.items()}
+        else:
+            most = {cell: -(-t * repeats // block_tokens) for cell, t in of.items()}
+            given = sainte_lague({cell: float(t) for cell, t in of.items()}, n, most)
+            wanted = {cell: min(given[cell] * block_tokens, t * repeats) for cell, t in of.items()}
+        rows = [(pdf["source"].iloc[0], cell, w // of[cell], w % of[cell]) for cell, w in wanted.items()]
+        return pd.DataFrame(rows, columns=["source", "cell", "rounds", "gap"])
+
+    plan = (
+        shards.join(F.broadcast(spark.createDataFrame(due, "source string, group long, due long, repeats long")), ["source", "group"])
+        .groupBy("source", "group")
+        .applyInPandas(turns, "source string, cell long, rounds long, gap long")
     )
-    for _ in range(GAP_PASSES):
-        fits = ~F.col("taken") & (F.col("size") <= F.col("gap"))
-        reach = F.sum(F.when(fits, F.col("size")).otherwise(0)).over(seeded)
-        drawn = (
-            drawn.withColumn("now", fits & (reach <= F.col("gap")))
-            .withColumn("gap", F.col("gap") - F.sum(F.when(F.col("now"), F.col("size")).otherwise(0)).over(shard))
-            .withColumn("taken", F.col("taken") | F.col("now"))
-        )
-    uses = F.col("rounds") + F.col("taken").cast("int")
-    drawn = drawn.select("source", "cell", "block", uses.cast("int").alias("uses")).where("uses > 0")
     selection = materialize(
-        blocks.join(drawn, ["source", "cell", "block"]).select("doc_id", "source", "tokens", "shard", "cell", "block", "uses"), "mixture"
+        blocks.groupBy("source", "cell").cogroup(plan.groupBy("source", "cell")).applyInPandas(_choose(seed), SELECTED), "mixture"
     )
     goal_rows = spark.createDataFrame(
         [(s, share, repeats, quota.get(s, 0), wanted_tokens.get(s, 0)) for s, (share, repeats) in goals.items()],

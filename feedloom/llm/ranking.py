@@ -112,33 +112,37 @@ def item_strengths(
     The steps end when no log strength moves by more than ``tolerance`` against their mean; if ``most_steps`` don't
     get there, ArithmeticError tells how far they came.
     """
-    clean = comparisons.select(F.trim("winner").alias("winner"), F.trim("loser").alias("loser"), F.col("weight").cast("double").alias("w"))
-    sums = materialize(
-        clean.where("winner <> '' and loser <> '' and winner <> loser and w > 0").groupBy("winner", "loser").agg(F.sum("w").alias("w")),
+    clean = materialize(
+        comparisons.select(F.trim("winner").alias("winner"), F.trim("loser").alias("loser"), F.col("weight").cast("double").alias("w")).where(
+            "winner <> '' and loser <> '' and winner <> loser and w > 0"
+        ),
         "comparisons",
     )
-    items = materialize(sums.select(F.explode(F.array("winner", "loser")).alias("item")).distinct(), "items")
+    items = materialize(clean.select(F.explode(F.array("winner", "loser")).alias("item")).distinct(), "items")
     n = items.count()
     if not n:
         return items.select("item", F.lit(1.0).alias("strength"))
     if n <= broadcast_items:
-        return _by_vectors(sums, items, smoothing, tolerance, most_steps)
+        return _by_vectors(clean, items, smoothing, tolerance, most_steps)
+    sums = clean.groupBy("winner", "loser").agg(F.sum("w").alias("w"))
     return _by_tables(sums, items, smoothing, tolerance, most_steps)
 
 
-def _by_vectors(sums: DataFrame, items: DataFrame, smoothing: float, tolerance: float, most_steps: int) -> DataFrame:
-    spark = sums.sparkSession
+def _by_vectors(comparisons: DataFrame, items: DataFrame, smoothing: float, tolerance: float, most_steps: int) -> DataFrame:
+    spark = comparisons.sparkSession
     names = np.sort(items.toPandas()["item"].to_numpy(dtype=object))  # at most broadcast_items
     n = len(names)
     ids = F.broadcast(spark.createDataFrame(pd.DataFrame({"item": names, "i": np.arange(n, dtype=np.int32)}), "item string, i int"))
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            columns = [batch.column(c).to_numpy(zero_copy_only=False).tobytes() for c in ("a", "b", "w")]
-            yield pa.RecordBatch.from_arrays([pa.array([c], pa.binary()) for c in columns], names=["a", "b", "w"])
+            a, b, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "w"))
+            pairs, at = np.unique(a.astype(np.int64) * n + b, return_inverse=True)  # repeated pairs of a block become one
+            columns = (pairs // n).astype(np.int32), (pairs % n).astype(np.int32), np.bincount(at, w)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes()], pa.binary()) for c in columns], names=["a", "b", "w"])
 
     blocks = materialize(
-        sums.join(ids.withColumnsRenamed({"item": "winner", "i": "a"}), "winner")
+        comparisons.join(ids.withColumnsRenamed({"item": "winner", "i": "a"}), "winner")
         .join(ids.withColumnsRenamed({"item": "loser", "i": "b"}), "loser")
         .select("a", "b", "w")
         .mapInArrow(packed, "a binary, b binary, w binary"),

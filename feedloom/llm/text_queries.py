@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from feedloom.llm.mixing import mix
 from feedloom.llm.packing import pack
-from feedloom.llm.sentences import sentences
+from feedloom.llm.sentences import sentence_boundaries, sentences
 from feedloom.llm.tokens import token_sizes
 from feedloom.session import materialize, table
 
@@ -53,7 +53,7 @@ def p8_shares(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
-    return sentences(table(spark, folder, "documents")).select("doc_id", "char_end")
+    return sentence_boundaries(table(spark, folder, "documents"))
 
 
 def p9_sentences(spark: SparkSession, folder: str) -> DataFrame:

@@ -30,6 +30,13 @@ from feedloom.llm.sentences import sentence_ends, sentences
         ("a\r\nb\r\n\r\nc", ["a\r\nb", "c"]),
         ("```\nopen. Code.", []),
         ("Is it (worse!) both? (It was fine before.) Yes", ["Is it (worse!) both?", "(It was fine before.)", "Yes"]),
+        ("I restarted the app. 3 times it crashed.", ["I restarted the app.", "3 times it crashed."]),
+        ("He is in the state of the art. 5 people saw it.", ["He is in the state of the art.", "5 people saw it."]),
+        ("Voir l'art. 5 de la charte. Fini.", ["Voir l'art. 5 de la charte.", "Fini."]),
+        ("It took 40 ms. Then it froze. Ms. Tavell saw it.", ["It took 40 ms.", "Then it froze.", "Ms. Tavell saw it."]),
+        ("Me dijo que no. 5 personas lo vieron.", ["Me dijo que no.", "5 personas lo vieron."]),
+        ("Il a écrit : « " + "Ça marche. " * 200 + "Merci. » Fini !", ["Il a écrit : « " + "Ça marche. " * 200 + "Merci. »", "Fini !"]),
+        ("- 12) " + "x" * 300 + ". Next", ["- 12) " + "x" * 300 + ".", "Next"]),
         ("", []), (None, []), (" \n\t ", []), ("---\n\n>", []),
     ],
 )
