@@ -17,7 +17,7 @@ an error.
 There are two forms of a step, of equal results. While there are at most
 ``broadcast_items`` items (counted first), the vector of strengths, 8 bytes an
 item, is broadcast, and the comparisons lie in packed blocks of arrays in the
-shared folder, so that a step is one pass of array sums. Beyond that count
+shared folder, so that a step is one pass of array sums, added up in a tree. Beyond that count
 strengths reach the comparisons by shuffle joins and stay in tables. Sums are
 combined before the shuffle, so an item in a third of all comparisons is no
 hot spot.
@@ -149,6 +149,22 @@ def _by_vectors(comparisons: DataFrame, items: DataFrame, smoothing: float, tole
         "comparisons",
     )
 
+    def packed_sums(into: np.ndarray, out: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([v.tobytes()], pa.binary()) for v in (into, out)], names=["into", "out"])
+
+    def added(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray]:
+        into, out = np.zeros(n), np.zeros(n)
+        for batch in batches:
+            for x, y in zip(batch.column("into"), batch.column("out")):
+                into += np.frombuffer(x.as_buffer(), np.float64)
+                out += np.frombuffer(y.as_buffer(), np.float64)
+        return into, out
+
+    def together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield packed_sums(*added(batches))
+
+    parts = blocks.rdd.getNumPartitions()
+
     def flows(strength: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         sent = spark.sparkContext.broadcast(strength)
 
@@ -161,17 +177,16 @@ def _by_vectors(comparisons: DataFrame, items: DataFrame, smoothing: float, tole
                     rate = np.frombuffer(w.as_buffer(), np.float64) / (s[a] + s[b])
                     into += np.bincount(a, rate * s[b], n)
                     out += np.bincount(b, rate, n)
-            there = np.flatnonzero((into != 0) | (out != 0))
-            yield pa.RecordBatch.from_arrays([pa.array(there.astype(np.int32)), pa.array(into[there]), pa.array(out[there])], names=["i", "into", "out"])
-
-        got = (
-            blocks.mapInArrow(partial, "i int, into double, out double").groupBy("i").agg(F.sum("into").alias("into"), F.sum("out").alias("out")).toArrow()
-        )
+            yield packed_sums(into, out)
+
+        # One pair of vectors a task, added up eight at a time; the driver adds the last eight.
+        sums, left = blocks.mapInArrow(partial, "into binary, out binary"), parts
+        while left > 8:
+            left = -(-left // 8)
+            sums = sums.repartition(left).mapInArrow(together, "into binary, out binary")
+        result = added(sums.toArrow().to_batches())
         sent.destroy()
-        into, out = np.zeros(n), np.zeros(n)
-        at = got["i"].to_numpy()
-        into[at], out[at] = got["into"].to_numpy(), got["out"].to_numpy()
-        return into, out
+        return result
 
     x, was, was_step, ahead = np.zeros(n), None, None, _Ahead()
     dx: list[np.ndarray] = []

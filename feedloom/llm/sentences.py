@@ -65,12 +65,12 @@ ABBREVIATIONS = {
     ),
     "fr": _listed(
         "mme mlle dr prof st env p.ex cf vs",
-        "n° nº no nos num art arts chap p pp fig figs vol tab v ver éd janv févr avr juil sept oct nov déc",
+        "n° nº nos num art arts chap p pp fig figs vol tab v ver éd janv févr avr juil sept oct nov déc",
         "etc al cie min max tél inc ltd",
     ),
     "es": _listed(
         "sr sra srta srs dr dra prof dña aprox ej p.ej av ud uds vd vds cf vs",
-        "núm nº no art arts cap caps pág págs p pp fig figs vol v ver tab ene feb mar abr jun jul ago sep sept oct nov dic",
+        "núm nº art arts cap caps pág págs p pp fig figs vol v ver tab ene feb mar abr jun jul ago sep sept oct nov dic",
         "etc a.m p.m cía min max tel al inc ltd",
     ),
     "it": _listed("sig sigra dott prof avv dr ca cf p.es", "n nº num art artt cap pag pagg p pp fig figg vol tab v ver", "etc ecc min max tel al"),
@@ -100,6 +100,9 @@ ORDINARY = {
 }
 
 
+_SOMEWHERE_ORDINARY = frozenset().union(*ORDINARY.values())
+
+
 def _told(words: list[str]) -> list[str]:
     """The languages that most of the frequent words among ``words`` tell."""
     votes = Counter(lang for word in words for lang in _TOLD.get(word, ()))
@@ -124,7 +127,7 @@ class Language:
         return told if len(told) == 1 else [self.lang]
 
     def known(self, word: str, low: int, at: int) -> Abbreviations:
-        if any(word in words for words in ORDINARY.values()):
+        if word in _SOMEWHERE_ORDINARY:
             told = _told(self.text[low:at].lower().split()[:-1])
             if len(told) > 1:
                 told = [lang for lang in told if lang in self.of_text]
@@ -222,6 +225,12 @@ def _abbreviation(text: str, low: int, at: int) -> str:
     return word
 
 
+def _before(text: str, low: int, at: int) -> str:
+    """The word before the last one before ``at``, in lower case."""
+    two = _TWO_BEFORE.match(text, low, at)
+    return two[1].lower() if two else ""
+
+
 def _next(text: str, at: int, high: int) -> int:
     """Where the text goes on after blanks and, on a new line, list and quote marks."""
     k = _GAP.match(text, at, high).end()
@@ -289,15 +298,13 @@ def _ends(text: str, low: int, term: regex.Match, high: int, closes: set[int], l
     word = _abbreviation(text, low, term.start())
     bare = word.rpartition("-")[2]
     known = language.known(bare, low, term.start())
-    two = _TWO_BEFORE.match(text, low, term.start())
-    before = two[1].lower() if two else ""
-    unit = before[-1:].isdigit() and word in UNITS
+    unit = word in UNITS and _before(text, low, term.start())[-1:].isdigit()
     if word in known.never and not unit:
         return 0
     if word.isdigit():
         if kind == "upper" and len(word) <= 3:
             follows = _NEXT_TOKEN.match(text, k, high)[0].lower().strip(".,;:!?")
-            if follows in GERMAN_MONTHS or before in GERMAN_BEFORE_ORDINAL:
+            if follows in GERMAN_MONTHS or _before(text, low, term.start()) in GERMAN_BEFORE_ORDINAL:
                 return 0
         return 0 if kind == "lower" else closed
     if bare in known.number and kind == "digit":

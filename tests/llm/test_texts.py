@@ -71,7 +71,7 @@ def test_exact_patterns_fill_and_respect_counts():
 
 def test_best_fit():
     boxes = best_fit({6: 1, 5: 1, 4: 1, 3: 1, 2: 2}, 10)
-    assert sorted(map(sorted, boxes)) == [[2, 3, 5], [2], [4, 6]] or sum(map(len, boxes)) == 6
+    assert sorted(map(sorted, boxes)) == [[2, 2], [2, 3, 5], [4, 6]][1:] + [[2]] or sorted(map(sorted, boxes)) == [[2], [2, 3, 5], [4, 6]]
     assert all(sum(b) <= 10 for b in boxes)
 
 
