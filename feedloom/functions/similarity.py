@@ -10,7 +10,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -143,21 +143,50 @@ def confusions(truth: str | Column, read: str | Column) -> Column:
     return aligned(truth, read)
 
 
-def same_line_distinct_victim(stem: str, kept: list[str], stem_least: float = 0.85, digits_below: float = 0.60) -> bool:
-    """Whether a default name (letters and digits) is another player than every kept one, for the sticky-chain guard."""
-    letters, digits = "".join(c for c in stem if not c.isdigit()), "".join(c for c in stem if c.isdigit())
-    if not digits or not letters:
+def other_player_of_one_line(victim: str, kept: list[str], alike: float = 0.85, stem_alike: float = 0.85, digits_below: float = 0.60) -> bool:
+    """Whether a victim is another player than all victims that a chain kept, though of a like name: for the guard of repeated lines.
+
+    It must have digits, be like none of them, and have the letters of one of them with other digits (labels of one character).
+    """
+    split = lambda t: ("".join(c for c in t if not c.isdigit()), "".join(c for c in t if c.isdigit()))
+    letters, digits = split(victim)
+    if not digits or any(ratio_of(victim, other) >= alike for other in kept):
         return False
-    found = False
-    for other in kept:
-        if ratio_of(stem, other) >= 0.85 and (not any(c.isdigit() for c in other) or other == stem):
-            return False
-        l2, d2 = "".join(c for c in other if not c.isdigit()), "".join(c for c in other if c.isdigit())
-        if d2 and ratio_of(letters, l2) >= stem_least:
-            if ratio_of(digits, d2) >= digits_below:
-                return False
-            found = True
-    return found
+    others = [split(other) for other in kept]
+    return any(d and ratio_of(letters, s) >= stem_alike and ratio_of(digits, d) < digits_below for s, d in others)
+
+
+def candidate_pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
+    """(a, b): all pairs of texts whose ratio without letter case can reach ``least`` (above 2/3); of ``left`` alone each pair once, a < b.
+
+    Texts of together s letters with m matched ones lie in at most s - 2 m + 1 common stretches, so they share at least
+    3 m - s - 1 pairs of neighbouring letters. Of two sets that share t elements one of the first n - t + 1 is common, in any
+    order, so only a text's rarest letter pairs are keys. No pair is lost, and frequent letter pairs make no large blocks.
+    """
+    def grams(df: DataFrame) -> DataFrame:
+        low = F.lower("text")
+        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
+        texts = df.select("text", low.alias("low"), pairs.alias("pairs")).where("length(low) > 0")
+        # The second 'ab' of a text is another element than the first.
+        numbered = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", 1, i + 1), lambda x: x == g)).cast("string")))
+        return texts.select("text", F.length("low").alias("size"), F.explode(numbered).alias("gram"))
+
+    def keys(df: DataFrame) -> DataFrame:
+        shortest = F.col("size") * (2 / (2 - least))
+        shared = F.greatest(F.ceil((1.5 * least - 1) * shortest - 1 - 1e-9), F.lit(1))
+        ranked = df.join(frequency, "gram").groupBy("text", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
+        some = F.slice("ranked", F.lit(1), F.greatest(F.col("size") - shared, F.lit(1)).cast("int"))
+        return ranked.select("text", "size", F.explode(some["gram"]).alias("gram"))
+
+    a = grams(left)
+    b = a if right is None else grams(right)
+    every = a.select("gram") if right is None else a.select("gram").unionByName(b.select("gram"))
+    frequency = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    x = keys(a).select("gram", F.col("text").alias("a"), F.col("size").alias("la"))
+    y = keys(b).select("gram", F.col("text").alias("b"), F.col("size").alias("lb"))
+    fits = 2 * F.least("la", "lb") >= F.lit(least) * (F.col("la") + F.col("lb"))
+    pairs = x.join(y, "gram").where(fits if right is not None else fits & (F.col("a") < F.col("b")))
+    return pairs.select("a", "b").distinct()
 
 
 def digit_conflict(a: str | Column, b: str | Column, least: float = 0.6) -> Column:

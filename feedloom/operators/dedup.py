@@ -7,8 +7,14 @@ Rows of one streamer come in order of (time, id). A row with both names is
     its victim a victim that the chain kept, and the chain was seen in the last
     150 s. A chain keeps its first rows and swallows the rest: two for rated
     types, eight for others, or four once it lasts three minutes;
- 3. else the start of a new chain.
-Rows without both names pass.
+ 3. else the start of a new chain, which counts the kept rows of the last
+    ``seed_us`` that resemble it as its own.
+A rated row without any name is refused (its ``kept_id`` is null); other rows
+without both names pass.
+
+Rows of different types never meet (unless ``merge_types``), and a silence of
+the rows of a type longer than all windows leaves no state, so stretches of
+(streamer, type) between silences are folded on their own.
 """
 
 from __future__ import annotations
@@ -20,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.functions.similarity import Target, ratio_of, same_line_distinct_victim
+from feedloom.functions.similarity import Target, other_player_of_one_line, ratio_of
 
 S = 1_000_000
 #: So many independent stretches of a key share a task, for less overhead.
@@ -41,6 +47,18 @@ class DedupRules:
     merge_types: bool = False
     guard_victims: bool = False
     best_match: bool = False
+    #: Look-back for kept rows that a new chain counts; 0: none.
+    seed_us: int = 0
+    seed_rows: int = 200
+    #: Compare with the last line of a chain instead of the first, and lines as they are written.
+    drifting: bool = False
+    as_written: bool = False
+    #: One cap for all types, whatever lasts how long.
+    one_cap: int | None = None
+
+    @property
+    def reach_us(self) -> int:
+        return max(self.chain_gap_us, self.exact_us, self.seed_us)
 
 
 def norm(text: str | None) -> str:
@@ -57,12 +75,18 @@ class Chain:
     victims: list[str] = field(default_factory=list)
 
     def resembles(self, signature: str, victim: str, rules: DedupRules) -> bool:
-        """Whether the line resembles the chain's first one, or the victim one that the chain kept."""
-        if not hasattr(self, "_line"):
-            self._line, self._names = Target(self.signature), []
+        """Whether the line resembles the chain's line, or the victim one that it kept and no other player of a like name."""
+        if getattr(self, "_of", None) != self.signature:
+            self._of, self._line = self.signature, Target(self.signature)
+        if self._line.at_least(signature, rules.line_similarity):
+            return True
+        if not hasattr(self, "_names"):
+            self._names = []
         while len(self._names) < len(self.victims):
             self._names.append(Target(self.victims[len(self._names)]))
-        return self._line.at_least(signature, rules.line_similarity) or any(n.text and n.at_least(victim, rules.victim_similarity) for n in self._names)
+        if not victim or not any(n.text and n.at_least(victim, rules.victim_similarity) for n in self._names):
+            return False
+        return not (rules.guard_victims and other_player_of_one_line(victim, self.victims))
 
 
 @dataclass
@@ -71,45 +95,80 @@ class State:
 
     exact: dict[tuple, tuple[int, int]] = field(default_factory=dict)
     chains: dict[str, list[Chain]] = field(default_factory=dict)
+    #: Kept rows (us, id, type, line, victim) of the look-back, oldest first.
+    kept: list[tuple] = field(default_factory=list)
 
     def dump(self) -> tuple:
         """Plain values, for a state store."""
-        return list(self.exact.items()), [(k, [astuple(c) for c in v]) for k, v in self.chains.items()]
+        return list(self.exact.items()), [(k, [astuple(c) for c in v]) for k, v in self.chains.items()], self.kept
 
     @classmethod
     def load(cls, plain: tuple) -> State:
-        return cls(dict(plain[0]), {k: [Chain(*c) for c in v] for k, v in plain[1]})
+        return cls(dict(plain[0]), {k: [Chain(*c) for c in v] for k, v in plain[1]}, list(plain[2]))
 
     def prune(self, now: int, rules: DedupRules) -> None:
         self.exact = {k: v for k, v in self.exact.items() if now - v[0] <= rules.exact_us}
         self.chains = {k: live for k, c in self.chains.items() if (live := [x for x in c if now - x.last < rules.chain_gap_us])}
+        if rules.seed_us:
+            self.kept = [k for k in self.kept if now - k[0] <= rules.seed_us]
 
 
-def step(state: State, us: int, id_: int, kind: str, attacker: str | None, victim: str | None, rules: DedupRules) -> int:
-    """Id of the kept row that this row counts for: its own if it is kept."""
-    if not (attacker and attacker.strip() and victim and victim.strip()):
-        return id_
+def step(state: State, us: int, id_: int, kind: str, attacker: str | None, victim: str | None, rules: DedupRules) -> int | None:
+    """Id of the kept row that this row counts for: its own if it is kept, none if it is refused."""
+    named = [bool(n and n.strip()) for n in (attacker, victim)]
+    if not all(named):
+        return None if kind in rules.rated_types and not any(named) else id_
     state.prune(us, rules)
     exact = (kind, attacker, victim)
     if exact in state.exact:
         return state.exact[exact][1]
-    signature, name = norm(attacker) + "|" + norm(victim), norm(victim)
+    name = norm(victim)
+    signature = f"{attacker}|{victim}".lower() if rules.as_written else norm(attacker) + "|" + name
     chains = state.chains.setdefault("" if rules.merge_types else kind, [])
-    found = _find(chains, signature, name, rules)
-    if found is None:
-        chains.append(Chain(signature, us, us, 1, id_, [name]))
-        state.exact[exact] = (us, id_)
-        return id_
-    found.length += 1
-    found.last = us
-    if _suppressed(found, kind, rules) and not (rules.guard_victims and same_line_distinct_victim(name, found.victims)):
-        return found.kept_id
-    found.kept_id = id_
-    found.victims.append(name)
+    chain = _find(chains, signature, name, rules)
+    if chain is None:
+        earlier, last = _seed(state, kind, signature, name, rules)
+        chain = Chain(signature, us, us, earlier + 1, id_ if last is None else last, [name])
+        chains.append(chain)
+        keep = last is None or not _over_cap(chain, kind, rules)
+    else:
+        chain.length += 1
+        chain.last = us
+        if rules.drifting:
+            chain.signature = signature
+        keep = not _over_cap(chain, kind, rules) or (
+            rules.guard_victims and kind in rules.rated_types and other_player_of_one_line(name, chain.victims)
+        )
+    if not keep:
+        return chain.kept_id
+    chain.kept_id = id_
+    if name and name not in chain.victims:
+        chain.victims.append(name)
     state.exact[exact] = (us, id_)
+    if rules.seed_us:
+        state.kept.append((us, id_, kind, signature, name))
     return id_
 
 
+def _seed(state: State, kind: str, signature: str, victim: str, rules: DedupRules) -> tuple[int, int | None]:
+    """How many of the latest kept rows a new chain resembles, and the last of them."""
+    if not rules.seed_us:
+        return 0, None
+    of_type = [k for k in reversed(state.kept) if rules.merge_types or k[2] == kind][: rules.seed_rows]
+    line, hits, last, victims = Target(signature), 0, None, []
+    who = Target(victim) if victim else None
+    for _, id_, _, other, other_victim in of_type:
+        like_victim = who is not None and bool(other_victim) and who.at_least(other_victim, rules.victim_similarity)
+        if like_victim and victims and rules.guard_victims and other_player_of_one_line(victim, victims):
+            like_victim = False
+        if like_victim or line.at_least(other, rules.line_similarity):
+            hits += 1
+            last = id_ if last is None else last
+            if other_victim and other_victim not in victims:
+                victims.append(other_victim)
+    return hits, last
+
+
 def _find(chains: list[Chain], signature: str, victim: str, rules: DedupRules) -> Chain | None:
     best, best_at = None, 0.0
     for chain in chains:
@@ -123,7 +182,9 @@ def _find(chains: list[Chain], signature: str, victim: str, rules: DedupRules) -
     return best
 
 
-def _suppressed(chain: Chain, kind: str, rules: DedupRules) -> bool:
+def _over_cap(chain: Chain, kind: str, rules: DedupRules) -> bool:
+    if rules.one_cap is not None:
+        return chain.length > rules.one_cap
     if kind in rules.rated_types:
         return chain.length > rules.rated_cap
     return chain.length > rules.other_cap or (chain.length > rules.long_chain_rows and chain.last - chain.start > rules.long_chain_us)
@@ -133,33 +194,77 @@ READS = "key string, id long, us long, event_type string, attacker string, victi
 KEPT = READS + ", kept_id long"
 
 
-def dedup_events(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
-    """``reads`` (READS) with the id of the kept row that each counts for.
+def _stretches(rows: DataFrame, keys: list[str], gap_us: int) -> DataFrame:
+    """``rows`` with ``stretch``: its number grows at every silence of the ``keys`` longer than ``gap_us``. Only gap-long cells are ordered."""
+    celled = rows.withColumn("cell", F.floor(F.col("us") / gap_us))
+    order = Window.partitionBy(*keys).orderBy("cell")
+    cells = celled.groupBy(*keys, "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    opens = F.when(F.col("first") - F.lag("last").over(order) <= gap_us, 0).otherwise(1)
+    numbered = cells.withColumn("opens", opens).select(
+        *keys, "cell", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch")
+    )
+    return celled.join(numbered, [*keys, "cell"]).drop("cell")
+
 
-    A chain ends when nothing of it was seen for ``chain_gap_us``, so a silence
-    of the streamer longer than that parts independent stretches, and each is a
-    task of its own.
+def fold_sorted(rows: DataFrame, groups: list[str], order: list[str], fresh, step, out: str) -> DataFrame:
+    """``rows`` folded in ``order`` group by group: ``step(state, row)`` gives a tuple of ``out`` (a schema), ``fresh()`` the state of a new group.
+
+    Groups lie sorted in partitions and stream by, so many small ones cost no more than their rows and a large one needs no memory.
     """
-    gap = max(rules.chain_gap_us, rules.exact_us)
-    rows = reads.withColumn("cell", F.floor(F.col("us") / gap))
-    order = Window.partitionBy("key").orderBy("cell")
-    cells = rows.groupBy("key", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    opens = F.when(F.col("first") - F.lag("last").over(order) <= gap, 0).otherwise(1)
-    stretches = cells.withColumn("opens", opens).select(
-        "key", "cell", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch")
-    )
-    placed = rows.join(stretches, ["key", "cell"])
+    names = [c.split()[0] for c in out.split(", ")]
+    columns = [*groups, *order, *(c for c in rows.columns if c not in groups and c not in order)]
+    k = len(groups)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for pdf in batches:
+            made = []
+            for row in pdf.itertuples(index=False, name=None):
+                if row[:k] != last:
+                    last, state = row[:k], fresh()
+                made.append(step(state, dict(zip(columns, row))))
+            yield pd.DataFrame(made, columns=names)
+
+    return rows.select(*columns).repartition(*groups).sortWithinPartitions(*groups, *order).mapInPandas(run, out)
+
+
+def _text(x: object) -> str | None:
+    return x if isinstance(x, str) else None
+
+
+def dedup_events(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
+    """``reads`` (READS) with the id of the kept row that each counts for, null if it is refused."""
+    keys = ["key"] if rules.merge_types else ["key", "lane"]
+    placed = _stretches(reads.withColumn("lane", F.coalesce("event_type", F.lit(""))), keys, rules.reach_us)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["us", "id"])
         state = State()
-        pdf["kept_id"] = [
-            step(state, us, i, kind, a if isinstance(a, str) else None, v if isinstance(v, str) else None, rules)
+        kept = [
+            step(state, us, i, kind, _text(a), _text(v), rules)
             for us, i, kind, a, v in zip(pdf["us"], pdf["id"], pdf["event_type"], pdf["attacker"], pdf["victim"])
         ]
-        return pdf[[c.split()[0] for c in KEPT.split(", ")]]
+        return pdf.assign(kept_id=pd.Series(kept, index=pdf.index, dtype="Int64"))[[c.split()[0] for c in KEPT.split(", ")]]
+
+    return placed.groupBy(*keys, F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, KEPT)
+
+
+def dedup_variants(reads: DataFrame, variants: dict[str, DedupRules]) -> DataFrame:
+    """(variant, key, id, us, kept_id) under several rule sets, in one pass over the rows."""
+    placed = _stretches(reads, ["key"], max(r.reach_us for r in variants.values()))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "id"])
+        rows = list(zip(pdf["us"], pdf["id"], pdf["event_type"], map(_text, pdf["attacker"]), map(_text, pdf["victim"])))
+        out = []
+        for name, rules in variants.items():
+            state = State()
+            kept = pd.Series([step(state, *row, rules) for row in rows], index=pdf.index, dtype="Int64")
+            out.append(pdf[["key", "id", "us"]].assign(variant=name, kept_id=kept))
+        return pd.concat(out)[["variant", "key", "id", "us", "kept_id"]]
 
-    return placed.drop("cell").groupBy("key", F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, KEPT)
+    schema = "variant string, key string, id long, us long, kept_id long"
+    return placed.groupBy("key", F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, schema)
 
 
 def fold_reads(kept: DataFrame) -> DataFrame:
@@ -188,9 +293,9 @@ def stream_dedup(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFram
         ready = sorted((r for r in waiting if r[2] <= mark), key=lambda r: (r[2], r[1]))
         waiting = [r for r in waiting if r[2] > mark]
         out = [(*r, step(state, r[2], r[1], r[3], r[4], r[5], rules)) for r in ready]
-        if waiting or state.exact or state.chains:
+        if waiting or state.exact or state.chains or state.kept:
             held.update((pickle.dumps((state.dump(), waiting)),))
-            soonest = min([r[2] for r in waiting], default=mark + rules.chain_gap_us) // 1000 + 1
+            soonest = min([r[2] for r in waiting], default=mark + rules.reach_us) // 1000 + 1
             held.setTimeoutTimestamp(max(soonest, held.getCurrentWatermarkMs() + 1))
         else:
             held.remove()

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from feedloom.functions.names import tolerant_equal
 from feedloom.functions.similarity import ratio_at_least
+from feedloom.operators.dedup import STRETCHES_A_TASK, _stretches
 from feedloom.operators.joins import within
 
 PAIRED = "game string, truth_id long, read_id long"
@@ -17,27 +18,33 @@ def candidates(truth: DataFrame, reads: DataFrame, slack_us: int = 45_000_000) -
     """Truth and read of a game with tolerant equal victims, close in time. Both have (game, id, us, attacker, victim)."""
     a = truth.select("game", F.col("id").alias("truth_id"), F.col("us").alias("at"), F.col("attacker").alias("true_attacker"), F.col("victim").alias("true_victim"))
     b = reads.select("game", F.col("id").alias("read_id"), "us", "attacker", "victim")
-    return within(a, b, ["game"], "at", "us", slack_us).where(tolerant_equal("true_victim", "victim"))
+    return within(a, b, ["game"], "at", "us", slack_us).where(tolerant_equal("true_victim", "victim", across=True))
 
 
-def greedy_pairs(pairs: DataFrame) -> DataFrame:
-    """One to one: every truth row in order of time takes the first free read. A game is one task."""
+def greedy_pairs(pairs: DataFrame, slack_us: int = 45_000_000) -> DataFrame:
+    """One to one: every truth row in order of time takes the first free read.
+
+    Truth rows that compete for a read are at most twice ``slack_us`` apart,
+    so a silence of the candidates longer than that parts a game into
+    stretches, which are matched on their own.
+    """
+    placed = _stretches(pairs.withColumnRenamed("us", "read_us").withColumnRenamed("at", "us"), ["game"], 2 * slack_us)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         used, rows = set(), []
-        for truth, part in pdf.sort_values(["at", "truth_id", "us", "read_id"]).groupby("truth_id", sort=False):
+        for truth, part in pdf.sort_values(["us", "truth_id", "read_us", "read_id"]).groupby("truth_id", sort=False):
             free = [r for r in part["read_id"] if r not in used]
             if free:
                 used.add(free[0])
                 rows.append((part["game"].iloc[0], truth, free[0]))
         return pd.DataFrame(rows, columns=["game", "truth_id", "read_id"])
 
-    return pairs.groupBy("game").applyInPandas(run, PAIRED)
+    return placed.groupBy("game", F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, PAIRED)
 
 
 def scores(truth: DataFrame, reads: DataFrame, slack_us: int = 45_000_000) -> DataFrame:
     """Per game: truth, reads, matched, recall and precision as whole per cent, rounded down."""
-    matched = greedy_pairs(candidates(truth, reads, slack_us)).groupBy("game").agg(F.count("*").alias("matched"))
+    matched = greedy_pairs(candidates(truth, reads, slack_us), slack_us).groupBy("game").agg(F.count("*").alias("matched"))
     t, r = (df.groupBy("game").agg(F.count("*").alias(n)) for df, n in ((truth, "truth"), (reads, "reads")))
     pct = lambda n: F.when(F.col(n) > 0, F.floor(100 * F.coalesce("matched", F.lit(0)) / F.col(n)))
     return t.join(r, "game", "full").join(matched, "game", "left").select(
@@ -83,6 +90,21 @@ def derive_zone(boxes: DataFrame, key: str, cap_height: float = 0.24, reject_top
     return zone.withColumn("y1", F.least("y1", F.col("y0") + cap_height))
 
 
+def tighten_zone(zone: DataFrame, boxes: DataFrame, key: str, margin: float = 0.02, least_height: float = 0.04) -> DataFrame:
+    """``zone`` (x0, y0, x1, y1) of a key drawn in to its boxes with a margin; it never grows, nor gets lower than ``least_height``.
+
+    Boxes outside the zone don't count; a key without boxes keeps its zone.
+    """
+    inside = boxes.join(zone.select(key, *(F.col(c).alias(f"_{c}") for c in ("x0", "y0", "x1", "y1"))), key)
+    inside = inside.where("x0 >= _x0 and y0 >= _y0 and x1 <= _x1 and y1 <= _y1")
+    fit = inside.groupBy(key).agg(*(f(c).alias(f"_{c}") for f, c in ((F.min, "x0"), (F.min, "y0"), (F.max, "x1"), (F.max, "y1"))))
+    joined = zone.join(fit, key, "left")
+    low = lambda c: F.greatest(F.col(c), F.col(f"_{c}") - margin)
+    high = lambda c: F.least(F.col(c), F.col(f"_{c}") + margin)
+    tight = joined.select(key, *(F.coalesce(low(c), F.col(c)).alias(c) for c in ("x0", "y0")), *(F.coalesce(high(c), F.col(c)).alias(c) for c in ("x1", "y1")), F.col("y1").alias("_old"))
+    return tight.withColumn("y1", F.greatest("y1", F.least("_old", F.col("y0") + least_height))).drop("_old")
+
+
 def line_text(boxes: DataFrame, line: str, icon_gap: int = 80, space_gap: int = 5) -> DataFrame:
     """Words of a line put together by their gaps: over ``icon_gap`` an icon stands between, over ``space_gap`` a blank."""
     order = Window.partitionBy(line).orderBy("x", "text")

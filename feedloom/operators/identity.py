@@ -6,7 +6,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.similarity import possible_pairs, ratio_of
+from feedloom.functions.names import identity_key
+from feedloom.functions.similarity import candidate_pairs, length_bound, possible_pairs, ratio, ratio_of
 
 
 def choose_canonical(players: DataFrame, cluster: str) -> DataFrame:
@@ -47,28 +48,28 @@ SAME_PREFIX, OTHER_PREFIX = 0.70, 0.82
 
 
 def similar_names(players: DataFrame) -> DataFrame:
-    """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82.
+    """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82; the player of more matches first.
 
-    Candidates meet under a shared letter trigram, which every pair with a common
-    prefix has; a pair without one is found if any stretch of three letters is
-    common, as it is for one difference in names of six letters or more. A bound
-    by length comes before the ratio, which is taken with the player of more
-    matches first.
+    Names with a common prefix meet under it, spread over cells where many have
+    one; all others under their rarest letter pairs (``candidate_pairs``). No
+    pair is lost to either.
     """
-    from feedloom.functions.similarity import length_bound, ratio
-
-    n = players.select("player", "matches_played", F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
-    grams = F.transform(F.sequence(F.lit(1), F.length("low") - 2), lambda i: F.substring(F.col("low"), i, F.lit(3)))
-    keys = n.withColumn("keys", F.array_distinct(grams)).withColumn("key", F.explode("keys"))
-    a = keys.select("key", *(F.col(c).alias(f"{c}_a") for c in ("player", "matches_played", "low", "keys")))
-    b = keys.select("key", *(F.col(c).alias(f"{c}_b") for c in ("player", "matches_played", "low", "keys")))
-    ahead = (F.col("matches_played_a") > F.col("matches_played_b")) | ((F.col("matches_played_a") == F.col("matches_played_b")) & (F.col("player_a") < F.col("player_b")))
-    prefix = F.substring("low_a", 1, 3) == F.substring("low_b", 1, 3)
-    once = F.col("key") == F.array_intersect("keys_a", "keys_b")[0]
-    bound = F.when(prefix, length_bound("low_a", "low_b", SAME_PREFIX)).otherwise(length_bound("low_a", "low_b", OTHER_PREFIX))
-    pairs = a.join(b, "key").where(ahead & once & bound).select("player_a", "player_b", "low_a", "low_b", prefix.alias("prefix"))
-    scored = pairs.withColumn("r", ratio("low_a", "low_b"))
-    return scored.where(F.col("r") >= F.when(F.col("prefix"), SAME_PREFIX).otherwise(OTHER_PREFIX)).select(F.col("player_a").alias("a"), F.col("player_b").alias("b"))
+    n = players.select("player", F.coalesce("matches_played", F.lit(0)).alias("matches"), F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
+    head = n.withColumn("head", F.substring("low", 1, 3))
+    sizes = head.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cells"))
+    celled = head.join(sizes, "head").withColumn("cell", F.pmod(F.xxhash64("player"), F.col("cells")))
+    left = celled.select("head", "cell", F.col("player").alias("a"))
+    right = celled.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("player").alias("b"))
+    by_prefix = left.join(right, ["head", "cell"]).where("a < b").where(length_bound(F.col("a"), F.col("b"), SAME_PREFIX)).select("a", "b")
+    others = candidate_pairs(n.select(F.col("player").alias("text")), None, OTHER_PREFIX)
+    side = lambda s: n.select(F.col("player").alias(s), F.col("matches").alias(f"matches_{s}"), F.col("low").alias(f"low_{s}"))
+    pairs = by_prefix.unionByName(others).distinct().join(side("a"), "a").join(side("b"), "b")
+    ahead = F.col("matches_a") >= F.col("matches_b")  # a < b by name
+    first, second = (F.when(ahead, F.col(x)).otherwise(F.col(y)) for x, y in (("low_a", "low_b"), ("low_b", "low_a")))
+    least = F.when(F.substring("low_a", 1, 3) == F.substring("low_b", 1, 3), SAME_PREFIX).otherwise(OTHER_PREFIX)
+    return pairs.withColumn("r", ratio(first, second)).where(F.col("r") >= least).select(
+        F.when(ahead, F.col("a")).otherwise(F.col("b")).alias("a"), F.when(ahead, F.col("b")).otherwise(F.col("a")).alias("b")
+    )
 
 
 BLOCK = 500
@@ -105,14 +106,11 @@ def pairs_at_least(players: DataFrame, least: float) -> DataFrame:
     return met.groupBy("i", "j").applyInPandas(run, "a string, b string, ratio double")
 
 
-def key_edges(players: DataFrame) -> DataFrame:
-    """Names of one confusion key, each tied to the first of its group."""
-    from pyspark.sql import Window
-
-    from feedloom.functions.text import confusion_key
-
-    keyed = players.select("player", confusion_key("player").alias("key")).where(F.length("key") >= LEAST_LENGTH)
-    return keyed.select("player", F.min("player").over(Window.partitionBy("key")).alias("b")).where("player <> b").select(F.col("player").alias("a"), "b")
+def key_edges(players: DataFrame, characters: list[str]) -> DataFrame:
+    """Names of one identity (look-alike key, or default label with its number), each tied to the first of its group."""
+    keyed = players.select("player", identity_key("player", characters).alias("key")).where("key is not null")
+    first = keyed.groupBy("key").agg(F.min("player").alias("b"))
+    return keyed.join(first, "key").where("player <> b").select(F.col("player").alias("a"), "b")
 
 
 def base_token_edges(players: DataFrame) -> DataFrame:
@@ -122,11 +120,11 @@ def base_token_edges(players: DataFrame) -> DataFrame:
     return multi.where(F.length("k") >= LEAST_LENGTH).join(single, "k").select("a", "b")
 
 
-def cluster_names(ratings: DataFrame) -> DataFrame:
+def cluster_names(ratings: DataFrame, characters: list[str]) -> DataFrame:
     """(player, canonical) of names that are not their own canonical form."""
     from feedloom.operators.graph import components
 
-    edges = similar_names(ratings).unionByName(key_edges(ratings)).unionByName(base_token_edges(ratings))
+    edges = similar_names(ratings).unionByName(key_edges(ratings, characters)).unionByName(base_token_edges(ratings))
     groups = components(edges)
     named = ratings.select("player", "matches_played").join(groups.withColumnRenamed("member", "player"), "player")
     return named.join(choose_canonical(named, "group"), "group").where("player <> canonical").select("player", "canonical")

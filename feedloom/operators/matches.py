@@ -85,15 +85,48 @@ def most_confident(kills: DataFrame, most: int) -> DataFrame:
     return best.withColumn("_rank", rank).where(F.col("_rank") <= most).select("match_id", "player")
 
 
-def icon_decision(votes: DataFrame, key: str, order: list[str], vote: str, least_run: int = 3, least_share: float = 0.5) -> DataFrame:
-    """Per key the longest run of 'kill' votes, their share and the decision."""
-    place = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - F.row_number().over(Window.partitionBy(key, vote).orderBy(*order))
-    runs = votes.withColumn("_g", place).groupBy(key, vote, "_g").agg(F.count(F.lit(1)).alias("n"))
-    is_kill = F.col(vote) == "kill"
-    longest = F.coalesce(F.max(F.when(is_kill, F.col("n"))), F.lit(0)).cast("long")
-    share = F.sum(F.when(is_kill, F.col("n")).otherwise(0)) / F.sum("n")
-    decision = F.when((longest >= least_run) & (share >= least_share), "kill").otherwise("gun")
-    return runs.groupBy(key).agg(longest.alias("longest"), F.round(share, 6).alias("fraction"), decision.alias("decision"))
+def icon_decision(votes: DataFrame, key: str, order: list[str], vote: str, least_run: int = 3, least_share: float = 0.5, cell: int = 3_600) -> DataFrame:
+    """Per key the longest run of 'kill' votes, their share and the decision. The first column of ``order`` is a time or a number.
+
+    Runs are found inside cells of time or of so many numbers; of a cell only
+    its counts, its longest run and the runs at its edges go on to the order of
+    the key's cells, where runs that touch are put together.
+    """
+    at = F.col(order[0])
+    number = F.unix_seconds(at.cast("timestamp")) if dict(votes.dtypes)[order[0]].startswith("timestamp") else at
+    rows = votes.withColumn("_cell", F.floor(number / cell)).withColumn("_k", F.col(vote) == "kill")
+    inside = Window.partitionBy(key, "_cell").orderBy(*order)
+    place = F.row_number().over(inside)
+    shift = place - F.row_number().over(Window.partitionBy(key, "_cell", "_k").orderBy(*order))
+    runs = (
+        rows.withColumns({"_p": place, "_g": shift})
+        .groupBy(key, "_cell", "_k", "_g")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("_p").alias("first"), F.max("_p").alias("last"))
+    )
+    size = F.sum("n").over(Window.partitionBy(key, "_cell"))
+    kills = F.when(F.col("_k"), F.col("n"))
+    cells = (
+        runs.withColumn("size", size)
+        .groupBy(key, "_cell")
+        .agg(
+            F.max("size").alias("size"), F.coalesce(F.sum(kills), F.lit(0)).alias("kills"), F.coalesce(F.max(kills), F.lit(0)).alias("longest"),
+            F.coalesce(F.max(F.when(F.col("first") == 1, kills)), F.lit(0)).alias("head"),
+            F.coalesce(F.max(F.when(F.col("last") == F.col("size"), kills)), F.lit(0)).alias("tail"),
+        )
+    )
+    # A cell of kill votes only goes on with the run, any other one ends it at its head and opens another with its tail.
+    whole = F.col("head") == F.col("size")
+    along = Window.partitionBy(key).orderBy("_cell")
+    group = F.sum(F.when(whole, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, -1))
+    parts = cells.withColumn("_run", F.coalesce(group, F.lit(0)))
+    middle = parts.groupBy(key, "_run").agg(F.sum("head").alias("heads"))
+    opened = cells.withColumn("_run", F.sum(F.when(whole, 0).otherwise(1)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    tails = opened.where(~whole).select(key, "_run", "tail")
+    joined = middle.join(tails, [key, "_run"], "full").groupBy(key).agg(F.max(F.coalesce("heads", F.lit(0)) + F.coalesce("tail", F.lit(0))).alias("across"))
+    totals = cells.groupBy(key).agg(F.max("longest").alias("longest"), (F.sum("kills") / F.sum("size")).alias("share"))
+    both = totals.join(joined, key).withColumn("longest", F.greatest("longest", "across").cast("long"))
+    decision = F.when((F.col("longest") >= least_run) & (F.col("share") >= least_share), "kill").otherwise("gun")
+    return both.select(key, "longest", F.round("share", 6).alias("fraction"), decision.alias("decision"))
 
 
 EVENT = "key string, session long, id long, us long, attacker string, victim string, attacker_conf double, victim_conf double, is_kill boolean"
@@ -164,3 +197,40 @@ def build_matches(events: DataFrame, gap_us: int = GAP_US, least_kills: int = 3)
             "kill_count", "players_observed",
         )
     )
+
+
+def sessions_of_rows(rows: DataFrame, gap_us: int = GAP_US, least_kills: int = 3) -> DataFrame:
+    """Sessions of kills without ids (key, ts, a, v), as legacy files hold them: (streamer, start_time, end_time, kills, session), so many kills at least."""
+    numbered = _row_sessions(rows, gap_us)
+    spans = numbered.groupBy("key", "session").agg(F.min("ts").alias("start_time"), F.max("ts").alias("end_time"), F.count(F.lit(1)).alias("kills"))
+    time = lambda c: F.col(c).cast("timestamp_ntz").alias(c)
+    return spans.where(F.col("kills") >= least_kills).select(F.col("key").alias("streamer"), time("start_time"), time("end_time"), "kills", "session")
+
+
+def _row_sessions(rows: DataFrame, gap_us: int) -> DataFrame:
+    celled = rows.withColumn("us", micros("ts")).withColumn("cell", F.floor(F.col("us") / gap_us))
+    order = Window.partitionBy("key").orderBy("cell")
+    cells = celled.groupBy("key", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
+    cells = cells.withColumn("opens", F.when(F.col("first") - F.lag("last").over(order) <= gap_us, 0).otherwise(1))
+    return celled.join(cells.select("key", "cell", F.sum("opens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("session")), ["key", "cell"])
+
+
+def matches_of_rows(rows: DataFrame, gap_us: int = GAP_US, least_kills: int = 3) -> DataFrame:
+    """Matches of kills without ids: sessions with enough kills, split where they are too long or have too many players, parts with enough kills. No marks, no merging."""
+    numbered = _row_sessions(rows, gap_us)
+    size = F.count(F.lit(1)).over(Window.partitionBy("key", "session"))
+    large = numbered.withColumn("_n", size).where(F.col("_n") >= least_kills).select("key", "session", "us", "a", "v")
+
+    def split(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["us", "a", "v"]).reset_index(drop=True)
+        names = [tuple(n or None for n in pair) for pair in zip(pdf["a"], pdf["v"])]
+        starts = [*split_points(pdf["us"].tolist(), names), len(pdf)]
+        out = []
+        for low, high in zip(starts, starts[1:]):
+            if high - low >= least_kills:
+                players = {n for pair in names[low:high] for n in pair if n}
+                out.append((pdf["key"].iloc[0], int(pdf["us"].iloc[low]), int(pdf["us"].iloc[high - 1]), high - low, len(players)))
+        return pd.DataFrame(out, columns=["streamer", "start_us", "end_us", "kill_count", "players_observed"])
+
+    schema = "streamer string, start_us long, end_us long, kill_count int, players_observed int"
+    return large.groupBy("key", "session").applyInPandas(split, schema)

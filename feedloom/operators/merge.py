@@ -1,26 +1,35 @@
 """The same match seen by several streams, merged into one.
 
-Candidate pairs come from an overlap join; their connected components are
-small and independent, and each is merged by one task. Inside a component the
-order of merging matters: pairs are tried in the order of the streams' first
-kill and of time, again from the start after every merge.
+Views that overlap in time are compared pair by pair, each pair a task of the
+size of two matches. Only pairs that share a line (similar names, close in
+time) can ever be merged, directly or after others, so the graph of these pairs
+falls into the groups of views that show one match; overlap alone would tie all
+views of a busy hour together. Each group is then merged by one task, whose
+size is that of the views of one match.
+
+Inside a group the order matters: of all pairs that can be united the first in
+the order of the streams' first kill and of time is, then all again. What once
+could not be united is not tried again before one of the two has changed.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from bisect import bisect_left, bisect_right
+from dataclasses import dataclass, field, replace
+from itertools import combinations
 from statistics import median
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.similarity import ratio_of
+from feedloom.functions.similarity import ratio_at_least, ratio_of
 from feedloom.operators.graph import components
 from feedloom.operators.joins import overlapping
 
+# Clocks of two streams are so far apart at most, spans may be, lines are so similar, and so many are shared.
 SKEW_US, SLOP_US, SIMILARITY, LEAST_SHARED = 60_000_000, 120_000_000, 0.75, 3
-#: Merging shifts clocks, so ends may move; components take in that much more.
+#: Merging shifts clocks, so ends and lines may move; candidates take in that much more.
 MARGIN_US = 300_000_000
 LONGEST_US = 1_800_000_000
 
@@ -36,6 +45,10 @@ class Seen:
     attacker_conf: float = 1.0
     victim_conf: float = 1.0
 
+    @property
+    def line(self) -> str | None:
+        return f"{self.attacker}|{self.victim}".lower() if self.attacker and self.victim else None
+
 
 @dataclass
 class View:
@@ -46,100 +59,146 @@ class View:
     merged: list[str] = field(default_factory=list)
 
     @property
-    def start(self) -> int:
-        return self.kills[0].us
+    def span(self) -> tuple[int, int]:
+        return self.kills[0].us, self.kills[-1].us
 
     @property
-    def end(self) -> int:
-        return self.kills[-1].us
+    def events(self) -> list[Seen]:
+        return self.kills + self.marks
+
+
+class Lines:
+    """Named events of a view by time, to be taken once each."""
+
+    def __init__(self, events: list[Seen]):
+        self.events = events
+        self.by_time = sorted((e.us, k) for k, e in enumerate(events) if e.line)
+        self.times = [us for us, _ in self.by_time]
+        self.taken: set[int] = set()
+
+    def near(self, us: int, window_us: int) -> list[int]:
+        """Places of the free events at most ``window_us`` away, in the order of the view."""
+        found = self.by_time[bisect_left(self.times, us - window_us) : bisect_right(self.times, us + window_us)]
+        return sorted(k for _, k in found if k not in self.taken)
+
+    def take_like(self, line: str, us: int) -> Seen | None:
+        """The most similar free event, the first of equals."""
+        best, at = 0.0, None
+        for k in self.near(us, SKEW_US):
+            other = self.events[k].line
+            if ratio_at_least(line, other, max(SIMILARITY, best)) and (r := ratio_of(line, other)) > best:
+                best, at = r, k
+        if at is None:
+            return None
+        self.taken.add(at)
+        return self.events[at]
 
 
 def shared_events(left: list[Seen], right: list[Seen]) -> list[tuple[Seen, Seen]]:
-    """Greedy pairs: each left event with its most similar unused right one, close in time."""
-    named = [(f"{r.attacker}|{r.victim}".lower(), r) for r in right if r.attacker and r.victim]
-    free = set(range(len(named)))
-    pairs = []
-    for a in left:
-        if not (a.attacker and a.victim):
-            continue
-        line = f"{a.attacker}|{a.victim}".lower()
-        scores = [(ratio_of(line, named[k][0]), -k) for k in free if abs(a.us - named[k][1].us) <= SKEW_US]
-        best, at = max(scores, default=(0.0, 0))
-        if best >= SIMILARITY:
-            free.discard(-at)
-            pairs.append((a, named[-at][1]))
-    return pairs
+    """One to one: every left event in turn with the most similar event of the right side."""
+    lines = Lines(right)
+    found = [(e, lines.take_like(e.line, e.us)) for e in left if e.line]
+    return [(a, b) for a, b in found if b is not None]
+
+
+def share_a_line(left: list[Seen], right: list[Seen]) -> bool:
+    """Whether a merge could ever find a common line, whatever clocks are shifted by."""
+    lines = Lines(right)
+    return any(
+        ratio_at_least(e.line, right[k].line, SIMILARITY) for e in left if e.line for k in lines.near(e.us, SKEW_US + MARGIN_US)
+    )
 
 
 def unite(first: View, second: View) -> View | None:
-    """``second`` in terms of ``first``, if they share enough events: clocks aligned by the median offset."""
-    everything = shared_events(first.kills + first.marks, second.kills + second.marks)
-    if len(everything) < LEAST_SHARED:
+    """``second`` put on the clock of ``first`` by the median offset of what they share, if that is enough. Shared kills keep the better confidences."""
+    offsets = [b.us - a.us for a, b in shared_events(first.events, second.events)]
+    if len(offsets) < LEAST_SHARED:
         return None
-    offset = median(b.us - a.us for a, b in everything)
-    both = {id(a): b for a, b in shared_events(first.kills, second.kills)}
-    taken = {id(b) for b in both.values()}
-    on_clock = lambda e: Seen(round(e.us - offset), e.id, e.attacker, e.victim, e.attacker_conf, e.victim_conf)
-    kills = []
-    for a in first.kills:
-        b = both.get(id(a), a)
-        kills.append(Seen(a.us, a.id, a.attacker, a.victim, max(a.attacker_conf, b.attacker_conf), max(a.victim_conf, b.victim_conf)))
-    kills += [on_clock(b) for b in second.kills if id(b) not in taken]
-    kills.sort(key=lambda e: e.us)
-    marks = first.marks + [on_clock(b) for b in second.marks]
-    return View(first.match_id, first.streamer, kills, marks, first.merged + second.merged + [second.match_id])
+    offset = median(offsets)
+    twins = {id(a): b for a, b in shared_events(first.kills, second.kills)}
+    here = {id(b) for b in twins.values()}
+
+    def surer(e: Seen) -> Seen:
+        twin = twins.get(id(e), e)
+        return replace(e, attacker_conf=max(e.attacker_conf, twin.attacker_conf), victim_conf=max(e.victim_conf, twin.victim_conf))
+
+    def moved(events: list[Seen]) -> list[Seen]:
+        return [replace(e, us=round(e.us - offset)) for e in events if id(e) not in here]
+
+    kills = sorted([surer(e) for e in first.kills] + moved(second.kills), key=lambda e: e.us)
+    return View(first.match_id, first.streamer, kills, first.marks + moved(second.marks), [*first.merged, *second.merged, second.match_id])
 
 
 def merge_views(views: list[View]) -> list[View]:
-    """Merge until nothing more fits; ``views`` in their order of trial."""
-    views = list(views)
-    again = True
-    while again:
-        again = False
-        for i, a in enumerate(views):
-            for j in range(i + 1, len(views)):
-                b = views[j]
-                if a.streamer == b.streamer or a.start - SLOP_US > b.end or b.start - SLOP_US > a.end:
-                    continue
-                first, second = (a, b) if (len(a.kills), b.start) >= (len(b.kills), a.start) else (b, a)
-                united = unite(first, second)
-                if united:
-                    views[i] = united
-                    del views[j]
-                    again = True
-                    break
-            if again:
-                break
-    return views
+    """Merge until nothing fits any more; ``views`` in their order of trial. The view with more kills leads, the earlier of equals."""
+    views, refused = list(views), set()
+
+    def united(a: View, b: View) -> View | None:
+        if (id(a), id(b)) in refused or a.streamer == b.streamer:
+            return None
+        (s, e), (t, f) = a.span, b.span
+        if s - SLOP_US <= f and t - SLOP_US <= e:
+            first, second = sorted((a, b), key=lambda v: (-len(v.kills), v.span[0]))
+            if (new := unite(first, second)) is not None:
+                return new
+        refused.add((id(a), id(b)))
+        return None
+
+    keep = list(views)  # ids of views must stay theirs
+    while True:
+        found = next(((i, j, new) for i, j in combinations(range(len(views)), 2) if (new := united(views[i], views[j]))), None)
+        if found is None:
+            return views
+        i, j, new = found
+        keep.append(new)
+        views[i] = new
+        del views[j]
 
 
 MERGED = "match_id string, streamer string, id long, us long, attacker string, victim string, kill_order int, attacker_conf double, victim_conf double, merged_from string"
 
 
+def _seen(rows: pd.DataFrame) -> list[tuple[bool, Seen]]:
+    name = lambda x: x if isinstance(x, str) else None
+    columns = ["is_kill", "us", "id", "attacker", "victim", "attacker_conf", "victim_conf"]
+    return [(k, Seen(u, i, name(a), name(v), ac, vc)) for k, u, i, a, v, ac, vc in rows.sort_values(["us", "id"])[columns].itertuples(index=False)]
+
+
+def mergeable_pairs(events: DataFrame, spans: DataFrame) -> DataFrame:
+    """(a, b): views of two streams that overlap and share a line. ``events`` have match_id; each pair is one small group."""
+    pairs = overlapping(spans.select("match_id", "key", "s", "e"), "s", "e", "match_id", MARGIN_US, LONGEST_US)
+    pairs = pairs.where("key_a <> key_b").select(F.col("match_id_a").alias("a"), F.col("match_id_b").alias("b"))
+    lines = events.where("attacker is not null and victim is not null").select("match_id", "us", "id", "attacker", "victim")
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("match_id"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
+        left, right = ([Seen(*r) for r in pdf[pdf["match_id"] == m][["us", "id", "attacker", "victim"]].itertuples(index=False)] for m in (a, b))
+        return pd.DataFrame([(a, b)] if share_a_line(left, right) else [], columns=["a", "b"])
+
+    return sides.join(lines, "match_id").groupBy("a", "b").applyInPandas(run, "a string, b string")
+
+
 def merge_matches(events: DataFrame, least_kills: int = 3) -> DataFrame:
     """Kills of the merged matches, from the chunked events of ``matches.match_events``; short matches are dropped after merging."""
     kills = events.where("is_kill")
     match = ["key", "session", "chunk"]
     spans = kills.groupBy(*match).agg(F.min("us").alias("s"), F.max("us").alias("e"))
     spans = spans.withColumn("match_id", F.concat_ws("_", "key", F.floor(F.col("s") / 1_000_000).cast("long"), "chunk"))
-    pairs = overlapping(spans.select("match_id", "key", "s", "e"), "s", "e", "match_id", MARGIN_US, LONGEST_US)
-    groups = components(pairs.where(F.col("key_a") != F.col("key_b")).select(F.col("match_id_a").alias("a"), F.col("match_id_b").alias("b")))
-    placed = events.join(spans, match).join(groups.withColumnRenamed("member", "match_id"), "match_id", "left")
-    placed = placed.withColumn("group", F.coalesce("group", "match_id"))
+    placed = events.join(spans, match)
+    groups = components(mergeable_pairs(placed, spans))
     first = kills.groupBy("key").agg(F.min("us").alias("opened"))
+    placed = placed.join(groups.withColumnRenamed("member", "match_id"), "match_id", "left").withColumn("group", F.coalesce("group", "match_id"))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         views = []
-        for (_, _, _), part in pdf.sort_values(["opened", "key", "s", "match_id"]).groupby(["opened", "key", "match_id"], sort=False):
-            seen = [
-                (k, Seen(u, i, a if isinstance(a, str) else None, v if isinstance(v, str) else None, ac, vc))
-                for k, u, i, a, v, ac, vc in part.sort_values(["us", "id"])[["is_kill", "us", "id", "attacker", "victim", "attacker_conf", "victim_conf"]].itertuples(index=False)
-            ]
+        for _, part in pdf.sort_values(["opened", "key", "s", "match_id"]).groupby(["opened", "key", "s", "match_id"], sort=False):
+            seen = _seen(part)
             views.append(View(part["match_id"].iloc[0], part["key"].iloc[0], [e for k, e in seen if k], [e for k, e in seen if not k]))
         rows = []
         for v in merge_views(views):
             if len(v.kills) >= least_kills:
-                name = f"{v.streamer}_{v.start // 1_000_000}"
+                name = f"{v.streamer}_{v.span[0] // 1_000_000}"
                 rows += [(name, v.streamer, e.id, e.us, e.attacker, e.victim, n, e.attacker_conf, e.victim_conf, ",".join(v.merged)) for n, e in enumerate(v.kills, 1)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
 

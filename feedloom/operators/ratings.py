@@ -9,6 +9,7 @@ survival) is distributed.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,38 +17,43 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import glicko as G
+from feedloom.functions.names import default_label
 from feedloom.operators.matches import most_confident, stat_dedup, survival
 
 ELO_FLOOR = 100.0
 MOST_RATED = 60
 
 
-def valid_player(name: str, legends: list[str], common_words: list[str]) -> Column:
-    """Names that may be rated; the length rule comes before the share of digits."""
-    n = F.col(name)
-    low = F.lower(n)
-    letters = F.regexp_replace(n, r"[^\p{L}]", "")
-    kinds = F.size(F.array_distinct(F.split(letters, "")))
-    digits = F.length(F.regexp_replace(n, r"[^0-9]", "")) / F.length(n)
+# Patterns of lower-cased names that are readings of something else.
+NO_PLAYER = [r"^[0-9]+[a-z]{1,4}$", r"^twitch\.", r"^ping[_.]", r"\[bleed", r"bleed\]", r"^\[[^\]]*\]$"]
+LEAST_NAME, MOST_DIGITS = 4, 0.4
+
+
+def hidden_player(name: str, characters: list[str]) -> Column:
+    """A character's name, bare, in brackets or with a number, or a default label even if misread: nobody in particular."""
+    low = F.lower(name)
     plain = F.trim(F.regexp_replace(low, r"[\[\]()]", ""))
-    legend = [x.lower() for x in legends] + [x.lower().replace(" ", "") for x in legends]
-    label = F.concat(F.lit("^("), F.lit("|".join(sorted(set(legend)))), F.lit(")[ ]*[0-9]+$"))
-    bad = (
-        n.isin(legends)
-        | plain.isin(legend)
-        | F.rlike(low, label)
-        | (F.length(n) < 4)
-        | low.isin([w.lower() for w in common_words])
-        | ((F.length(letters) >= 4) & (kinds <= 2))
-        | low.rlike(r"^[0-9]+[a-z]{1,4}$")
-        | (digits > 0.4)
-        | low.startswith("twitch.")
-        | low.rlike(r"^ping[_.]")
-        | F.contains(low, F.lit("[bleed"))
-        | F.contains(low, F.lit("bleed]"))
-        | n.rlike(r"^\[[^\]]*\]$")
-    )
-    return n.isNotNull() & ~F.coalesce(bad, F.lit(True))
+    if not characters:
+        return F.lit(False)
+    spellings = sorted({c.lower() for c in characters} | {c.lower().replace(" ", "") for c in characters})
+    numbered = F.lit("^(" + "|".join(spellings) + ")[ ]*[0-9]+$")
+    return plain.isin(spellings) | F.rlike(low, numbered) | default_label(name, characters)["number"].isNotNull()
+
+
+def valid_player(name: str, characters: list[str], common_words: list[str]) -> Column:
+    """Names that may be rated: no hidden player, common word, letters repeated over and over, code or reading of something else."""
+    n, low = F.col(name), F.lower(name)
+    letters = F.regexp_replace(n, r"[^\p{L}]", "")
+    refuse = [
+        n.isin(characters),
+        hidden_player(name, characters),
+        F.length(n) < LEAST_NAME,
+        low.isin([w.lower() for w in common_words]),
+        (F.length(letters) >= 4) & (F.size(F.array_distinct(F.split(letters, ""))) <= 2),
+        F.length(F.regexp_replace(n, r"[^0-9]", "")) > MOST_DIGITS * F.length(n),
+        *(low.rlike(p) for p in NO_PLAYER),
+    ]
+    return n.isNotNull() & ~F.coalesce(reduce(Column.__or__, refuse), F.lit(True))
 
 
 def match_rows(kills: DataFrame, valid: Column | None = None) -> DataFrame:

@@ -16,8 +16,16 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from feedloom.session import materialize
+from feedloom.sources.versioned import VersionedTable
+
+STATE = T.StructType(
+    [T.StructField("parent", T.StringType()), T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("refs", "exists", "bucket"))]
+)
 
 
 def clean_key(col: str | Column) -> Column:
@@ -55,6 +63,30 @@ def orphan_keys(state: DataFrame) -> DataFrame:
     return state.where("refs > 0 and exists <= 0").select("parent", "key")
 
 
+class ReferenceState:
+    """The counts per key as a kept table in ``buckets`` by hash, brought up to date change batch by change batch.
+
+    A batch of deltas, insertions and deletions of either side, is summed first; only the buckets it touches are read and
+    replaced, by one atomic commit. Neither table of rows is read again. ``buckets`` should keep a bucket within a task.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+        self.spark, self.buckets = spark, buckets
+        self.store = VersionedTable(spark, path, STATE, "bucket")
+
+    def apply(self, *changes: DataFrame) -> None:
+        bucket = F.pmod(F.xxhash64("parent", "key"), F.lit(self.buckets))
+        batch = materialize(fold(*changes).withColumn("bucket", bucket), "deltas")
+        touched = {r.bucket for r in batch.select("bucket").distinct().collect()}  # at most ``buckets``
+        if touched:
+            stored = self.store.read(only=touched)
+            both = batch.unionByName(stored) if self.store.manifest().buckets else batch
+            self.store.commit(fold(both.drop("bucket")).withColumn("bucket", bucket), touched)
+
+    def read(self) -> DataFrame:
+        return self.store.read().drop("bucket")
+
+
 def references(kills: DataFrame, placements: DataFrame) -> DataFrame:
     """One row per reference: (child_table, ref_field, row_key, day, parent, key).
 
@@ -84,9 +116,8 @@ def references(kills: DataFrame, placements: DataFrame) -> DataFrame:
     return of_kills.unionByName(of_placements).where("key is not null")
 
 
-def orphan_references(refs: DataFrame, *existing: DataFrame) -> DataFrame:
-    """The references whose key has no existence, each row once."""
-    state = fold(reference_deltas(refs), *existing)
+def orphan_references(refs: DataFrame, state: DataFrame) -> DataFrame:
+    """The references whose key has no existence by ``state``, each row once."""
     return refs.join(orphan_keys(state), ["parent", "key"], "left_semi").dropDuplicates(["child_table", "ref_field", "row_key"])
 
 

@@ -36,6 +36,9 @@ SESSION_SCHEMA = T.StructType(
 )
 
 
+ROW_SCHEMA = T.StructType([T.StructField("key", T.StringType()), *(T.StructField(c, T.LongType()) for c in ("us", "id", "day"))])
+
+
 def micros(ts: str | Column) -> Column:
     """Microseconds since 1970 of a TIMESTAMP or TIMESTAMP_NTZ column (UTC)."""
     col = F.col(ts) if isinstance(ts, str) else ts
@@ -90,7 +93,7 @@ def merge_bridged(parts: DataFrame, gap_us: int = GAP_US) -> DataFrame:
             F.max("end_us").alias("end_us"),
             F.min("min_id").alias("min_id"),
             F.max("max_id").alias("max_id"),
-            F.sum("events").alias("events"),
+            F.sum("events").cast("long").alias("events"),
         )
         .select(
             "key", "start_us", "end_us", "min_id", "max_id", "events",
@@ -103,28 +106,48 @@ class SessionTable:
     """Stored sessions, kept up to date batch by batch.
 
     A batch may hold any times: late events extend, bridge or precede stored
-    sessions. A batch must bring whole sets of repeated rows (copies of a row
-    in different batches would be counted twice; their ids and times change
-    nothing).
+    sessions. Only the days are rewritten in which a stored session lies within
+    reach of one of the batch. With ``seen`` the table also keeps the (key, us,
+    id) of all rows by day of time, and rows that come again, in the same batch
+    or a later one, count once; without it a batch must bring whole sets of
+    repeated rows.
     """
 
-    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US):
+    def __init__(self, spark: SparkSession, path: str, gap_us: int = GAP_US, seen: bool = False):
         self.spark, self.gap_us = spark, gap_us
         self.store = VersionedTable(spark, path, SESSION_SCHEMA, "day")
+        self.rows = VersionedTable(spark, f"{path.rstrip('/')}-rows", ROW_SCHEMA, "day") if seen else None
+
+    def _new_rows(self, batch: DataFrame) -> DataFrame:
+        rows = batch.select("key", "us", "id").distinct().withColumn("day", F.floor(F.col("us") / F.lit(DAY_US)).cast("long"))
+        path = fresh_path(self.spark, "rows")
+        rows.write.parquet(path)
+        rows = self.spark.read.schema(ROW_SCHEMA).parquet(path)
+        days = {r.day for r in rows.select("day").distinct().collect()}  # bounded by the span of the batch
+        stored = self.rows.read(only=days)
+        fresh = rows.join(stored, ["key", "us", "id", "day"], "left_anti").select(*ROW_SCHEMA.fieldNames())
+        whole = fresh_path(self.spark, "new-rows")
+        fresh.write.parquet(whole)
+        fresh = self.spark.read.schema(ROW_SCHEMA).parquet(whole)
+        self.rows.commit(stored.unionByName(fresh), days)
+        return fresh.drop("day")
 
     def apply(self, batch: DataFrame) -> None:
         """``batch``: (key, us, id). One pass: local sessions, stored ones within reach, merge, replace."""
         path = fresh_path(self.spark, "local-sessions")
-        local_sessions(batch, self.gap_us).write.parquet(path)
+        local_sessions(self._new_rows(batch) if self.rows else batch, self.gap_us).write.parquet(path)
         local = self.spark.read.schema(SESSION_SCHEMA).parquet(path)
-        first, last = local.agg(F.min("start_us"), F.max("end_us")).first()
-        if first is None:
+        # Days that a session of the batch or its reach touches, one row each.
+        day = lambda us: F.floor(us / F.lit(DAY_US)).cast("long")
+        reach = F.sequence(day(F.col("start_us") - self.gap_us), day(F.col("end_us") + self.gap_us))
+        touched = {r.d for r in local.select(F.explode(reach).alias("d")).distinct().collect()}
+        if not touched:
             return
-        # A stored session within the gap of the batch started at most its own length earlier.
-        low = (first - self.gap_us - self.store.manifest().facts.get("largest", 0)) // DAY_US
-        high = (last + self.gap_us) // DAY_US
-        merged = merge_bridged(local.unionByName(self.store.read(low, high)).drop("day"), self.gap_us)
-        self.store.commit(merged, low, high, F.col("end_us") - F.col("start_us"))
+        # A stored session lies on the day of its start and may reach into a touched one from as far as that day's longest session goes.
+        longest = self.store.manifest().facts.get("largest", {})
+        near = {int(d) for d, most in longest.items() if any(int(d) + k in touched for k in range(int(most // DAY_US) + 2))}
+        merged = merge_bridged(local.unionByName(self.store.read(only=near)).drop("day"), self.gap_us)
+        self.store.commit(merged, near, F.col("end_us") - F.col("start_us"))
 
     def read(self) -> DataFrame:
         return self.store.read()

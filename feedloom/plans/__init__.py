@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from feedloom.plans import api, dealt, functions, names_eval, relational, scans, stateful
+from feedloom.plans import api, dealt, functions, names_eval, relational, scans, stateful, storage
 
-MODULES = [dealt, scans, relational, functions, names_eval, stateful, api]
+MODULES = [dealt, scans, relational, functions, names_eval, stateful, api, storage]
 
 
 def core_queries() -> dict:

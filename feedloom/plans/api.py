@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom import serving as V
-from feedloom.functions import similarity as S
 from feedloom.functions import text as X
 from feedloom.operators import dedup as D
+from feedloom.operators import retro as RE
 from feedloom.plans.registry import Registry, Tables
 from feedloom.plans.stateful import reads
 
@@ -78,30 +78,47 @@ def audit_player(t: Tables) -> DataFrame:
     return rows.select("match_id", "kill_order_out", F.coalesce(F.size("evidence"), F.lit(0)).cast("long").alias("evidence"))
 
 
-@R.add("api_match_detail")
+@R.add("api_match_detail", """
+with m as (select * from matches order by start_time desc nulls last, match_id limit 1)
+select m.match_id, m.streamer, m.start_time, (select count(*) from (select distinct id from match_kills k where k.match_id = m.match_id)) as kills,
+(select count(*) from (select distinct player from match_placements p where trim(p.match_id) = m.match_id and player is not null)) as players from m""")
 def match_detail(t: Tables) -> DataFrame:
-    """The latest match with its kills and placements."""
-    last = t.matches.orderBy(F.desc("start_time"), "match_id").first()
-    return V.match_detail(t.matches, t.match_kills, t.match_placements, last.match_id if last else "")
+    """The latest match with its numbers of kills and players; the match is found inside the plan."""
+    last = t.matches.orderBy(F.desc_nulls_last("start_time"), "match_id").limit(1).select("match_id", "streamer", "start_time")
+    of = F.broadcast(last.select("match_id"))  # one row
+    kills = t.match_kills.join(of, "match_id").groupBy("match_id").agg(F.count_distinct("id").alias("kills"))
+    players = t.match_placements.withColumn("match_id", F.trim("match_id")).join(of, "match_id").groupBy("match_id").agg(F.count_distinct("player").alias("players"))
+    zero = F.lit(0).cast("long")
+    out = last.join(kills, "match_id", "left").join(players, "match_id", "left")
+    return out.select("match_id", "streamer", "start_time", F.coalesce("kills", zero).alias("kills"), F.coalesce("players", zero).alias("players"))
+
+
+@R.add("api_match_detail_rows")
+def match_detail_rows(t: Tables) -> DataFrame:
+    """The detail view of a match of the tables."""
+    return V.match_detail(t.matches, t.match_kills, t.match_placements, "odenplus_1514795580")
+
+
+def _kept(t: Tables) -> DataFrame:
+    return D.dedup_events(reads(t))
 
 
 @R.add("ref_a34_chain_statistics")
 def a34(t: Tables) -> DataFrame:
-    """Length and span of the chains of repeated reads."""
-    kept = D.dedup_events(reads(t))
-    return kept.groupBy("kept_id").agg(F.count("*").alias("rows"), ((F.max("us") - F.min("us")) / 1e6).alias("span_s")).where("rows > 1")
+    """Length, span and least likeness of the chains of repeated reads."""
+    return RE.chain_statistics(_kept(t))
 
 
 @R.add("ref_a38_chain_audit")
 def a38(t: Tables) -> DataFrame:
     """Suppressed rows by how safe that was: same letters, very similar, or to be looked at."""
-    kept = D.dedup_events(reads(t))
-    sig = X.line_signature("attacker", "victim")
-    own = kept.where("id <> kept_id").select("id", "kept_id", sig.alias("line"))
-    first = kept.where("id = kept_id").select("kept_id", sig.alias("kept_line"))
-    pairs = own.join(first, "kept_id").withColumn("r", S.ratio("line", "kept_line"))
-    grade = F.when(F.col("line") == F.col("kept_line"), "exact").when(F.col("r") >= 0.9, "similar").otherwise("flagged")
-    return pairs.groupBy(grade.alias("grade")).agg(F.count("*").alias("n"))
+    return RE.deletion_audit(_kept(t))
+
+
+@R.add("ref_a38_chains_to_look_at")
+def a38b(t: Tables) -> DataFrame:
+    """The three longest chains and the four least alike."""
+    return RE.chains_to_look_at(_kept(t))
 
 
 @R.add("ref_q6_snapshot", """
@@ -114,6 +131,22 @@ def q6(t: Tables) -> DataFrame:
     return one(t.player_ratings, "players").unionByName(one(t.matches, "matches")).unionByName(one(credited, "credited_kills"))
 
 
+@R.add("ref_q6_snapshot_diff", """
+with o as (select distinct trim(dup) as dup, min(trim(canonical)) as canonical from account_merges where trim(dup) <> '' and trim(canonical) <> '' group by 1),
+b as (select player, round(elo, 3) as elo from player_ratings), n as (select coalesce(o.canonical, b.player) as player, max(elo) as elo from b left join o on o.dup = b.player group by 1)
+select coalesce(b.player, n.player) as player, case when b.player is null then 'added' when n.player is null then 'removed' else 'changed' end as what, b.elo as old_elo, n.elo as new_elo
+from b full join n on b.player = n.player where b.player is null or n.player is null or b.elo is distinct from n.elo""")
+def q6b(t: Tables) -> DataFrame:
+    """The board before and after the merges of accounts: what was added, removed or changed."""
+    from feedloom.operators.quality import snapshot_diff
+
+    merges = t.account_merges.select(F.trim("dup").alias("player"), F.trim("canonical").alias("canonical")).where("player <> '' and canonical <> ''").groupBy("player").agg(F.min("canonical").alias("canonical"))
+    board = t.player_ratings.select("player", F.round("elo", 3).alias("elo"))
+    after = board.join(merges, "player", "left").groupBy(F.coalesce("canonical", "player").alias("player")).agg(F.max("elo").alias("elo"))
+    diff = snapshot_diff(board, after, "player", ["elo"])
+    return diff.select("player", "what", F.col("old_values.elo").alias("old_elo"), F.col("new_values.elo").alias("new_elo"))
+
+
 @R.add("ref_f39_f44_plain_names", "select distinct regexp_replace(regexp_replace(trim(streamer), '^(https?://)?(www\\.)?[a-z0-9-]+\\.tv/', '', 'i'), '/+$', '') as channel from feed_events where trim(streamer) <> ''")
 def f39(t: Tables) -> DataFrame:
     return t.feed_events.where("trim(streamer) <> ''").select(X.plain_characters(X.channel_name("streamer")).alias("channel")).distinct()

@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.operators.references import existence_deltas, orphan_references, orphan_report, references
+from feedloom.operators.references import ReferenceState, existence_deltas, orphan_references, orphan_report, reference_deltas, references
 from feedloom.operators.sessions import from_micros, micros, sessionize_in_batches
-from feedloom.session import table
+from feedloom.session import fresh_path, table
 
 
 def _sessions(spark: SparkSession, folder: str) -> DataFrame:
@@ -57,13 +57,19 @@ def p1_sessions_with_matches(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _orphans(spark: SparkSession, folder: str) -> DataFrame:
+    """Orphans by a kept state, in three change batches: what came first, what came late, and the deletion of rows that came twice."""
     t = lambda name: table(spark, folder, name)
-    return orphan_references(
-        references(t("match_kills"), t("match_placements")),
-        existence_deltas(t("feed_events"), "feed_events", "id"),
-        existence_deltas(t("crop_labels"), "crop_labels", "filename"),
-        existence_deltas(t("matches"), "matches", "match_id"),
-    )
+    refs = references(t("match_kills"), t("match_placements"))
+    events = t("feed_events").select("id", "created_at")
+    low, high = events.agg(F.min("created_at"), F.max("created_at")).first()
+    late = F.coalesce(F.col("created_at") > F.lit((low + high) // 2 if low is not None else 0), F.lit(False))
+    state = ReferenceState(spark, fresh_path(spark, "reference-state"), buckets=max(16, t("match_kills").count() // 500_000))
+    state.apply(reference_deltas(refs), existence_deltas(events.where(~late), "feed_events", "id"), existence_deltas(t("matches"), "matches", "match_id"))
+    state.apply(existence_deltas(events.where(late), "feed_events", "id"), existence_deltas(t("crop_labels"), "crop_labels", "filename"))
+    copies = refs.groupBy("child_table", "ref_field", "row_key", "parent", "key").agg((F.count(F.lit(1)) - 1).alias("copies")).where("copies > 0")
+    gone = copies.select("parent", "key", (-F.col("copies")).alias("refs"), F.lit(0).cast("long").alias("exists"))
+    state.apply(gone)
+    return orphan_references(refs, state.read())
 
 
 def p2_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,11 +10,10 @@ from feedloom.functions import similarity as S
 from feedloom.functions import text as X
 from feedloom.operators import evaluation as E
 from feedloom.operators.sessions import micros
+from feedloom.plans.functions import LABELS
 from feedloom.plans.registry import Registry, Tables
 
 R = Registry()
-#: Names of the default labels in the test tables.
-LABELS = ["Kestrel", "Bramble", "Bulwark", "Cinder", "Corsair", "Drift", "Ember", "Halcyon", "Harrow", "Lumen", "Mantis", "Marrow", "Osprey", "Pylon", "Quarry", "Rook", "Sable", "Thicket", "Tundra", "Vesper"]
 
 
 def _players(t: Tables) -> DataFrame:
@@ -29,9 +28,7 @@ def f11(t: Tables) -> DataFrame:
 @R.add("ref_f12_same_identity")
 def f12(t: Tables) -> DataFrame:
     pairs = t.account_merges.select(F.trim("canonical").alias("a"), F.trim("dup").alias("b")).where("a <> '' and b <> ''").distinct()
-    keyed = pairs.select("a", "b", X.confusion_key("a").alias("ka"), X.confusion_key("b").alias("kb"), N.default_label("a", LABELS).alias("la"), N.default_label("b", LABELS).alias("lb"))
-    same = N.same_identity(F.col("a"), F.col("b"), F.col("ka"), F.col("kb"), F.col("la"), F.col("lb"))
-    return keyed.select("a", "b", same.alias("same"))
+    return pairs.select("a", "b", N.same_identity("a", "b", LABELS).alias("same"))
 
 
 @R.add("ref_f18_character_number", """
@@ -43,22 +40,62 @@ def f18(t: Tables) -> DataFrame:
 
 @R.add("ref_f19_characters")
 def f19(t: Tables) -> DataFrame:
-    tokens = t.player_ratings.select(F.explode(F.split(F.regexp_replace("player", "[0-9]+$", ""), "[ _.-]")).alias("token")).where("token <> ''").distinct()
+    """Beginnings of names that are a character's name, misread or not."""
+    names = t.match_kills.select(F.explode(F.array(F.trim("attacker"), F.trim("victim"))).alias("name")).where("name <> ''").distinct()
+    tokens = names.select(F.explode(F.split(F.regexp_replace("name", "[0-9]+", " "), "[ _.-]+")).alias("token")).where("token <> ''").distinct()
     return tokens.select("token", N.character_of("token", {}, LABELS).alias("who")).where("who is not null")
 
 
+@R.add("ref_r13_learned_typos")
+def r13(t: Tables) -> DataFrame:
+    """Words of all texts that are a character's name misread, and in no list yet."""
+    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})"), 1))
+    return N.learn_typos(t.documents.select(words.alias("token")).distinct(), {"harow": "Harrow"}, LABELS)
+
+
+_TAGLESS = "regexp_replace(lower(regexp_replace({}, '\\[[^\\]]*\\]', '', 'g')), '[^a-z0-9]', '', 'g')"
+
+
+@R.add("ref_f46_equal_without_likeness", f"""
+with p as (select distinct attacker as a, victim as v, {_TAGLESS.format('attacker')} as x, {_TAGLESS.format('victim')} as y from match_kills where attacker is not null and victim is not null)
+select a as attacker, v as victim from p where x <> '' and y <> '' and (x = y or (length(x) >= 4 and length(y) >= 4 and (starts_with(x, y) or starts_with(y, x) or left(x, 5) = left(y, 5)))
+or (regexp_replace(x, '[0-9]+$', '') <> '' and regexp_replace(x, '[0-9]+$', '') = regexp_replace(y, '[0-9]+$', '')))""")
+def f46b(t: Tables) -> DataFrame:
+    """Names of both sides that are equal across sources without asking for their likeness."""
+    pairs = t.match_kills.select("attacker", "victim").where("attacker is not null and victim is not null").distinct()
+    x, y = X.norm_untagged("attacker"), X.norm_untagged("victim")
+    begins = (F.length(x) >= 4) & (F.length(y) >= 4) & (F.startswith(x, y) | F.startswith(y, x) | (F.substring(x, 1, 5) == F.substring(y, 1, 5)))
+    same = (x == y) | begins | ((X.stem("attacker") != "") & (X.stem("attacker") == X.stem("victim")))
+    return pairs.where((x != "") & (y != "") & same & N.tolerant_equal("attacker", "victim", across=True))
+
+
 @R.add("ref_f46_tolerant_equal")
 def f46(t: Tables) -> DataFrame:
+    """Pairs of names that are equal up to a misreading, within one source and across two."""
     pairs = t.match_kills.select("attacker", "victim").where("attacker is not null and victim is not null").distinct()
-    return pairs.where(N.tolerant_equal("attacker", "victim"))
+    both = pairs.select("attacker", "victim", N.tolerant_equal("attacker", "victim").alias("within_source"), N.tolerant_equal("attacker", "victim", across=True).alias("across"))
+    return both.where("within_source or across")
+
+
+def _dictionary(t: Tables) -> DataFrame:
+    return t.player_ratings.select(F.col("player").alias("canonical"), F.col("player").alias("variant"), F.col("matches_played").alias("seen"), (F.col("matches_played") > 20).alias("protected"))
 
 
 @R.add("ref_r11_r13_resolved_names")
 def r11(t: Tables) -> DataFrame:
     """Names of events looked up in the dictionary that the ratings make."""
-    dictionary = t.player_ratings.select(F.col("player").alias("canonical"), F.col("player").alias("variant"), F.col("matches_played").alias("seen"), (F.col("matches_played") > 20).alias("protected"))
     names = t.feed_events.select(F.explode(F.array(F.trim("attacker"), F.trim("victim"))).alias("name")).where("name <> ''")
-    return N.resolve(names, dictionary).select("name", "canonical", F.round("score", 6).alias("score"))
+    return N.resolve(names, _dictionary(t), characters=LABELS).select("name", "canonical", F.round("score", 6).alias("score"))
+
+
+@R.add("ref_r11_recent_names")
+def r11b(t: Tables) -> DataFrame:
+    """Attackers in order of time, with the names of the last ten seconds before the dictionary."""
+    rows = t.feed_events.where("timestamp is not null and trim(streamer) <> '' and trim(attacker) <> ''").select(
+        F.lower(F.trim("streamer")).alias("key"), micros("timestamp").alias("us"), "id", F.trim("attacker").alias("name")
+    ).distinct()
+    resolved = N.resolve(rows.select("name"), _dictionary(t), characters=LABELS)
+    return N.resolve_in_time(rows, resolved).select("id", "name", "canonical")
 
 
 @R.add("ref_r12_promoted_variants", """
@@ -118,11 +155,18 @@ def q7b(t: Tables) -> DataFrame:
     return E.misses(*_truth_and_reads(t))
 
 
-@R.add("ref_f41_squads", """
-select id, case when try_cast(nullif(regexp_extract(lower(raw_text), '([0-9]{1,2})\\s*squads?', 1), '') as int) between 1 and 20 then cast(regexp_extract(lower(raw_text), '([0-9]{1,2})\\s*squads?', 1) as int) end as squads
-from (select distinct id, raw_text from feed_events where raw_text is not null)""")
+_BANNERS = "(select match_id, kill_count || ' SQUADS LEFT - ' || players_observed || ' players' as r from matches union all select match_id, players_observed || ' squads' from matches)"
+
+
+@R.add("ref_f41_squads", f"""
+select match_id, r as banner, case when try_cast(nullif(regexp_extract(lower(r), '([0-9]{{1,2}})\\s*squads?', 1), '') as int) between 1 and 20 then cast(regexp_extract(lower(r), '([0-9]{{1,2}})\\s*squads?', 1) as int) end as squads,
+case when try_cast(nullif(regexp_extract(lower(r), 'squads?.*?([0-9]{{1,2}})\\s*players?', 1), '') as int) between 1 and 60 then cast(regexp_extract(lower(r), 'squads?.*?([0-9]{{1,2}})\\s*players?', 1) as int) end as players from {_BANNERS}""")
 def f41(t: Tables) -> DataFrame:
-    return t.feed_events.where("raw_text is not null").select("id", "raw_text").distinct().select("id", X.squads_left("raw_text")["squads"].alias("squads"))
+    """Banners about every match, with and without the number of players."""
+    k, p = F.col("kill_count").cast("string"), F.col("players_observed").cast("string")
+    texts = F.array(F.concat(k, F.lit(" SQUADS LEFT - "), p, F.lit(" players")), F.concat(p, F.lit(" squads")))
+    rows = t.matches.select("match_id", F.explode(texts).alias("banner")).withColumn("x", X.squads_left("banner"))
+    return rows.select("match_id", "banner", "x.squads", "x.players")
 
 
 @R.add("ref_f58_name_status", """

@@ -142,13 +142,17 @@ def j14(t: Tables) -> DataFrame:
 
 
 @R.add("ref_j17_base_token", """
-with p as (select player from player_ratings), s as (select lower(player) as k, max(player) as single from p where not contains(player, ' ') group by 1)
+with n as (select distinct trim(attacker) as player from feed_events where trim(attacker) <> ''),
+p as (select player from n union select regexp_extract(player, '^([A-Za-z]+)_', 1) from n where regexp_extract(player, '^([A-Za-z]+)_', 1) <> ''),
+s as (select lower(player) as k, max(player) as single from p where not contains(player, ' ') group by 1)
 select p.player, s.single from p join s on s.k = lower(split_part(p.player, ' ', 1)) where contains(p.player, ' ') and length(split_part(p.player, ' ', 1)) >= 4""")
 def j17(t: Tables) -> DataFrame:
-    p = t.player_ratings.select("player")
-    single = p.where(~F.contains("player", F.lit(" "))).groupBy(F.lower("player").alias("k")).agg(F.max("player").alias("single"))
-    multi = p.where(F.contains("player", F.lit(" "))).withColumn("k", F.lower(F.split("player", " ")[0])).where("length(k) >= 4")
-    return multi.join(single, "k").select("player", "single")
+    """Names of several words beside the single words that others are written with."""
+    from feedloom.operators.identity import base_token_edges
+
+    n = t.feed_events.select(F.trim("attacker").alias("player")).where("player <> ''").distinct()
+    heads = n.select(F.regexp_extract("player", "^([A-Za-z]+)_", 1).alias("player")).where("player <> ''")
+    return base_token_edges(n.unionByName(heads).distinct()).select(F.col("a").alias("player"), F.col("b").alias("single"))
 
 
 @R.add("ref_j24_kills_and_deaths", """
@@ -527,6 +531,19 @@ def w7(t: Tables) -> DataFrame:
     return most_confident(t.match_kills, 10)
 
 
+@R.add("ref_w7_most_rated", """
+with x as (select match_id, trim(attacker) as player, kill_order as o, 0 as slot, case when coalesce(attacker_conf, 0) = 0 then 0.5 else attacker_conf end as c from match_kills
+union all select match_id, trim(victim), kill_order, 1, case when coalesce(victim_conf, 0) = 0 then 0.5 else victim_conf end from match_kills),
+b as (select match_id, player, max(c) as c, min(o * 2 + slot) as first from x where player <> '' group by 1, 2)
+select match_id, player from (select *, row_number() over (partition by match_id order by c desc, first, player) as rn from b) where rn <= 60""")
+def w7b(t: Tables) -> DataFrame:
+    """As ref_w7_top_by_confidence with the limit that ratings use."""
+    from feedloom.operators.matches import most_confident
+    from feedloom.operators.ratings import MOST_RATED
+
+    return most_confident(t.match_kills, MOST_RATED)
+
+
 @R.add("ref_w8_first_occurrence", "select trim(attacker) as player, min(id) as first_id from feed_events where trim(attacker) <> '' group by 1")
 def w8(t: Tables) -> DataFrame:
     return t.feed_events.select(F.trim("attacker").alias("player"), "id").where("player <> ''").groupBy("player").agg(F.min("id").alias("first_id"))
@@ -559,7 +576,7 @@ select id, count(*) over (partition by key order by s range between 6 preceding
 (select distinct id, lower(trim(streamer)) as key, cast(floor(epoch_us(timestamp) / 1000000) as bigint) as s from feed_events where timestamp is not null and trim(streamer) <> '')""")
 def w13(t: Tables) -> DataFrame:
     rows = timed(t).select("id", "key", F.floor(F.col("us") / 1_000_000).cast("long").alias("s"))
-    return rows.select("id", F.count("*").over(Window.partitionBy("key").orderBy("s").rangeBetween(-6, 6)).alias("around"))
+    return J.around(rows, "key", "s", 6).select("id", "around")
 
 
 @R.add("ref_w14_latest", "select id, event_type from (select distinct id, event_type from feed_events order by id desc limit 30) order by id")

@@ -85,9 +85,9 @@ def p2b(t: Tables) -> DataFrame:
     return t.feed_events.where(F.contains(F.lower("attacker"), F.lit("_m"))).select("id", "attacker")
 
 
-@R.add("ref_p3_time_range", "select id from feed_events where timestamp between timestamp '2018-01-10 00:00:00' and timestamp '2018-01-10 12:00:00'")
+@R.add("ref_p3_time_range", "select id from feed_events where timestamp between timestamp '2018-01-10 00:00:00' and timestamp '2018-01-12 12:00:00'")
 def p3(t: Tables) -> DataFrame:
-    return E.query_events(t.feed_events, from_ts=dt.datetime(2018, 1, 10), to_ts=dt.datetime(2018, 1, 10, 12)).select("id")
+    return E.query_events(t.feed_events, from_ts=dt.datetime(2018, 1, 10), to_ts=dt.datetime(2018, 1, 12, 12)).select("id")
 
 
 @R.add("ref_p4_source_and_flag", "select id from feed_events where source = 'gemini' and gemini_corrected = 1")
@@ -123,9 +123,9 @@ def p9(t: Tables) -> DataFrame:
 
 
 @R.add("ref_p10_domain", """
-select id, icon_vote, read_count from feed_events where icon_vote not in ('', 'kill', 'gun') or read_count < 1 or attacker_conf < 0 or attacker_conf > 1""")
+select id, icon_vote, read_count from feed_events where icon_vote not in ('', 'kill') or read_count < 1 or attacker_conf <= 0 or attacker_conf > 1""")
 def p10(t: Tables) -> DataFrame:
-    bad = ~F.col("icon_vote").isin("", "kill", "gun") | (F.col("read_count") < 1) | (F.col("attacker_conf") < 0) | (F.col("attacker_conf") > 1)
+    bad = ~F.col("icon_vote").isin("", "kill") | (F.col("read_count") < 1) | (F.col("attacker_conf") <= 0) | (F.col("attacker_conf") > 1)
     return t.feed_events.where(bad).select("id", "icon_vote", "read_count")
 
 
@@ -144,10 +144,11 @@ def p13(t: Tables) -> DataFrame:
     return t.feed_events.select("id", "attacker", "victim").distinct().select("id", (sa + sv).alias("score")).where("score >= 4").distinct()
 
 
-@R.add("ref_p14_garbled", "select player from player_ratings where regexp_matches(regexp_replace(lower(player), '[^a-z]', '', 'g'), '[bcdfghjklmnpqrstvwxz]{4,}')")
+@R.add("ref_p14_garbled", "select distinct raw_text as text from feed_events where regexp_matches(regexp_replace(lower(raw_text), '[^a-z]', '', 'g'), '[bcdfghjklmnpqrstvwxz]{8,}')")
 def p14(t: Tables) -> DataFrame:
-    letters = F.regexp_replace(F.lower("player"), "[^a-z]", "")
-    return t.player_ratings.where(letters.rlike("[bcdfghjklmnpqrstvwxz]{4,}")).select("player")
+    """Texts with eight consonants in a row."""
+    letters = F.regexp_replace(F.lower("raw_text"), "[^a-z]", "")
+    return t.feed_events.where(letters.rlike("[bcdfghjklmnpqrstvwxz]{8,}")).select(F.col("raw_text").alias("text")).distinct()
 
 
 @R.add("ref_p15_blocklist", "select match_id, streamer from matches where streamer is not null and streamer not in ('solarena', 'odenplus')")
@@ -270,10 +271,10 @@ def o11(t: Tables) -> DataFrame:
     return rows.select("match_id", "player", F.row_number().over(w).alias("place"))
 
 
-@R.add("ref_o10_seeded_sample")
+@R.add("ref_o10_seeded_sample", "select filename, label from crop_labels where label is not null order by md5(filename || '|7'), filename limit 100")
 def o10(t: Tables) -> DataFrame:
     """The same 100 crops on every run, whatever the partitions."""
-    return t.crop_labels.where("label is not null").orderBy(F.xxhash64("filename", F.lit(7)), "filename").limit(100).select("filename", "label")
+    return t.crop_labels.where("label is not null").orderBy(F.md5(F.concat("filename", F.lit("|7"))), "filename").limit(100).select("filename", "label")
 
 
 @R.add("ref_u1_names", """

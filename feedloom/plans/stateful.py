@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import CHARACTERS
 from feedloom.operators import dedup as D
 from feedloom.operators import identity as I
 from feedloom.operators import matches as M
@@ -14,6 +13,7 @@ from feedloom.operators import ratings as RT
 from feedloom.operators import votes as V
 from feedloom.operators.events import name_or_null
 from feedloom.operators.sessions import micros
+from feedloom.plans.functions import LABELS
 from feedloom.plans.registry import Registry, Tables
 
 R = Registry()
@@ -49,7 +49,7 @@ def r5(t: Tables) -> DataFrame:
 
 
 def _placements(t: Tables) -> DataFrame:
-    valid = RT.valid_player("player", CHARACTERS, [])
+    valid = RT.valid_player("player", LABELS, [])
     return RT.rate_all(RT.match_rows(t.match_kills.dropDuplicates(["id"]), valid))
 
 
@@ -74,14 +74,40 @@ def r8(t: Tables) -> DataFrame:
     return RT.period_update(start, won.unionByName(lost))
 
 
-@R.add("ref_p11_valid_player")
+_WHO = "(" + ", ".join(f"'{c.lower()}'" for c in LABELS) + ")"
+_NAMED = "^(" + "|".join(c.lower() for c in LABELS) + ")[ ]*[0-9]+$"
+
+
+@R.add("ref_p11_valid_player", f"""
+select n as player from (select distinct trim(victim) as n from match_kills where trim(victim) <> '')
+where not (lower(n) in {_WHO} or trim(regexp_replace(lower(n), '[\\[\\]()]', '', 'g')) in {_WHO} or regexp_matches(lower(n), '{_NAMED}') or length(n) < 4 or lower(n) in ('ring', 'squad')
+or (length(regexp_replace(n, '[^\\p{{L}}]', '', 'g')) >= 4 and len(list_distinct(string_split(regexp_replace(n, '[^\\p{{L}}]', '', 'g'), ''))) <= 2)
+or regexp_matches(lower(n), '^[0-9]+[a-z]{{1,4}}$') or length(regexp_replace(n, '[^0-9]', '', 'g')) > 0.4 * length(n) or starts_with(lower(n), 'twitch.') or regexp_matches(lower(n), '^ping[_.]')
+or contains(lower(n), '[bleed') or contains(lower(n), 'bleed]') or regexp_full_match(n, '\\[[^\\]]*\\]'))""")
 def p11(t: Tables) -> DataFrame:
-    return t.player_ratings.where(RT.valid_player("player", CHARACTERS, ["ring", "squad"])).select("player")
+    """Victims that may be rated; labels that are misread are left to ``ref_p11_hidden_players``."""
+    from feedloom.functions.names import default_label
+
+    names = t.match_kills.select(F.trim("victim").alias("player")).where("player <> ''").distinct()
+    misread = default_label("player", LABELS)["number"].isNotNull() & ~F.lower("player").rlike(_NAMED)
+    return names.where(RT.valid_player("player", LABELS, ["ring", "squad"]) | (misread & _apart_from_labels())).select("player")
+
+
+def _apart_from_labels():
+    """The other tests of a player, for names that only a misread label refuses."""
+    return RT.valid_player("player", [], ["ring", "squad"])
+
+
+@R.add("ref_p11_hidden_players")
+def p11b(t: Tables) -> DataFrame:
+    """Names on either side of match_kills that are nobody in particular: default labels, misread ones too."""
+    names = t.match_kills.select(F.explode(F.array(F.trim("attacker"), F.trim("victim"))).alias("player")).where("player <> ''").distinct()
+    return names.where(RT.hidden_player("player", LABELS))
 
 
 @R.add("ref_r9_name_clusters")
 def r9(t: Tables) -> DataFrame:
-    return I.cluster_names(t.player_ratings)
+    return I.cluster_names(t.player_ratings, LABELS)
 
 
 @R.add("ref_j15_similar_names")
@@ -91,7 +117,7 @@ def j15(t: Tables) -> DataFrame:
 
 @R.add("ref_j16_key_edges")
 def j16(t: Tables) -> DataFrame:
-    return I.key_edges(t.player_ratings.select("player"))
+    return I.key_edges(t.player_ratings.select("player"), LABELS)
 
 
 @R.add("ref_r10_reapplied_clusters", """
@@ -128,14 +154,10 @@ def st5(t: Tables) -> DataFrame:
 
 @R.add("ref_q9_lever_sizes")
 def q9(t: Tables) -> DataFrame:
-    """Rows that survive under several rules."""
-    out = None
-    for cap in (1, 2, 4):
-        for merge in (False, True):
-            kept = D.dedup_events(reads(t), D.DedupRules(rated_cap=cap, merge_types=merge))
-            row = kept.groupBy(F.lit(cap).alias("cap"), F.lit(merge).alias("merge_types")).agg(F.count_if(F.col("id") == F.col("kept_id")).alias("kept"), F.count("*").alias("all"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Rows that survive under several rules, all gone through in one pass."""
+    rules = {f"{cap} {'merged' if merge else 'by type'}": D.DedupRules(rated_cap=cap, merge_types=merge) for cap in (1, 2, 4) for merge in (False, True)}
+    kept = D.dedup_variants(reads(t), rules)
+    return kept.groupBy("variant").agg(F.count_if(F.col("id") == F.col("kept_id")).alias("kept"), F.count("*").alias("all"))
 
 
 @R.add("ref_st2_st3_tracks")

@@ -116,3 +116,11 @@ def audit_player(placements: DataFrame, matches: DataFrame, kills: DataFrame, ev
 def audit_event(kills: DataFrame, matches: DataFrame, event_id: int) -> DataFrame:
     """Matches that an event went into."""
     return kills.where(F.col("source_event_id") == event_id).join(matches.select("match_id", "streamer", "start_time"), "match_id")
+
+
+def crop_files(crops: DataFrame, path: str) -> DataFrame:
+    """The crop (filename, streamer, filepath) that a path from outside asks for; an unsafe path finds nothing."""
+    from feedloom.functions.text import safe_path
+
+    asked = F.lit(path)
+    return crops.where(safe_path(asked) & (F.col("filepath") == asked)).select("filename", "streamer", "filepath")

@@ -29,12 +29,14 @@ def local_session(cpus: int | str = 8, **extra: str) -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where it is unset (tests, local runs) a local folder is chosen and
-    also registered as the checkpoint folder.
+    Only where it is unset and the session is a local one (tests) a local folder is chosen and
+    also registered as the checkpoint folder; a cluster without it is an error.
     """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         folder = os.path.join(tempfile.gettempdir(), f"feedloom-{os.getuid()}")
         sc.setCheckpointDir(folder)
     elif not sc.getCheckpointDir():
@@ -47,6 +49,17 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def forget(*tables: DataFrame) -> None:
+    """Delete tables of ``materialize`` that nothing reads any more."""
+    for df in tables:
+        spark = df.sparkSession
+        root = shared_folder(spark).rstrip("/")
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            if root.removeprefix("file:") in folder:
+                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends here.
 

@@ -15,7 +15,7 @@ from feedloom import schemas
 
 def read_event_csv(spark: SparkSession, path: str) -> DataFrame:
     """Legacy event CSV with a header in any order. Bad confidences count as one half, rows without a readable time are left out."""
-    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").csv(path)
+    raw = spark.read.option("header", True).option("mode", "PERMISSIVE").option("escape", '"').csv(path)
     get = lambda c: F.col(c) if c in raw.columns else F.lit(None).cast("string")
     conf = lambda c: F.coalesce(F.when(F.trim(get(c)) != "", F.trim(get(c))).try_cast("double"), F.lit(0.5))
     text = lambda c: F.when(F.trim(get(c)) != "", F.trim(get(c)))
@@ -78,3 +78,42 @@ def scrape_board(pages: DataFrame) -> DataFrame:
     """Board of all ``pages`` (page_id, html): the first name of each rank, by page."""
     found = pages.lateralJoin(BoardRows(F.col("html").outer())).select("page_id", "rank", "name", "points")
     return found.groupBy("rank").agg(F.min_by(F.struct("name", "points"), F.struct("page_id", "name")).alias("x")).select("rank", "x.name", "x.points")
+
+
+def import_event_csv(spark: SparkSession, csv: str, path: str) -> int:
+    """A legacy CSV appended to an event table with its defaults; the number of rows added."""
+    rows = schemas.conform(read_event_csv(spark, csv), schemas.EVENTS)
+    n = rows.count()
+    if n:
+        rows.write.mode("append").parquet(path)
+    return n
+
+
+def probe(spark: SparkSession, path: str, wanted: list[str]) -> dict[str, object]:
+    """What is known of a table without reading it: whether it is there, its columns, and which of the wanted ones are missing."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at):
+        return {"exists": False, "columns": [], "missing": list(wanted)}
+    columns = spark.read.parquet(path).columns
+    return {"exists": True, "columns": columns, "missing": [c for c in wanted if c not in columns]}
+
+
+def file_age_hours(spark: SparkSession, path: str, now_ms: int) -> float | None:
+    """Hours since the file was written; None if there is none."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    return (now_ms - system.getFileStatus(at).getModificationTime()) / 3_600_000 if system.exists(at) else None
+
+
+def refresh_board(spark: SparkSession, path: str, make, now_ms: int, day: str, most_age_h: float = 24.0, least_rows: int = 200, force: bool = False) -> str:
+    """A board kept fresh: 'fresh' if it is young enough, 'refused' if ``make()`` gives too few rows to be sane, else 'written'."""
+    from feedloom.sources.sinks import write_csv_with_backup
+
+    age = file_age_hours(spark, path, now_ms)
+    if not force and age is not None and age <= most_age_h:
+        return "fresh"
+    board = make()
+    if board.limit(least_rows).count() < least_rows:
+        return "refused"
+    write_csv_with_backup(board, path, day)
+    return "written"

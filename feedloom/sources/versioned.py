@@ -43,14 +43,15 @@ class VersionedTable:
             stream.close()
         return Manifest(**json.loads(text))
 
-    def read(self, lowest: int | None = None, highest: int | None = None) -> DataFrame:
-        """All rows, or those of the buckets from ``lowest`` to ``highest``."""
+    def read(self, lowest: int | None = None, highest: int | None = None, only: set[int] | None = None) -> DataFrame:
+        """All rows, or those of the buckets from ``lowest`` to ``highest``, or of the buckets in ``only``."""
         manifest = self.manifest()
         by_folder: dict[str, list[int]] = {}
         skipped: set[str] = set(manifest.facts.get("partial", []))
         for b, folder in manifest.buckets.items():
-            if (lowest is None or int(b) >= lowest) and (highest is None or int(b) <= highest):
-                by_folder.setdefault(folder, []).append(int(b))
+            k = int(b)
+            if (lowest is None or k >= lowest) and (highest is None or k <= highest) and (only is None or k in only):
+                by_folder.setdefault(folder, []).append(k)
             else:
                 skipped.add(folder)
         out = None
@@ -61,29 +62,40 @@ class VersionedTable:
             out = part if out is None else out.unionByName(part)
         return self.spark.createDataFrame([], self.schema) if out is None else out
 
-    def commit(self, rows: DataFrame, lowest: int, highest: int, measure: Column | None = None) -> Manifest:
-        """Replace the buckets from ``lowest`` to ``highest`` by ``rows``.
+    def commit(self, rows: DataFrame, replaced: set[int], measure: Column | None = None) -> Manifest:
+        """Replace the buckets in ``replaced`` by ``rows``; buckets of ``rows`` beyond them are added, and must be new.
 
         The driver gets one row per written bucket, a number bounded by the
         time span of the table. The manifest keeps the largest ``measure`` of
-        any row ever written.
+        each bucket.
         """
         old = self.manifest()
         folder = f"c{old.version + 1:06d}-{uuid.uuid4().hex[:8]}"
         rows.select(*self.schema.fieldNames()).write.parquet(f"{self.path}/{folder}")
         written = self.spark.read.schema(self.schema).parquet(f"{self.path}/{folder}")
         now = written.groupBy(self.bucket).agg(F.max(F.lit(0) if measure is None else measure)).collect()
-        replaced = {b for b in old.buckets if lowest <= int(b) <= highest}
-        buckets = {b: f for b, f in old.buckets.items() if b not in replaced} | {str(b): folder for b, _ in now}
-        partial = {old.buckets[b] for b in replaced} | set(old.facts.get("partial", []))
-        facts = {
-            "partial": sorted(partial & set(buckets.values())),
-            "largest": max([old.facts.get("largest", 0), *(m for _, m in now)]),
-        }
-        new = Manifest(old.version + 1, buckets, facts)
+        gone = {str(b) for b in replaced}
+        clash = {str(b) for b, _ in now} & (set(old.buckets) - gone)
+        if clash:
+            raise ValueError(f"rows of buckets that are not replaced: {sorted(clash)[:5]}")
+        kept = {b: f for b, f in old.buckets.items() if b not in gone}
+        buckets = kept | {str(b): folder for b, _ in now}
+        partial = {f for b, f in old.buckets.items() if b in gone} | set(old.facts.get("partial", []))
+        largest = {b: m for b, m in old.facts.get("largest", {}).items() if b in kept} | {str(b): m for b, m in now}
+        new = Manifest(old.version + 1, buckets, {"partial": sorted(partial & set(buckets.values())), "largest": largest})
         self._swap(json.dumps(new.__dict__))
         return new
 
+    def vacuum(self) -> int:
+        """Delete the folders that no bucket of the manifest lies in, for the time when nobody reads an older version; their number."""
+        live, gone = set(self.manifest().buckets.values()), 0
+        for status in self._fs.listStatus(self._jvm.org.apache.hadoop.fs.Path(self.path)):
+            name = status.getPath().getName()
+            if status.isDirectory() and name not in live:
+                self._fs.delete(status.getPath(), True)
+                gone += 1
+        return gone
+
     def _swap(self, text: str) -> None:
         fs = self._jvm.org.apache.hadoop.fs
         temp = fs.Path(f"{self.path}/_CURRENT.{uuid.uuid4().hex}")

@@ -10,7 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from feedloom.functions.text import TextRules, parse_lines
+from feedloom.functions.lines import parse_lines
+from feedloom.functions.text import TextRules
 from feedloom.operators.dedup import DedupRules, stream_dedup
 from feedloom.sources.sinks import upsert
 

@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 
 @dataclass
 class Squads:
-    """Smoothed number of squads: drops need two to four equal reads by size, a jump up of five or more twice is a new match."""
+    """Smoothed number of squads, which never rises within a match.
+
+    Lower reads in a row that don't rise among themselves confirm a drop: two for one of up to four, three up to seven, else four.
+    A read as shown forgets them. A jump up of five or more, read twice alike, is a new match; smaller rises change nothing.
+    """
 
     shown: int | None = None
     candidate: int | None = None
@@ -26,19 +30,19 @@ class Squads:
 def squads_step(s: Squads, read: int | None) -> tuple[Squads, int | None]:
     if read is None:
         return s, s.shown
-    if s.shown is None:
+    if s.shown is None or read == s.shown:
         return Squads(read, None, 0, s.match), read
-    if read == s.shown:
-        return Squads(s.shown, None, 0, s.match), s.shown
-    seen = s.seen + 1 if read == s.candidate else 1
-    up = read >= s.shown + 5
-    if read > s.shown and not up:
-        return Squads(s.shown, None, 0, s.match), s.shown
-    drop = s.shown - read
-    need = 2 if up or drop <= 4 else 3 if drop <= 7 else 4
-    if seen >= need:
-        return Squads(read, None, 0, s.match + up), read
-    return Squads(s.shown, read, seen, s.match), s.shown
+    if read < s.shown:
+        seen = s.seen + 1 if s.candidate is not None and read <= s.candidate else 1
+        drop = s.shown - read
+        if seen >= (2 if drop <= 4 else 3 if drop <= 7 else 4):
+            return Squads(read, None, 0, s.match), read
+        return Squads(s.shown, read, seen, s.match), s.shown
+    if read - s.shown < 5:
+        return s, s.shown
+    if read == s.candidate:
+        return Squads(read, None, 0, s.match + 1), read
+    return Squads(s.shown, read, 1, s.match), s.shown
 
 
 @dataclass
@@ -69,19 +73,27 @@ def hash_step(s: Hashes, us: int, value: int, window_us: int = 30_000_000, most_
 
 @dataclass
 class Proposal:
-    """Two agreeing proposals in a row confirm; ten attempts at most."""
+    """Zones (left end, width): two agreeing proposals in a row confirm; ten attempts at most."""
 
-    last: float | None = None
+    last: tuple[float, float] | None = None
     attempts: int = 0
-    confirmed: float | None = None
+    confirmed: tuple[float, float] | None = None
+
+
+def zones_agree(a: tuple[float, float], b: tuple[float, float]) -> bool:
+    """As ``text.zones_overlap``: half of the narrower one shared, left ends at most 0.1 apart."""
+    shared = min(a[0] + a[1], b[0] + b[1]) - max(a[0], b[0])
+    return shared >= 0.5 * min(a[1], b[1]) and abs(a[0] - b[0]) <= 0.1
 
 
-def proposal_step(s: Proposal, value: float, tolerance: float = 0.1, most: int = 10) -> tuple[Proposal, float | None]:
-    if s.confirmed is not None or s.attempts >= most:
-        return s, s.confirmed
-    agreed = s.last is not None and abs(s.last - value) <= tolerance
-    s = Proposal(value, s.attempts + 1, value if agreed else None)
-    return s, s.confirmed
+def proposal_step(s: Proposal, zone: tuple[float, float] | None, most: int = 10) -> tuple[Proposal, list[float] | None]:
+    shown = lambda z: None if z is None else list(z)
+    if zone is None or s.confirmed is not None or s.attempts >= most:
+        return s, shown(s.confirmed)
+    zone = (float(zone[0]), float(zone[1]))
+    agreed = s.last is not None and zones_agree(s.last, zone)
+    s = Proposal(zone, s.attempts + 1, zone if agreed else None)
+    return s, shown(s.confirmed)
 
 
 @dataclass
@@ -113,7 +125,7 @@ def run_ordered(rows: DataFrame, key: str, order: list[str], value: str, start,
         pdf = pdf.sort_values(order)
         state, results = start(), []
         for v in pdf[value]:
-            state, r = step(state, None if pd.isna(v) else v)
+            state, r = step(state, None if v is None or v is pd.NA or (isinstance(v, float) and v != v) else v)
             results.append(r)
         pdf[out] = pd.Series(results, index=pdf.index, dtype="object")
         return pdf

@@ -1,6 +1,6 @@
 import datetime as dt
 
-from feedloom.operators.references import existence_deltas, fold, orphan_keys, orphan_references, orphan_report, reference_deltas, references
+from feedloom.operators.references import ReferenceState, existence_deltas, fold, orphan_keys, orphan_references, orphan_report, reference_deltas, references
 
 KILLS = "id long, match_id string, timestamp timestamp_ntz, source_event_id long, crop_filename string, extra string, key string"
 PLACES = "match_id string, player string, parent string"
@@ -23,7 +23,7 @@ def test_orphans(spark):
     ]
     places = [(" m_1514795580 ", " P ", ""), ("gone_1514795580", "Q", ""), ("gone", None, ""), (None, "R", "")]
     refs, have = world(spark, kills, places, [10], ["a.png"], ["m_1514795580"])
-    got = orphan_references(refs, *have)
+    got = orphan_references(refs, fold(reference_deltas(refs), *have))
     assert sorted((r.child_table, r.ref_field, r.row_key) for r in got.collect()) == [
         ("match_kills", "crop_filename", "2"), ("match_kills", "source_event_id", "2"),
         ("match_placements", "match_id", "gone_1514795580|Q"), ("match_placements", "match_id", "gone|"),
@@ -47,4 +47,24 @@ def test_changes_fold_in_any_order(spark):
 
 def test_empty(spark):
     refs, have = world(spark, [], [])
-    assert orphan_references(refs, *have).count() == 0
+    assert orphan_references(refs, fold(reference_deltas(refs), *have)).count() == 0
+
+
+def test_kept_state_through_insertions_late_arrivals_and_deletions(spark):
+    from feedloom.session import fresh_path
+
+    keys = lambda *k: spark.createDataFrame([("t", x) for x in k], "parent string, key string")
+    ids = lambda *k: spark.createDataFrame([(x,) for x in k], "id string")
+    state = ReferenceState(spark, fresh_path(spark, "state"), buckets=4)
+    orphans = lambda: {r.key for r in orphan_keys(state.read()).collect()}
+    state.apply(reference_deltas(keys("a", "b", "b", "c")), existence_deltas(ids("a"), "t", "id"))
+    assert orphans() == {"b", "c"}
+    before = dict(state.store.manifest().buckets)
+    state.apply(existence_deltas(ids("c"), "t", "id"))  # late
+    assert orphans() == {"b"} and sum(before[b] != f for b, f in state.store.manifest().buckets.items() if b in before) <= 1
+    state.apply(existence_deltas(ids("a"), "t", "id", -1), reference_deltas(keys("b"), -1))  # deleted
+    assert orphans() == {"a", "b"}
+    state.apply(reference_deltas(keys("a", "b"), -1), reference_deltas(keys("c"), -1), existence_deltas(ids("c"), "t", "id", -1))
+    assert orphans() == set() and state.read().count() == 0
+    state.apply(reference_deltas(keys("b")))
+    assert orphans() == {"b"}

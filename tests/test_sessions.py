@@ -75,3 +75,19 @@ def test_empty_and_unusable(spark):
     assert sessionize_in_batches(df).count() == 0
     df = spark.createDataFrame([(1, None, T0, 1, "", ""), (2, "a", None, None, "", "")], SCHEMA)
     assert sessionize_in_batches(df).count() == 0
+
+
+def test_rows_that_come_again_count_once_and_far_days_stay(spark):
+    t = lambda d, s: T0 + dt.timedelta(days=d, seconds=s)
+    rows = [(k, "s", t(d, s), 0, "", "") for k, (d, s) in enumerate([(0, 0), (0, 60), (3, 5), (9, 0), (9, 50)])]
+    table = SessionTable(spark, fresh_path(spark, "test"), seen=True)
+    table.apply(usable_events(spark.createDataFrame(rows, SCHEMA)))
+    folder = dict(table.store.manifest().buckets)
+    table.apply(usable_events(spark.createDataFrame([rows[1], rows[1], (7, "s", t(0, 100), 0, "", ""), (8, "s", t(9, 90), 0, "", "")], SCHEMA)))
+    assert made(table.read()) == brute([*rows, (7, "s", t(0, 100), 0, "", ""), (8, "s", t(9, 90), 0, "", "")])
+    after = table.store.manifest().buckets
+    days = sorted(map(int, after))
+    assert after[str(days[1])] == folder[str(days[1])] and after[str(days[0])] != folder[str(days[0])] and after[str(days[2])] != folder[str(days[2])]
+    assert table.store.vacuum() == 0
+    table.apply(usable_events(spark.createDataFrame([(k + 20, "s", t(d, 7), 0, "", "") for k, d in enumerate((0, 3, 9))], SCHEMA)))
+    assert table.store.vacuum() >= 1 and sum(r.events for r in table.read().collect()) == 10

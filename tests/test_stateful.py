@@ -103,7 +103,7 @@ def test_split_points():
     times = [k * D.S for k in range(40)] + [(k + 80) * D.S for k in range(40)]
     names = [(f"a{k}", None) for k in range(40)] + [(f"b{k}", None) for k in range(40)]
     assert split_points(times, names) == [0, 40]
-    assert split_points([], []) == [0] or split_points([5], [("a", "b")]) == [0]
+    assert split_points([5], [("a", "b")]) == [0]
 
 
 def test_survival(spark):
@@ -147,7 +147,7 @@ def test_components(spark):
 
 
 def test_votes():
-    assert vote(["jolly kemo", "jolly kenno", "jolly kemo"]) == "jolly kemo" or vote(["jolly kemo", "jolly kemo", "jo1ly kemo"]) == "jolly kemo"
+    assert vote(["jolly kemo", "jolly kemo", "jo1ly kemo"]) == "jolly kemo"
     assert best_variant(["abc", "abcd", "abcd"]) == "abcd" and best_variant(["a b", "a  b", ""]) == "a b" and best_variant([]) is None
 
 
@@ -157,6 +157,11 @@ def test_small_states():
         s, x = ST.squads_step(s, r)
         shown.append(x)
     assert shown == [20, 20, 18, 18, 18, 18, 18, 3, 3, 3, 20] and s.match == 1
+    s, shown = ST.Squads(), []
+    for r in (10, 9, 8, 12, 7, 18, 7, 6, 1, 2, 1, 1):  # reads that don't rise confirm a drop; a small rise leaves the count alone
+        s, x = ST.squads_step(s, r)
+        shown.append(x)
+    assert shown == [10, 10, 8, 8, 8, 8, 7, 7, 7, 7, 7, 1]
     s, out = ST.Streak(), []
     for hit in [True] * 6 + [False, True]:
         s, x = ST.streak_step(s, hit)
@@ -166,9 +171,10 @@ def test_small_states():
     h, b = ST.hash_step(h, 1_000_000, 0b1110)
     h, c = ST.hash_step(h, 40_000_000, 0b1110)
     assert (a, b, c) == (True, False, True)
-    p, x = ST.proposal_step(ST.Proposal(), 0.2)
-    p, y = ST.proposal_step(p, 0.25)
-    assert (x, y) == (None, 0.25)
+    p, x = ST.proposal_step(ST.Proposal(), (0.2, 0.3))
+    p, far = ST.proposal_step(p, (0.6, 0.3))
+    p, y = ST.proposal_step(p, (0.65, 0.3))
+    assert (x, far, y) == (None, None, [0.65, 0.3])
     r, n = ST.recent_step(ST.RecentNames(), 0, "Maggie8793")
     r, n2 = ST.recent_step(r, 1_000_000, "Magg1e8793")
     assert n2 == "Maggie8793"
