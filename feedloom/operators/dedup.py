@@ -223,7 +223,7 @@ def fold_sorted(rows: DataFrame, groups: list[str], order: list[str], fresh, ste
                 if row[:k] != last:
                     last, state = row[:k], fresh()
                 made.append(step(state, dict(zip(columns, row))))
-            yield pd.DataFrame(made, columns=names)
+            yield pd.DataFrame(made, columns=names, dtype=object)
 
     return rows.select(*columns).repartition(*groups).sortWithinPartitions(*groups, *order).mapInPandas(run, out)
 
@@ -233,20 +233,17 @@ def _text(x: object) -> str | None:
 
 
 def dedup_events(reads: DataFrame, rules: DedupRules = DedupRules()) -> DataFrame:
-    """``reads`` (READS) with the id of the kept row that each counts for, null if it is refused."""
+    """``reads`` (READS) with the id of the kept row that each counts for, null if it is refused. Rows stream by; a task holds the open state only."""
+    columns = [c.split()[0] for c in READS.split(", ")]
     keys = ["key"] if rules.merge_types else ["key", "lane"]
-    placed = _stretches(reads.withColumn("lane", F.coalesce("event_type", F.lit(""))), keys, rules.reach_us)
+    rows = reads.select(*columns).withColumns({"reads": F.coalesce("reads", F.lit(0)).cast("long"), "lane": F.coalesce("event_type", F.lit(""))})
+    placed = _stretches(rows, keys, rules.reach_us)
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        state = State()
-        kept = [
-            step(state, us, i, kind, _text(a), _text(v), rules)
-            for us, i, kind, a, v in zip(pdf["us"], pdf["id"], pdf["event_type"], pdf["attacker"], pdf["victim"])
-        ]
-        return pdf.assign(kept_id=pd.Series(kept, index=pdf.index, dtype="Int64"))[[c.split()[0] for c in KEPT.split(", ")]]
-
-    return placed.groupBy(*keys, F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, KEPT)
+    def one(state: State, row: dict) -> tuple:
+        kept = step(state, row["us"], row["id"], row["event_type"], _text(row["attacker"]), _text(row["victim"]), rules)
+        return (*(row[c] for c in columns), kept)
+
+    return fold_sorted(placed, [*keys, "stretch"], ["us", "id"], State, one, KEPT)
 
 
 def dedup_variants(reads: DataFrame, variants: dict[str, DedupRules]) -> DataFrame:

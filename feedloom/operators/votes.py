@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -11,10 +12,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from feedloom.functions.similarity import ratio_at_least
+from feedloom.functions.text import gap_marker
+from feedloom.operators.dedup import _stretches, fold_sorted
 
 LEAST_VOTE = 0.4
-#: So many independent stretches of a key share a task, for less overhead.
-STRETCHES_A_TASK = 64
 
 
 def vote(reads: list[str]) -> str | None:
@@ -52,40 +53,55 @@ def best_text(tracks: DataFrame) -> DataFrame:
 
 
 TRACKS = "key string, id long, us long, text string, track long"
+_MARK = re.compile(r"<(kill|gun)_icon>", re.IGNORECASE)
 
 
-def track_reads(reads: DataFrame, window_us: int = 6_000_000, similarity: float = 0.75) -> DataFrame:
+def _marker_of(text: str) -> str:
+    """'kill' before 'gun' before none, as ``text.gap_marker``."""
+    return min((m.lower() for m in _MARK.findall(text)), key=["kill", "gun"].index, default="")
+
+
+def track_reads(reads: DataFrame, window_us: int = 6_000_000, similarity: float = 0.75, markers: str = "any") -> DataFrame:
     """``reads`` (key, id, us, text) with the track of each: the most similar open track of the key seen in the last seconds.
 
-    Silence of a key longer than the window parts independent stretches, which are tasks of their own.
+    A track is compared by its first text. ``markers``: 'same' lets only reads of one marker (kill, gun, none) meet, 'voted'
+    compares texts without regard to it, as a vote decides later. Silence of a key longer than the window parts stretches
+    that stream by on their own; a task holds the open tracks only.
+    """
+
+    def step(open_: list[list], row: dict) -> tuple:
+        us, text = row["us"], row["text"] if isinstance(row["text"], str) else ""
+        kind = _marker_of(text) if markers == "same" else ""
+        plain = _MARK.sub("<ICON>", text) if markers == "voted" else text
+        open_[:] = [t for t in open_ if us - t[0] <= window_us]
+        near = [(SequenceMatcher(None, plain, t[1]).ratio(), -k) for k, t in enumerate(open_) if t[3] == kind and ratio_at_least(plain, t[1], similarity)]
+        if near:
+            track = open_[-max(near)[1]]
+            track[0] = us
+        else:
+            track = [us, plain, row["id"], kind]
+            open_.append(track)
+        return row["key"], row["id"], us, row["text"], track[2]
+
+    placed = _stretches(reads.select("key", "id", "us", "text"), ["key"], window_us)
+    return fold_sorted(placed, ["key", "stretch"], ["us", "id"], list, step, TRACKS)
+
+
+def flushed_tracks(tracks: DataFrame, least_run: int = 3, least_share: float = 0.5) -> DataFrame:
+    """(key, track, last_us, text, reads, icon_vote) of every track, as a timer that finds it silent puts it out.
+
+    The marker is 'kill' if kill reads are ``least_run`` in a row and ``least_share`` of the marked ones, else 'gun'; without a marked read it is null.
     """
-    from pyspark.sql import Window
-
-    rows = reads.withColumn("cell", F.floor(F.col("us") / window_us))
-    order = Window.partitionBy("key").orderBy("cell")
-    cells = rows.groupBy("key", "cell").agg(F.min("us").alias("first"), F.max("us").alias("last"))
-    opens = F.when(F.col("first") - F.lag("last").over(order) <= window_us, 0).otherwise(1)
-    parts = cells.withColumn("o", opens).select("key", "cell", F.sum("o").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("stretch"))
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["us", "id"])
-        open_: list[list] = []  # [last us, first text, id]
-        tracks = []
-        for us, id_, text in zip(pdf["us"], pdf["id"], pdf["text"]):
-            text = text if isinstance(text, str) else ""
-            open_ = [t for t in open_ if us - t[0] <= window_us]
-            near = [(SequenceMatcher(None, text, t[1]).ratio(), -k) for k, t in enumerate(open_) if ratio_at_least(text, t[1], similarity)]
-            if near:
-                t = open_[-max(near)[1]]
-                t[0] = us
-            else:
-                t = [us, text, id_]
-                open_.append(t)
-            tracks.append(t[2])
-        pdf["track"] = tracks
-        return pdf[[c.split()[0] for c in TRACKS.split(", ")]]
-
-    return rows.join(parts, ["key", "cell"]).drop("cell").groupBy("key", F.floor(F.col("stretch") / STRETCHES_A_TASK)).applyInPandas(run, TRACKS)
+    ordered = F.transform(F.sort_array(F.collect_list(F.struct("us", "id", gap_marker("text").alias("m")))), lambda r: r["m"])
+    rows = tracks.groupBy("key", "track").agg(F.max("us").alias("last_us"), ordered.alias("marks"))
+    marked = rows.withColumn("marks", F.filter("marks", lambda m: m.isNotNull()))
+    longest = F.aggregate(
+        "marks", F.struct(F.lit(0).alias("now"), F.lit(0).alias("most")),
+        lambda s, m: F.struct(F.when(m == "kill", s["now"] + 1).otherwise(0).alias("now"), F.greatest(s["most"], F.when(m == "kill", s["now"] + 1).otherwise(0)).alias("most")),
+    )["most"]
+    kills = F.size(F.filter("marks", lambda m: m == "kill"))
+    decision = F.when(F.size("marks") == 0, F.lit(None).cast("string")).when((longest >= least_run) & (kills >= least_share * F.size("marks")), "kill").otherwise("gun")
+    return best_text(tracks).join(marked.select("key", "track", "last_us", decision.alias("icon_vote")), ["key", "track"]).select("key", "track", "last_us", "text", "reads", "icon_vote")
 
 
 def cluster_in_time(rows: DataFrame, window_us: int = 120_000_000, similarity: float = 0.82) -> DataFrame:

@@ -48,9 +48,11 @@ def f19(t: Tables) -> DataFrame:
 
 @R.add("ref_r13_learned_typos")
 def r13(t: Tables) -> DataFrame:
-    """Words of all texts that are a character's name misread, and in no list yet."""
-    words = F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z]{3,12})"), 1))
-    return N.learn_typos(t.documents.select(words.alias("token")).distinct(), {"harow": "Harrow"}, LABELS)
+    """Words of names, read with a v for every u, that are a character's name misread and in no list yet."""
+    names = t.match_kills.select(F.explode(F.array(F.trim("attacker"), F.trim("victim"))).alias("name")).where("name <> ''").distinct()
+    words = F.explode(F.split(F.regexp_replace("name", "[0-9]+", " "), "[ _.-]+"))
+    tokens = names.select(words.alias("token")).where("token <> ''").select(F.translate("token", "uU", "vV").alias("token"))
+    return N.learn_typos(tokens, {"harow": "Harrow"}, LABELS)
 
 
 _TAGLESS = "regexp_replace(lower(regexp_replace({}, '\\[[^\\]]*\\]', '', 'g')), '[^a-z0-9]', '', 'g')"

@@ -168,6 +168,15 @@ def st3(t: Tables) -> DataFrame:
     return V.best_text(V.track_reads(rows)).select("key", "track", "text")
 
 
+@R.add("ref_st3_flushed_tracks")
+def st3b(t: Tables) -> DataFrame:
+    """Tracks with markers of the reader, compared without regard to them, with the vote on the marker."""
+    marked = F.replace(F.replace("raw_text", F.lit("<skull>"), F.lit("<KILL_ICON>")), F.lit("[R-44]"), F.lit("<GUN_ICON>"))
+    rows = t.feed_events.where("timestamp is not null and trim(streamer) <> '' and raw_text is not null").select(
+        F.lower(F.trim("streamer")).alias("key"), "id", micros("timestamp").alias("us"), marked.alias("text")).dropDuplicates(["id"])
+    return V.flushed_tracks(V.track_reads(rows, markers="voted"))
+
+
 @R.add("ref_r14_victim_clusters")
 def r14(t: Tables) -> DataFrame:
     rows = t.match_kills.where("timestamp is not null and trim(victim) <> ''").select(F.col("match_id").alias("key"), "id", micros("timestamp").alias("us"), F.lower(F.trim("victim")).alias("text")).dropDuplicates(["id"])

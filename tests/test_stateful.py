@@ -186,3 +186,63 @@ def test_icon_decision(spark, reads, decision):
 
     df = spark.createDataFrame([("x", k, {"g": "gun", "k": "kill"}[c]) for k, c in enumerate(reads)], "key string, n int, vote string")
     assert icon_decision(df, "key", ["n"], "vote").first().decision == decision
+
+
+def test_tracks_and_their_markers(spark):
+    from feedloom.operators.votes import flushed_tracks, track_reads
+
+    reads = ["ann <GUN_ICON> bob", "ann <KILL_ICON> bob", "ann <KILL_ICON> bob", "ann <KILL_ICON> bob", "other line of text"]
+    df = spark.createDataFrame([("s", k, k * D.S, text) for k, text in enumerate(reads)] + [("s", 9, 60 * D.S, reads[0])], "key string, id long, us long, text string")
+    voted = {r.track: (r.last_us, r.reads, r.icon_vote) for r in flushed_tracks(track_reads(df, markers="voted")).collect()}
+    assert voted == {0: (3 * D.S, 4, "kill"), 4: (4 * D.S, 1, None), 9: (60 * D.S, 1, "gun")}
+    same = {r.id: r.track for r in track_reads(df, markers="same").collect()}
+    assert same == {0: 0, 1: 1, 2: 1, 3: 1, 4: 4, 9: 9}
+
+
+def test_seeded_chains_and_refused_rows(spark):
+    rows = [("s", k, k * 300 * D.S, "Kill", "ann", "bobby12", 1) for k in range(4)] + [("s", 10, 5000 * D.S, "Kill", None, " ", 1), ("s", 11, 5001 * D.S, "Ping", None, None, 1)]
+    df = spark.createDataFrame(rows, D.READS)
+    plain = {r.id: r.kept_id for r in D.dedup_events(df).collect()}
+    seeded = {r.id: r.kept_id for r in D.dedup_events(df, D.DedupRules(seed_us=1800 * D.S)).collect()}
+    assert plain == {0: 0, 1: 1, 2: 2, 3: 3, 10: None, 11: 11}
+    assert seeded == {0: 0, 1: 1, 2: 1, 3: 1, 10: None, 11: 11}
+
+
+def test_guard_of_two_players_with_a_like_name():
+    from feedloom.functions.similarity import other_player_of_one_line as other
+
+    assert other("gibraltar2127", ["gibraltar1619"]) and not other("gibraltar2127", ["gibraltar2121"])
+    assert not other("gibraltar", ["gibraltar1619"]) and not other("gibraltar2127", ["gibraltar2127", "gibraltar1619"]) and not other("zed2127", ["gibraltar1619"])
+    assert other("2127", ["1619"])
+
+
+def test_looks_back(spark):
+    from feedloom.operators import retro as RE
+
+    rows = [("s", k, t * D.S, "Kill", "ann", "bob", 1) for k, t in enumerate((0, 100, 200, 300, 400, 700, 3000))]
+    got = {r.id: (r.place, r.kept) for r in RE.exact_chains(spark.createDataFrame(rows, D.READS)).collect()}
+    assert got == {0: (1, True), 1: (2, True), 2: (3, True), 3: (4, True), 4: (5, False), 5: (5, False), 6: (1, True)}
+    jitter = [("s", 1, 0, "ann", "bobby99"), ("s", 2, 50 * D.S, "Ann", "bxbby9x"), ("s", 3, 900 * D.S, "ann", "bxbby9x"), ("s", 4, 60 * D.S, "zed", "bxbby9x"), ("s", 5, 70 * D.S, "ann", "other")]
+    pairs, clusters = RE.residual_jitter(spark.createDataFrame(jitter, "key string, id long, us long, attacker string, victim string"))
+    assert sorted(tuple(r) for r in pairs.collect()) == [(1, 2)] and [r.rows for r in clusters.collect()] == [2]
+    three = [("s", k, k * D.S, "Kill", "ann", v, 1) for k, v in enumerate(("bob", "bob", "bob", "bub"))]
+    out = {r.variant: r.n for r in D.dedup_variants(spark.createDataFrame(three, D.READS), {"a": RE.RETRO, "b": D.DedupRules(rated_cap=4)}).groupBy("variant").agg({"kept_id": "count"}).withColumnRenamed("count(kept_id)", "n").collect()}
+    assert out == {"a": 4, "b": 4}
+    kept = D.dedup_events(spark.createDataFrame(three, D.READS), D.DedupRules(exact_us=-1))
+    assert {r.grade: r.n for r in RE.deletion_audit(kept).collect()} == {"exact": 1, "flagged": 1}
+    (chain,) = RE.chain_statistics(kept).where("kept_id = 1").collect()
+    assert chain.rows == 3 and chain.span_s == 2.0 and 0.7 < chain.least_ratio < 0.9
+
+
+def test_agreement(spark):
+    from feedloom.functions.lines import parse_lines
+    from feedloom.functions.text import TextRules
+    from feedloom.operators.retro import agreement
+
+    t0 = dt.datetime(2024, 1, 1)
+    reads = spark.createDataFrame([(1, "s", t0, "Alice <KILL_ICON> Robert"), (2, "s", t0, "garbage zzz"), (3, "s", t0, "x"), (4, "s", t0, "y")], "id long, streamer string, timestamp timestamp_ntz, text string")
+    second = spark.createDataFrame([(1, "Alice <KILL_ICON> Robert"), (2, "Carol <KILL_ICON> David"), (3, "EMPTY"), (4, "nothing like it")], "id long, text string")
+    checked, corrections = agreement(reads, second, lambda r, c: parse_lines(r, c, TextRules()))
+    assert {r.id: r.verdict for r in checked.collect()} == {1: "confirmed", 2: "correction", 4: "correction"}
+    (row,) = corrections.collect()
+    assert (row.id, row.event_type, row.attacker, row.victim, row.source) == (2, "Kill", "Carol", "David", "check")
