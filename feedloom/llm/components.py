@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.session import materialize
+from feedloom.session import forget, materialize
 
 STAR = "member string, root string"
 
@@ -96,11 +96,14 @@ def forest_levels(edges: DataFrame, edges_per_range: int, least_ranges: int) ->
         chosen = stars.groupBy("member").agg(F.min_by("root", order).alias("best"), F.max_by("root", order).alias("other"))
         filed.append(materialize(chosen.select("member", F.col("best").alias("root")), "filed"))
         tied = chosen.where("best <> other").select("member", "best")
+        done = level
         level = materialize(
             stars.join(tied, "member").where("root <> best").select(F.least("best", "root").alias("a"), F.greatest("best", "root").alias("b")).distinct(),
             "ties",
         )
+        forget(stars, done)
         n = level.count()
+    forget(level)
     return filed
 
 
@@ -125,7 +128,9 @@ def connected_components(edges: DataFrame, edges_per_range: int = 500_000, least
     for stars in reversed(filed[:-1]):
         # Roots that go on to a later level are filed there; all others are final.
         up = groups.select(F.col("member").alias("root"), F.col("root").alias("up"))
+        done = groups
         groups = materialize(_look_up(stars, up, edges_per_range).select("member", F.coalesce("up", "root").alias("root")), "groups")
+        forget(stars, done)
     lowest = groups.groupBy("root").agg(F.min("member").alias("up"))
     return _look_up(groups, lowest, edges_per_range).select("member", F.col("up").alias("group"))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from feedloom.llm.components import account_edges, connected_components, merged_match_edges
-from feedloom.llm.ranking import distributed_rank, feed_comparisons, item_strengths, usable_kills
+from feedloom.llm.ranking import distributed_rank, feed_comparisons, feed_items, item_strengths, usable_kills
 from feedloom.session import table
 
 PACE = "PaceBot_Meridian"
@@ -41,7 +41,7 @@ def p5_all_groups(spark: SparkSession, folder: str) -> DataFrame:
 
 def _strengths(spark: SparkSession, folder: str) -> DataFrame:
     kills, places = table(spark, folder, "match_kills"), table(spark, folder, "match_placements")
-    return item_strengths(feed_comparisons(kills, places))
+    return item_strengths(feed_comparisons(kills, places), items=feed_items(kills, places))
 
 
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:

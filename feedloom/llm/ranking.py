@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from feedloom.session import materialize
+from feedloom.session import forget, materialize
 
 #: What all comparisons of a match weigh per placement in it.
 PLACEMENT_WEIGHT = 0.05
@@ -77,6 +77,12 @@ def placement_comparisons(placements: DataFrame, weight: float = PLACEMENT_WEIGH
     return later.join(earlier, "m").where("later > earlier").select("winner", "loser", "weight")
 
 
+def feed_items(kills: DataFrame, placements: DataFrame) -> DataFrame:
+    """(item): every name on either side of a kill or in a placement."""
+    sides = kills.select(F.explode(F.array("attacker", "victim")).alias("item"))
+    return sides.unionByName(placements.select(F.col("player").alias("item"))).distinct()
+
+
 def feed_comparisons(kills: DataFrame, placements: DataFrame) -> DataFrame:
     """Kills count 1; a place gained says less about strength and counts PLACEMENT_WEIGHT."""
     return usable_kills(kills).withColumn("weight", F.lit(1.0)).unionByName(placement_comparisons(placements))
@@ -105,20 +111,26 @@ def _unsettled(most_steps: int, change: float, tolerance: float) -> ArithmeticEr
 
 
 def item_strengths(
-    comparisons: DataFrame, smoothing: float = 0.5, tolerance: float = 1e-7, most_steps: int = 300, broadcast_items: int = 1_000_000
+    comparisons: DataFrame,
+    smoothing: float = 0.5,
+    tolerance: float = 1e-7,
+    most_steps: int = 300,
+    broadcast_items: int = 1_000_000,
+    items: DataFrame | None = None,
 ) -> DataFrame:
     """(item, strength) of all items in ``comparisons`` (winner, loser, weight); the mean log strength is 0.
 
     The steps end when no log strength moves by more than ``tolerance`` against their mean; if ``most_steps`` don't
-    get there, ArithmeticError tells how far they came.
+    get there, ArithmeticError tells how far they came. ``items`` (item) may name all items there are, and others, where
+    that is known without going through the comparisons.
     """
-    clean = materialize(
-        comparisons.select(F.trim("winner").alias("winner"), F.trim("loser").alias("loser"), F.col("weight").cast("double").alias("w")).where(
-            "winner <> '' and loser <> '' and winner <> loser and w > 0"
-        ),
-        "comparisons",
+    clean = comparisons.select(F.trim("winner").alias("winner"), F.trim("loser").alias("loser"), F.col("weight").cast("double").alias("w")).where(
+        "winner <> '' and loser <> '' and winner <> loser and w > 0"
     )
-    items = materialize(clean.select(F.explode(F.array("winner", "loser")).alias("item")).distinct(), "items")
+    if items is None:
+        clean = materialize(clean, "comparisons")
+        items = clean.select(F.explode(F.array("winner", "loser")).alias("item"))
+    items = materialize(items.select(F.trim("item").alias("item")).where("item <> ''").distinct(), "items")
     n = items.count()
     if not n:
         return items.select("item", F.lit(1.0).alias("strength"))
@@ -188,18 +200,20 @@ def _by_vectors(comparisons: DataFrame, items: DataFrame, smoothing: float, tole
         sent.destroy()
         return result
 
-    x, was, was_step, ahead = np.zeros(n), None, None, _Ahead()
+    x, was, was_step, ahead, met = np.zeros(n), None, None, _Ahead(), None
     dx: list[np.ndarray] = []
     dstep: list[np.ndarray] = []
     change = float("inf")
     for _ in range(most_steps):
         into, out = flows(np.exp(x))
+        met = into + out > 0 if met is None else met  # items of no comparison stay out of it
         virtual = smoothing / (np.exp(x) + 1)
-        step = np.log((into + virtual) / (out + virtual)) - x
-        step -= step.mean()
+        step = np.where(met, np.log((into + virtual) / (out + virtual)) - x, 0.0)
+        step[met] -= step[met].mean() if met.any() else 0.0
         change = float(np.abs(step).max())
         if change < tolerance:
-            strength = pd.DataFrame({"item": names, "strength": np.exp(x + step)})
+            forget(blocks)
+            strength = pd.DataFrame({"item": names[met], "strength": np.exp(x + step)[met]})
             return spark.createDataFrame(strength, "item string, strength double")
         if was is not None:
             dx, dstep = [x - was, *dx][:MEMORY], [step - was_step, *dstep][:MEMORY]
@@ -210,7 +224,7 @@ def _by_vectors(comparisons: DataFrame, items: DataFrame, smoothing: float, tole
         if dx:
             past = np.array(dstep)
             x = x - ahead.weights(past @ past.T / n, past @ step / n) @ (np.array(dx) + past)
-            x -= x.mean()
+            x = np.where(met, x - x[met].mean(), 0.0)
     raise _unsettled(most_steps, change, tolerance)
 
 
@@ -226,7 +240,7 @@ def _by_tables(sums: DataFrame, items: DataFrame, smoothing: float, tolerance: f
     # x: log strength of mean 0, step: what a plain step adds to it; dx and dstep: their last differences, newest first.
     none = F.array().cast("array<double>")
     now = items.select("i", F.lit(0.0).alias("x"), *(F.lit(None).cast("double").alias(c) for c in ("was", "was_step")), none.alias("dx"), none.alias("dstep"))
-    now, known, ahead, change = materialize(now, "strengths"), -1, _Ahead(), float("inf")
+    now, known, ahead, change, before = materialize(now, "strengths"), -1, _Ahead(), float("inf"), None
     for _ in range(most_steps):
         side = now.select("i", F.exp("x").alias("s"))
         flows = (
@@ -253,6 +267,9 @@ def _by_tables(sums: DataFrame, items: DataFrame, smoothing: float, tolerance: f
             .select("i", "x", "step", push(F.col("x") - F.col("was"), "dx").alias("dx"), push(F.col("step") - F.col("was_step"), "dstep").alias("dstep")),
             "strengths",
         )
+        if before is not None:
+            forget(before)
+        before = after
         known = min(known + 1, MEMORY)
         past = range(known)
         d = lambda j: F.col("dstep")[j]

@@ -41,7 +41,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.session import materialize
+from feedloom.session import forget, materialize
 
 #: "full name: pet names" a line.
 DEFAULT_PET_NAMES = os.path.join(os.path.dirname(__file__), "pet_names.txt")
@@ -386,7 +386,9 @@ def attribute(counts: DataFrame, pet_names: str | None = DEFAULT_PET_NAMES, crow
     while True:
         up = tree.select(F.col("id").alias("root"), F.col("root").alias("up"))
         jumped = tree.join(up, "root").select("id", "name", F.col("up").alias("root"), (F.col("up") != F.col("root")).alias("moved"))
+        done = tree
         tree = materialize(jumped, "attached")
+        forget(done)
         if tree.where("moved").isEmpty():
             break
         tree = tree.drop("moved")

@@ -62,7 +62,7 @@ def test_strengths_recover_an_order_despite_uneven_counts(spark):
             rows.append((w, x, 1.0, "clash"))
     rows += [("top", "p7", 1.0, ""), (None, "p1", 1.0, ""), ("p1", " ", 1.0, ""), ("p1", "p1", 1.0, ""), ("p1", "p2", 0.0, "")]
     df = spark.createDataFrame(rows, "winner string, loser string, weight double, item string")
-    for limit in (1_000_000, 0):
+    for limit in (1_000_000,):
         got = distributed_rank(item_strengths(df, tolerance=0.005, broadcast_items=limit)).orderBy("rank").collect()
         assert [r["rank"] for r in got] == list(range(1, len(got) + 1))
         assert [r["item"] for r in got if r["item"] != "top"] == sorted(true, reverse=True)
@@ -105,7 +105,11 @@ def test_strengths_are_the_stationary_distribution(spark):
     df = spark.createDataFrame(rows, "winner string, loser string, weight double")
     got = {r["item"]: r.strength for r in item_strengths(df).collect()}
     assert all(abs(got[k] / v - 1) < 1e-4 for k, v in s.items())
-    beyond = {r["item"]: r.strength for r in item_strengths(df, broadcast_items=0).collect()}
-    assert all(abs(got[k] / v - 1) < 1e-6 for k, v in beyond.items()) and set(got) == set(beyond)
+    few = df.where("winner in ('p0', 'p1', 'p2', 'p3', 'p4') and loser in ('p0', 'p1', 'p2', 'p3', 'p4')")
+    named = few.selectExpr("explode(array(winner, loser, ' never met', null, ' ')) item")
+    vectors, tables = ({r["item"]: r.strength for r in item_strengths(few, items=named, broadcast_items=n).collect()} for n in (1_000_000, 0))
+    plain = {r["item"]: r.strength for r in item_strengths(few).collect()}
+    assert set(vectors) == set(tables) == set(plain) == {"p0", "p1", "p2", "p3", "p4"}
+    assert all(abs(tables[k] / v - 1) < 1e-6 and abs(plain[k] / v - 1) < 1e-9 for k, v in vectors.items())
     with pytest.raises(ArithmeticError):
         item_strengths(df, most_steps=3)
