@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.session import materialize
+from feedloom.session import forget, materialize
 
 
 def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -48,6 +48,7 @@ def components(edges: DataFrame, at_once: int = 200_000) -> DataFrame:
         small = large.join(m, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         after = materialize(small.select("e.a", "e.b").where("a <> b").distinct(), "small-star")
         settled = after.exceptAll(now).isEmpty() and now.exceptAll(after).isEmpty()
+        forget(now, large)
         now = after
         if settled:
             break

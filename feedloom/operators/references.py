@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.session import materialize
+from feedloom.session import forget, materialize
 from feedloom.sources.versioned import VersionedTable
 
 STATE = T.StructType(
@@ -82,6 +82,7 @@ class ReferenceState:
             stored = self.store.read(only=touched)
             both = batch.unionByName(stored) if self.store.manifest().buckets else batch
             self.store.commit(fold(both.drop("bucket")).withColumn("bucket", bucket), touched)
+        forget(batch)
 
     def read(self) -> DataFrame:
         return self.store.read().drop("bucket")

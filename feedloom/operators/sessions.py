@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from feedloom.session import fresh_path
+from feedloom.session import forget, fresh_path, materialize
 from feedloom.sources.versioned import VersionedTable
 
 GAP_US = 90_000_000
@@ -120,23 +120,17 @@ class SessionTable:
 
     def _new_rows(self, batch: DataFrame) -> DataFrame:
         rows = batch.select("key", "us", "id").distinct().withColumn("day", F.floor(F.col("us") / F.lit(DAY_US)).cast("long"))
-        path = fresh_path(self.spark, "rows")
-        rows.write.parquet(path)
-        rows = self.spark.read.schema(ROW_SCHEMA).parquet(path)
+        rows = materialize(rows, "rows")
         days = {r.day for r in rows.select("day").distinct().collect()}  # bounded by the span of the batch
         stored = self.rows.read(only=days)
         fresh = rows.join(stored, ["key", "us", "id", "day"], "left_anti").select(*ROW_SCHEMA.fieldNames())
-        whole = fresh_path(self.spark, "new-rows")
-        fresh.write.parquet(whole)
-        fresh = self.spark.read.schema(ROW_SCHEMA).parquet(whole)
+        fresh = materialize(fresh, "new-rows")
         self.rows.commit(stored.unionByName(fresh), days)
         return fresh.drop("day")
 
     def apply(self, batch: DataFrame) -> None:
         """``batch``: (key, us, id). One pass: local sessions, stored ones within reach, merge, replace."""
-        path = fresh_path(self.spark, "local-sessions")
-        local_sessions(self._new_rows(batch) if self.rows else batch, self.gap_us).write.parquet(path)
-        local = self.spark.read.schema(SESSION_SCHEMA).parquet(path)
+        local = materialize(local_sessions(self._new_rows(batch) if self.rows else batch, self.gap_us), "local-sessions")
         # Days that a session of the batch or its reach touches, one row each.
         day = lambda us: F.floor(us / F.lit(DAY_US)).cast("long")
         reach = F.sequence(day(F.col("start_us") - self.gap_us), day(F.col("end_us") + self.gap_us))
@@ -148,6 +142,7 @@ class SessionTable:
         near = {int(d) for d, most in longest.items() if any(int(d) + k in touched for k in range(int(most // DAY_US) + 2))}
         merged = merge_bridged(local.unionByName(self.store.read(only=near)).drop("day"), self.gap_us)
         self.store.commit(merged, near, F.col("end_us") - F.col("start_us"))
+        forget(local)
 
     def read(self) -> DataFrame:
         return self.store.read()

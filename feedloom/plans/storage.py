@@ -398,6 +398,68 @@ def f49(t: Tables) -> DataFrame:
     return zone.select("s", *(F.round(c, 6).alias(c) for c in ("x0", "y0", "x1", "y1")))
 
 
+_MARKS = "<[^>]*>|\\[[^\\]]*\\]"
+
+
+@R.add("ref_d4_zipped_boxes", f"""
+with l as (select filename, list_filter(list_transform(regexp_split_to_array(label, '{_MARKS}'), lambda w: trim(w)), lambda w: w <> '') as words, range(1, 2 + length(filename || label) % 3) as boxes from crop_labels where label is not null),
+e as (select filename, words, boxes from l where len(words) = len(boxes))
+select filename, (p - 1)::int as place, words[p] as word, boxes[p]::int as box from (select filename, words, boxes, unnest(range(1, len(words) + 1)) as p from e)""")
+def d4b(t: Tables) -> DataFrame:
+    """Parts of labels around their markers with as many numbered boxes; labels with another number of boxes are left out."""
+    boxes = F.sequence(F.lit(1), F.lit(1) + F.length(F.concat("filename", "label")) % 3)
+    rows = t.crop_labels.where("label is not null").select("filename", F.explode(X.zip_words("label", boxes, _MARKS)).alias("x"))
+    return rows.select("filename", F.col("x.place").cast("int").alias("place"), "x.word", F.col("x.box").cast("int").alias("box"))
+
+
+@R.add("ref_q11_two_line_rate", f"""
+select streamer, count(*) as crops, count(*) filter (where len(regexp_extract_all(label, '{_MARKS}')) >= 2) as two_lines,
+case when 100.0 * count(*) filter (where len(regexp_extract_all(label, '{_MARKS}')) >= 2) / count(*) > 2.0 then 'warn' else 'ok' end as status from crop_labels where label is not null and label <> 'EMPTY' group by streamer""")
+def q11(t: Tables) -> DataFrame:
+    """Crops that show two lines in one, by their labels' markers, against a limit of two per cent."""
+    two = X.marker_count("label", _MARKS) >= 2
+    rows = t.crop_labels.where("label is not null and label <> 'EMPTY'").groupBy("streamer").agg(F.count(F.lit(1)).alias("crops"), F.count_if(two).alias("two_lines"))
+    return rows.select("streamer", "crops", "two_lines", F.when(100.0 * F.col("two_lines") / F.col("crops") > 2.0, "warn").otherwise("ok").alias("status"))
+
+
+@R.add("ref_j23_live_coverage", """
+with e as (select distinct id, lower(trim(streamer)) as key, epoch_us(timestamp) as us, event_type from feed_events where timestamp is not null and trim(streamer) <> '')
+select a.key, a.id as anchor, b.id as hit from e a join e b on b.key = a.key and b.event_type = 'BleedOut' and b.us between a.us - 10000000 and a.us + 9000000 where a.event_type = 'Knock'""")
+def j23(t: Tables) -> DataFrame:
+    """Bleed-outs around knocks by a stream-stream join, run until it has seen all of the table."""
+    from feedloom.streaming.live import coverage
+
+    source, out, state = (fresh_path(t.spark, x) for x in ("coverage-in", "coverage-out", "coverage-state"))
+    rows = t.feed_events.where("timestamp is not null and trim(streamer) <> ''")
+    rows.select("id", F.lower(F.trim("streamer")).alias("key"), F.col("timestamp").cast("timestamp").alias("ts"), "event_type").distinct().coalesce(4).write.parquet(source)
+    events = t.spark.readStream.schema("id long, key string, ts timestamp, event_type string").parquet(source)
+    pairs = coverage(events.where("event_type = 'Knock'"), events.where("event_type = 'BleedOut'"), lateness="60 days")
+    pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema("key string, anchor long, hit long, at timestamp, hit_at timestamp").parquet(out).select("key", "anchor", "hit")
+
+
+@R.add("ref_st15_folded_stream", """
+select sum(r)::bigint as reads from (select id, max(read_count) as r from feed_events where timestamp is not null and trim(streamer) <> '' and event_type = 'Knock' group by id)""")
+def st15(t: Tables) -> DataFrame:
+    """Suppression as a stream whose batches are folded into a published table: no read is lost on the way."""
+    from feedloom.sources.sinks import published
+    from feedloom.streaming.live import fold_into
+
+    source, table, state = (fresh_path(t.spark, x) for x in ("fold-in", "fold-table", "fold-state"))
+    rows = reads(t).where("event_type = 'Knock'").withColumn("ts", F.timestamp_micros("us"))
+    last = rows.agg(F.max("us").alias("us")).select(
+        F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), (F.col("us") + 10**12).alias("us"), F.lit("Knock").alias("event_type"),
+        F.lit(None).cast("string").alias("attacker"), F.lit(None).cast("string").alias("victim"), F.lit(0).cast("long").alias("reads"),
+    )  # a late row that moves the watermark past all others
+    rows.coalesce(1).write.parquet(source)
+    last.withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(source)
+    last.withColumn("id", F.lit(-2).cast("long")).withColumn("us", F.col("us") + 10**12).withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(source)
+    stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", "60 days")
+    query = D.stream_dedup(stream).writeStream.foreachBatch(fold_into(table)).option("checkpointLocation", state).trigger(availableNow=True).start()
+    query.awaitTermination()
+    return published(t.spark, table).where("key <> 'end'").agg(F.sum("reads").alias("reads"))
+
+
 @R.add("ref_f52_hashes")
 def f52(t: Tables) -> DataFrame:
     """Perceptual hashes of the embeddings taken as images of eight by eight."""

@@ -50,14 +50,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def forget(*tables: DataFrame) -> None:
-    """Delete tables of ``materialize`` that nothing reads any more."""
+    """Delete tables of ``materialize`` that nothing reads any more; others stay."""
     for df in tables:
-        spark = df.sparkSession
-        root = shared_folder(spark).rstrip("/")
-        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
-            if root.removeprefix("file:") in folder:
-                at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+        spark, path = df.sparkSession, getattr(df, "_materialized", None)
+        if path:
+            at = spark._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -68,7 +66,9 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._materialized = path
+    return out
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -57,3 +57,62 @@ def test_conform(spark):
     df = schemas.conform(spark.createDataFrame([(1, "s")], "id long, streamer string"), schemas.EVENTS)
     row = df.first()
     assert row.read_count == 1 and row.attacker_conf == 1.0 and row.attacker is None and len(df.columns) == 16
+
+
+def test_small_files_caches_and_backups(spark, tmp_path):
+    from feedloom.sources import files as SRC
+    from feedloom.sources import sinks as K
+
+    path = str(tmp_path / "cache.json")
+    assert K.read_small_file(spark, path) is None
+    K.write_small_file(spark, "no json", path)
+    assert K.update_cache(spark, path, "a", 1) == {"a": 1} and K.update_cache(spark, path, "ä", [2]) == {"a": 1, "ä": [2]}
+    one, two = (spark.createDataFrame([(k, "x|y\nz")], "k int, v string") for k in (1, 2))
+    csv = str(tmp_path / "board")
+    assert K.write_csv_with_backup(one, csv, "20240101") is None
+    backup = K.write_csv_with_backup(two, csv, "20240102")
+    read = lambda p: [r.k for r in spark.read.option("header", True).option("multiLine", True).csv(p).collect()]
+    assert read(csv) == ["2"] and read(backup) == ["1"]
+    K.write_csv_with_backup(one, csv, "20240102")
+    assert read(csv) == ["1"] and read(backup) == ["1"]
+    assert K.markdown_report(one, "T") == "# T\n\n| k | v |\n| - | - |\n| 1 | x\\|y z |\n"
+    assert SRC.probe(spark, csv + "-none", ["k"]) == {"exists": False, "columns": [], "missing": ["k"]}
+    assert K.drop_table(spark, csv) and not K.drop_table(spark, csv)
+
+
+def test_deleted_entries(spark):
+    from feedloom.sources.sinks import delete_where
+
+    rows = [("a", 1, 5.0, False), ("b", 9, 5.0, False), ("c", 1, 5.0, True), ("d", 9, None, None), ("e", 9, 1.0, False)]
+    df = spark.createDataFrame(rows, "name string, total_seen int, last_seen double, protected boolean")
+    names = lambda **kw: sorted(r.name for r in delete_where(df, **kw).collect())
+    assert names() == list("abcde") and names(least_seen=2) == list("bcde") and names(last_seen_before=2.0) == list("abcd")
+    assert names(least_seen=2, last_seen_before=2.0, names=["c"]) == list("bd")
+
+
+def test_a_cluster_must_name_the_shared_folder(spark, monkeypatch):
+    import pytest
+
+    from feedloom import session
+
+    class Context:
+        master = "spark://somewhere"
+
+        def getConf(self):
+            return {}
+
+        def getCheckpointDir(self):
+            return None
+
+    with pytest.raises(RuntimeError):
+        session.shared_folder(type("S", (), {"sparkContext": Context()})())
+
+
+def test_forgotten_tables_are_gone_and_others_stay(spark):
+    import os
+
+    from feedloom.session import forget, materialize
+
+    a, b = (materialize(spark.range(3), "test") for _ in range(2))
+    forget(a, spark.range(2))
+    assert not os.path.exists(a._materialized) and b.count() == 3

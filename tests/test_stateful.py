@@ -246,3 +246,42 @@ def test_agreement(spark):
     assert {r.id: r.verdict for r in checked.collect()} == {1: "confirmed", 2: "correction", 4: "correction"}
     (row,) = corrections.collect()
     assert (row.id, row.event_type, row.attacker, row.victim, row.source) == (2, "Kill", "Carol", "David", "check")
+
+
+def test_stage_metrics_and_reports(spark):
+    from pyspark.sql import functions as F
+
+    from feedloom.operators import quality as Q
+
+    t0 = dt.datetime(2024, 1, 1)
+    events = spark.createDataFrame(
+        [(1, "s", t0, "Kill", "ann", "bob", 0.9, 0), (2, "s", t0 + dt.timedelta(seconds=3), "Kill", "ann", "bob", 0.2, 1), (3, "s", t0, "Kill", "zed", "zed", 0.9, 0), (4, "s", t0, "Ping", "", None, 0.1, 0)],
+        "id long, streamer string, timestamp timestamp_ntz, event_type string, attacker string, victim string, attacker_conf double, gemini_corrected int",
+    )
+    matches = spark.createDataFrame([(t0, t0 + dt.timedelta(minutes=150), 120), (t0, None, 3)], "start_time timestamp_ntz, end_time timestamp_ntz, kill_count int")
+    ratings = spark.createDataFrame([("ann", 900.0, 5), ("bob", -1.0, 1)], "player string, elo double, matches_played int")
+    metrics = Q.stage_metrics(events, matches, ratings, F.lit("2024-01-01 10:00:00").cast("timestamp"), ["ring"], ["Zed"])
+    got = {r.metric: (round(r.value, 3), r.status) for r in Q.grade_stages(metrics, Q.stage_limits(spark)).collect()}
+    assert got["kill_low_confidence_pct"] == (33.333, "warn") and got["duplicate_pairs_5s"] == (1.0, "warn") and got["self_kills"] == (1.0, "warn")
+    assert got["character_names"] == (2.0, "warn") and got["mega_match_pct"] == (50.0, "fail") and got["longest_min"] == (150.0, "warn") and got["negative"][1] == "warn"
+    assert got["kill_without_attacker_pct"] == (0.0, "ok") and got["no_matches"] == (0.0, "ok")
+    report = {r.stage: r.status for r in Q.stage_report(Q.grade_stages(metrics, Q.stage_limits(spark))).collect()}
+    assert report["matches"] == "fail" and report["validation"] == "ok" and report["overall"] == "fail"
+    nothing = Q.stage_metrics(events.limit(0), matches.limit(0), ratings.limit(0), F.lit("2024-01-01").cast("timestamp"), [], [])
+    assert {r.metric: r.status for r in Q.grade_stages(nothing, Q.stage_limits(spark)).collect()}["no_players"] == "warn"
+
+
+def test_reading_accuracy_and_replay(spark):
+    from feedloom.functions.lines import parse_lines
+    from feedloom.functions.text import TextRules
+    from feedloom.operators.quality import reading_accuracy, replay_scores
+
+    pairs = spark.createDataFrame([("Alice <kill_icon> Robert", "alice <kill_icon> robert", "gold"), ("Alice <kill_icon> Robert", "Carol <gun_icon> Robert", "gold"), ("x", None, "noise")], "label string, text string, quality string")
+    got = {r.quality: r for r in reading_accuracy(pairs, lambda r, c: parse_lines(r, c, TextRules())).collect()}
+    assert (got["gold"].rows, got["gold"].exact_pct, got["noise"].empty_pct) == (2, 50.0, 100.0) and got["gold"].parsed_pct in (0.0, 50.0)
+    row = "game string, id long, us long, attacker string, victim string"
+    truth = spark.createDataFrame([("g", 1, 0, "a", "bobby"), ("g", 2, 300 * D.S, "a", "carol")], row)
+    reads = spark.createDataFrame([("g", 11, 0, "a", "bobby"), ("g", 12, 9 * D.S, "a", "bobby"), ("g", 13, 301 * D.S, "a", "carol")], row)
+    kept = spark.createDataFrame([(11,), (12,)], "id long")
+    (r,) = replay_scores(truth, reads, kept).collect()
+    assert (r.truth, r.read_deaths, r.kept_deaths, r.read_recall_pct, r.kept_recall_pct, r.kept_precision_pct, r.lost_to_suppression, r.over_count) == (2, 2, 1, 100, 50, 100, 1, 2.0)
