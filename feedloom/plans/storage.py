@@ -402,7 +402,7 @@ _MARKS = "<[^>]*>|\\[[^\\]]*\\]"
 
 
 @R.add("ref_d4_zipped_boxes", f"""
-with l as (select filename, list_filter(list_transform(regexp_split_to_array(label, '{_MARKS}'), lambda w: trim(w)), lambda w: w <> '') as words, range(1, 2 + length(filename || label) % 3) as boxes from crop_labels where label is not null),
+with l as (select filename, list_filter(list_transform(regexp_split_to_array(label, '{_MARKS}'), lambda w: regexp_replace(w, '^[ ]+|[ ]+$', '', 'g')), lambda w: w <> '') as words, range(1, 2 + length(filename || label) % 3) as boxes from crop_labels where label is not null),
 e as (select filename, words, boxes from l where len(words) = len(boxes))
 select filename, (p - 1)::int as place, words[p] as word, boxes[p]::int as box from (select filename, words, boxes, unnest(range(1, len(words) + 1)) as p from e)""")
 def d4b(t: Tables) -> DataFrame:
@@ -448,12 +448,12 @@ def st15(t: Tables) -> DataFrame:
     source, table, state = (fresh_path(t.spark, x) for x in ("fold-in", "fold-table", "fold-state"))
     rows = reads(t).where("event_type = 'Knock'").withColumn("ts", F.timestamp_micros("us"))
     last = rows.agg(F.max("us").alias("us")).select(
-        F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), (F.col("us") + 10**12).alias("us"), F.lit("Knock").alias("event_type"),
+        F.lit("end").alias("key"), F.lit(-1).cast("long").alias("id"), (F.col("us") + 10**13).alias("us"), F.lit("Knock").alias("event_type"),
         F.lit(None).cast("string").alias("attacker"), F.lit(None).cast("string").alias("victim"), F.lit(0).cast("long").alias("reads"),
     )  # a late row that moves the watermark past all others
     rows.coalesce(1).write.parquet(source)
     last.withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(source)
-    last.withColumn("id", F.lit(-2).cast("long")).withColumn("us", F.col("us") + 10**12).withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(source)
+    last.withColumn("id", F.lit(-2).cast("long")).withColumn("us", F.col("us") + 10**13).withColumn("ts", F.timestamp_micros("us")).coalesce(1).write.mode("append").parquet(source)
     stream = t.spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source).withWatermark("ts", "60 days")
     query = D.stream_dedup(stream).writeStream.foreachBatch(fold_into(table)).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
