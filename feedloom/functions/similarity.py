@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from feedloom.session import materialize
+
 
 def ratio_of(a: str | None, b: str | None) -> float | None:
     return None if a is None or b is None else SequenceMatcher(None, a, b).ratio()
@@ -62,37 +64,103 @@ def length_bound(a: str | Column, b: str | Column, least: float) -> Column:
     return 2 * F.least(x, y) >= F.lit(least) * (x + y)
 
 
-def possible_pairs(x: list[str], y: list[str], least: float) -> list[tuple[int, int]]:
-    """Places of all pairs that may reach a ratio of ``least``: what ``ratio`` matches is a common subsequence of both."""
-    code = {c: k for k, c in enumerate(sorted({c for t in (*x, *y) for c in t}))}
-    la, lb = (np.array([len(t) for t in side], dtype=np.int64) for side in (x, y))
-    counts = [np.zeros((len(side), len(code)), dtype=np.int16) for side in (x, y)]
-    for side, of in zip((x, y), counts):
-        for k, t in enumerate(side):
-            for c in t:
-                of[k, code[c]] += 1
-    need = least * (la[:, None] + lb[None, :]) / 2 - 1e-9
-    common = np.zeros(need.shape, dtype=np.int16)
-    for k in range(len(code)):
-        common += np.minimum(counts[0][:, k, None], counts[1][None, :, k])
-    p, q = np.nonzero(common >= need)
-    short = (la[p] <= 64) & (la[p] > 0)
-    # Longest common subsequences of all pairs at once, a bit for each letter of the first text.
-    masks = np.zeros((len(x), len(code) + 1), dtype=np.uint64)
-    for k, t in enumerate(x):
-        for at, c in enumerate(t[:64]):
-            masks[k, code[c]] |= np.uint64(1 << at)
-    codes = np.full((len(y), max(lb, default=0)), len(code), dtype=np.int64)
-    for k, t in enumerate(y):
-        codes[k, : len(t)] = [code[c] for c in t]
+def _letters(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths, and code points plus 1 with a row for each text, 0 behind its end."""
+    size = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
+    width = max(1, int(size.max(initial=0)))
+    points = np.array(texts, dtype=f"U{width}").view(np.uint32).reshape(len(texts), width)
+    return size, np.where(np.arange(width) < size[:, None], points + np.uint32(1), np.uint32(0))
+
+
+def _marks(size: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Two words of 64 bits a text: each letter, told from others of its kind by its number, flips one bit. ``size`` must not fall.
+
+    What two texts have in common flips the same bits, so their words differ in no more bits than they have letters that the other lacks.
+    """
+    marks = np.zeros((2, len(size)), dtype=np.uint64)
+    for at in range(letters.shape[1]):
+        rows = slice(int(np.searchsorted(size, at, side="right")), None)
+        c = letters[rows, at]
+        bit = (c + 43 * (letters[rows, :at] == c[:, None]).sum(axis=1)) % 128
+        flip = np.uint64(1) << (bit % 64).astype(np.uint64)
+        for k in (0, 1):
+            marks[k, rows] ^= np.where(bit // 64 == k, flip, np.uint64(0))
+    return marks
+
+
+def _common_letters(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Longest common subsequences of all pairs of rows at once, a bit for each letter of the first text, which has 64 at most."""
+    rows, p = np.unique(p, return_inverse=True)
+    others, q = np.unique(q, return_inverse=True)
+    code, both = np.unique(np.concatenate((x[rows].ravel(), y[others].ravel())), return_inverse=True)
+    first, second = both[: x[rows].size].reshape(len(rows), -1), both[x[rows].size :].reshape(len(others), -1)
+    masks = np.zeros((len(rows), len(code)), dtype=np.uint64)
+    every = np.arange(len(rows))
+    for at in range(min(64, first.shape[1])):
+        masks[every, first[:, at]] |= np.uint64(1) << np.uint64(at)
+    masks[:, code == 0] = 0  # behind the end
     row = np.full(len(p), np.uint64(2**64 - 1), dtype=np.uint64)
-    for at in range(codes.shape[1]):
-        hit = row & masks[p, codes[q, at]]
+    for at in range(second.shape[1]):
+        hit = row & masks[p, second[q, at]]
         row = (row + hit) | (row - hit)
-    used = np.where(la[p] >= 64, np.uint64(2**64 - 1), (np.uint64(1) << np.minimum(la[p], 63).astype(np.uint64)) - np.uint64(1))
-    longest = np.bitwise_count(~row & used)
-    keep = ~short | (longest >= need[p, q])
-    return list(zip(p[keep].tolist(), q[keep].tolist()))
+    return np.bitwise_count(~row)
+
+
+PAIRS_AT_ONCE = 200_000
+
+
+def likely_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may reach a ratio of ``least``: what ``ratio`` matches is a common subsequence of both.
+
+    Lengths and letters come first (a few ns a pair: two words are compared), then the longest common subsequence.
+    """
+    if not x or not y:
+        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+    orders, sizes, letters, marks = [], [], [], []
+    for side in (x, y):
+        size, points = _letters(side)
+        order = np.argsort(size, kind="stable")
+        for to, value in ((orders, order), (sizes, size[order]), (letters, points[order])):
+            to.append(value)
+        marks.append(_marks(sizes[-1], letters[-1]))
+    (la, lb), (one, other) = sizes, (m[0] ^ m[1] for m in marks)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    for n in np.unique(la):
+        # Letters that one has and the other lacks, at most; lengths that allow no match are left out.
+        spare = np.floor((1 - least) * (n + lb) + 1e-9)
+        fits = np.flatnonzero(np.abs(n - lb) <= spare)
+        if not len(fits):
+            continue
+        low, high = int(fits[0]), int(fits[-1]) + 1  # lengths in order: no gaps
+        limit, right = np.minimum(spare[low:high], 255).astype(np.uint8), other[low:high]
+        start, stop = (int(np.searchsorted(la, n, side=s)) for s in ("left", "right"))
+        step = max(1, PAIRS_AT_ONCE // len(right))
+        for k in range(start, stop, step):
+            end = min(k + step, stop)
+            p, q = np.divmod(np.flatnonzero(np.bitwise_count(one[k:end, None] ^ right[None, :]) <= limit), len(right))
+            p, q = p + k, q + low
+            differ = np.bitwise_count(marks[0][0][p] ^ marks[1][0][q]).astype(np.int64) + np.bitwise_count(marks[0][1][p] ^ marks[1][1][q])
+            keep = differ <= spare[q]
+            found.append((p[keep], q[keep]))
+    p, q = (np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
+    keep = []
+    for k in range(0, len(p), PAIRS_AT_ONCE):
+        i, j = p[k : k + PAIRS_AT_ONCE], q[k : k + PAIRS_AT_ONCE]
+        need = least * (la[i] + lb[j]) / 2 - 1e-9
+        judged = np.flatnonzero((la[i] <= 64) & (la[i] > 0))
+        able = np.ones(len(i), dtype=bool)
+        if len(judged):
+            a, b = letters[0][:, : la[i[judged]].max()], letters[1][:, : max(1, lb[j[judged]].max())]
+            able[judged] = _common_letters(a, b, i[judged], j[judged]) >= need[judged]
+        keep.append(able)
+    keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
+    return orders[0][p[keep]], orders[1][q[keep]]
+
+
+def possible_pairs(x: list[str], y: list[str], least: float) -> list[tuple[int, int]]:
+    """``likely_pairs`` as a list."""
+    p, q = likely_pairs(x, y, least)
+    return list(zip(p.tolist(), q.tolist()))
 
 
 def word_edits(a: list[str], b: list[str]) -> int:
@@ -156,37 +224,85 @@ def other_player_of_one_line(victim: str, kept: list[str], alike: float = 0.85,
     return any(d and ratio_of(letters, s) >= stem_alike and ratio_of(digits, d) < digits_below for s, d in others)
 
 
+#: Names of a block at most, and blocks that fewer names are dealt to as well, so that all cores have some.
+BLOCK, LEAST_BLOCK, LEAST_BLOCKS = 32_000, 2_000, 6
+#: Partitions for the groups of two blocks, told by number, as by size alone few tasks would get them all.
+GROUP_PARTS = 96
+
+
+def _blocks(n: int) -> int:
+    return max(1, -(-n // BLOCK), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)))
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
-    """(a, b): all pairs of texts whose ratio without letter case can reach ``least`` (above 2/3); of ``left`` alone each pair once, a < b.
+    """(a, b): all pairs of texts whose ratio without letter case can reach ``least``; of ``left`` alone each pair once, a < b.
 
-    Texts of together s letters with m matched ones lie in at most s - 2 m + 1 common stretches, so they share at least
-    3 m - s - 1 pairs of neighbouring letters. Of two sets that share t elements one of the first n - t + 1 is common, in any
-    order, so only a text's rarest letter pairs are keys. No pair is lost, and frequent letter pairs make no large blocks.
+    Texts are dealt to blocks and every two blocks meet in one group, where upper bounds of the ratio decide
+    (``likely_pairs``). No pair is lost, and only pairs that pass leave the group. A text is sent once for each
+    block of the other side.
+    """
+    def placed(df: DataFrame) -> tuple[DataFrame, int]:
+        texts = materialize(df.select("text", F.lower("text").alias("low")).where("length(low) > 0").distinct(), "texts")
+        blocks = _blocks(texts.count())
+        return texts.withColumn("own", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")), blocks
+
+    def to_all(blocks: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+
+    x, n = placed(left)
+    if right is None:
+        rows = x.withColumn("other", to_all(n)).select("text", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
+    else:
+        y, m = placed(right)
+        rows = x.select("text", "low", F.col("own").alias("i"), to_all(m).alias("j"), F.lit(True).alias("first"))
+        rows = rows.unionByName(y.select("text", "low", to_all(n).alias("i"), F.col("own").alias("j"), F.lit(False).alias("first")))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        one = pdf[pdf["first"]]
+        alone = right_is_left and pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        other = one if alone else pdf[~pdf["first"]]
+        p, q = likely_pairs(one["low"].tolist(), other["low"].tolist(), least)
+        a, b = one["text"].to_numpy(dtype=object)[p], other["text"].to_numpy(dtype=object)[q]
+        if right_is_left:
+            rising = np.fromiter((s < t for s, t in zip(a, b)), dtype=bool, count=len(a))
+            keep = rising | (not alone)  # in one block a pair is found both ways
+            a, b = np.where(rising, a, b)[keep], np.where(rising, b, a)[keep]
+        return pd.DataFrame({"a": a, "b": b}, dtype=object)
+
+    right_is_left = right is None
+    return rows.repartition(GROUP_PARTS, "i", "j").groupBy("i", "j").applyInPandas(run, "a string, b string")
+
+
+#: Names of one prefix in a cell at most; names of several short prefixes compared at once.
+CELL, TOGETHER = 4_000, 500
+
+
+def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
+    """(a, b), a < b: all pairs of ``texts`` (text, head) with one head, their prefix, whose ratio without letter case can reach ``least``.
+
+    A prefix of many names is dealt to cells, every two of which meet; prefixes of few names share their groups.
     """
-    def grams(df: DataFrame) -> DataFrame:
-        low = F.lower("text")
-        pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(low) - 1, F.lit(1))), lambda i: F.substring(low, i, F.lit(2)))
-        texts = df.select("text", low.alias("low"), pairs.alias("pairs")).where("length(low) > 0")
-        # The second 'ab' of a text is another element than the first.
-        numbered = F.transform("pairs", lambda g, i: F.concat(g, F.size(F.filter(F.slice("pairs", 1, i + 1), lambda x: x == g)).cast("string")))
-        return texts.select("text", F.length("low").alias("size"), F.explode(numbered).alias("gram"))
-
-    def keys(df: DataFrame) -> DataFrame:
-        shortest = F.col("size") * (2 / (2 - least))
-        shared = F.greatest(F.ceil((1.5 * least - 1) * shortest - 1 - 1e-9), F.lit(1))
-        ranked = df.join(frequency, "gram").groupBy("text", "size").agg(F.sort_array(F.collect_list(F.struct("n", "gram"))).alias("ranked"))
-        some = F.slice("ranked", F.lit(1), F.greatest(F.col("size") - shared, F.lit(1)).cast("int"))
-        return ranked.select("text", "size", F.explode(some["gram"]).alias("gram"))
-
-    a = grams(left)
-    b = a if right is None else grams(right)
-    every = a.select("gram") if right is None else a.select("gram").unionByName(b.select("gram"))
-    frequency = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
-    x = keys(a).select("gram", F.col("text").alias("a"), F.col("size").alias("la"))
-    y = keys(b).select("gram", F.col("text").alias("b"), F.col("size").alias("lb"))
-    fits = 2 * F.least("la", "lb") >= F.lit(least) * (F.col("la") + F.col("lb"))
-    pairs = x.join(y, "gram").where(fits if right is not None else fits & (F.col("a") < F.col("b")))
-    return pairs.select("a", "b").distinct()
+    rows = texts.select("text", "head", F.lower("text").alias("low")).where("text is not null").distinct()
+    sizes = rows.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    own = rows.join(sizes, "head").withColumn("own", F.pmod(F.xxhash64("text"), F.col("cells")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
+        F.pmod(F.xxhash64("head"), F.lit(GROUP_PARTS)).alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "head", "text", "low"
+    )
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
+        pdf = pdf.sort_values(["head", "text"])
+        counts = pdf["head"].value_counts(sort=False).sort_index()
+        part = pd.Series((counts.cumsum() - 1) // TOGETHER, index=counts.index)
+        out: list[tuple] = []
+        for _, some in pdf.groupby(pdf["head"].map(part), sort=False):
+            one, other = (some, some) if i == j else (some[some["own"] == i], some[some["own"] == j])
+            p, q = likely_pairs(one["low"].tolist(), other["low"].tolist(), least)
+            (a, b), (h, k) = ((one[c].to_numpy(dtype=object)[p], other[c].to_numpy(dtype=object)[q]) for c in ("text", "head"))
+            out += [(min(s, t), max(s, t)) for s, t, u, v in zip(a, b, h, k) if u == v and (i < j or s < t)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return met.repartition(GROUP_PARTS, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, "a string, b string")
 
 
 def digit_conflict(a: str | Column, b: str | Column, least: float = 0.6) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import names as N
@@ -110,13 +110,9 @@ def r12(t: Tables) -> DataFrame:
 
 
 def _audit_pairs(t: Tables, least: float) -> DataFrame:
-    """Pairs of names of one three-letter block with a ratio of ``least``; large blocks too, a block's pairs spread over cells by name."""
-    rows = _players(t).where("matches_played >= 2").withColumn("block", F.lower(F.substring("player", 1, 3)))
-    cells = F.ceil(F.count("*").over(Window.partitionBy("block")) / 50)
-    rows = rows.withColumn("cells", cells).withColumn("cell", F.pmod(F.xxhash64("player"), F.col("cells")))
-    a = rows.select("block", "cell", F.col("player").alias("a"))
-    b = rows.select("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("player").alias("b"))
-    pairs = a.join(b, ["block", "cell"]).where("a < b").where(S.length_bound("a", "b", least))
+    """Pairs of names of one three-letter block with a ratio of ``least``; large blocks too (``prefix_pairs``)."""
+    names = _players(t).where("matches_played >= 2").select(F.col("player").alias("text"), F.lower(F.substring("player", 1, 3)).alias("head"))
+    pairs = S.prefix_pairs(names, least)
     return pairs.select("a", "b", S.ratio(F.lower("a"), F.lower("b")).alias("r")).where(F.col("r") >= least).select("a", "b", F.round("r", 6).alias("ratio"))
 
 

@@ -150,3 +150,37 @@ def test_tightened_zone(spark):
     boxes = spark.createDataFrame([("s", 0.3, 0.15, 0.6, 0.16), ("s", 0.05, 0.15, 0.6, 0.2)], zone.schema)
     got = {r.s: tuple(round(v, 6) for v in r[1:]) for r in E.tighten_zone(zone, boxes, "s").collect()}
     assert got == {"s": (0.28, 0.13, 0.62, 0.18), "t": (0.0, 0.0, 1.0, 0.2)}
+
+
+def _alike(seed: int, heads: list[str], count: int) -> list[str]:
+    import random
+
+    rnd = random.Random(seed)
+    names = {rnd.choice(heads) + "".join(rnd.choice("bdklmnrtv") + rnd.choice("aeiou") for _ in range(4)) + f"{rnd.randrange(10_000)}" for _ in range(count)}
+    return sorted(names | {n[:-3] + "x" + n[-2:] for n in list(names)[::9]})
+
+
+def test_prefixes_of_many_names_leave_few_pairs_to_compare(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from feedloom.functions import similarity as S
+
+    monkeypatch.setattr(S, "CELL", 60)
+    names = _alike(2, ["Quiet_", "quick_", "mar", "Tin"], 400)
+    texts = spark.createDataFrame([(n, n[:3].lower()) for n in names], "text string, head string")
+    pairs = [(a, b) for a in names for b in names if a < b and a[:3].lower() == b[:3].lower()]
+    want = {(a, b) for a, b in pairs if SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.8}
+    got = [tuple(r) for r in S.prefix_pairs(texts, 0.8).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) < 1.5 * len(want) < len(pairs) / 20 and len(want) > 40
+
+
+def test_common_letter_pairs_leave_few_pairs_to_compare(spark, monkeypatch):
+    from difflib import SequenceMatcher
+
+    from feedloom.functions import similarity as S
+
+    monkeypatch.setattr(S, "LEAST_BLOCK", 100)
+    names = _alike(3, ["Quiet_", "mar", "Tin", "long-"], 350)
+    want = {(a, b) for a in names for b in names if a < b and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.82}
+    got = [tuple(r) for r in S.candidate_pairs(spark.createDataFrame([(n,) for n in names], "text string"), None, 0.82).collect()]
+    assert want <= set(got) and len(got) == len(set(got)) < 2 * len(want) and len(want) > 30
