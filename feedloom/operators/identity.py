@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.names import identity_key
-from feedloom.functions.similarity import candidate_pairs, length_bound, possible_pairs, ratio, ratio_of
+from feedloom.functions.similarity import candidate_pairs, possible_pairs, prefix_pairs, ratio, ratio_of
 
 
 def choose_canonical(players: DataFrame, cluster: str) -> DataFrame:
@@ -50,17 +50,11 @@ SAME_PREFIX, OTHER_PREFIX = 0.70, 0.82
 def similar_names(players: DataFrame) -> DataFrame:
     """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82; the player of more matches first.
 
-    Names with a common prefix meet under it, spread over cells where many have
-    one; all others under their rarest letter pairs (``candidate_pairs``). No
-    pair is lost to either.
+    Names with a common prefix meet under it, all others in pairs of blocks;
+    what upper bounds of the ratio leave is compared. No pair is lost to them.
     """
     n = players.select("player", F.coalesce("matches_played", F.lit(0)).alias("matches"), F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
-    head = n.withColumn("head", F.substring("low", 1, 3))
-    sizes = head.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("cells"))
-    celled = head.join(sizes, "head").withColumn("cell", F.pmod(F.xxhash64("player"), F.col("cells")))
-    left = celled.select("head", "cell", F.col("player").alias("a"))
-    right = celled.select("head", F.explode(F.sequence(F.lit(0).cast("long"), F.col("cells") - 1)).alias("cell"), F.col("player").alias("b"))
-    by_prefix = left.join(right, ["head", "cell"]).where("a < b").where(length_bound(F.col("a"), F.col("b"), SAME_PREFIX)).select("a", "b")
+    by_prefix = prefix_pairs(n.select(F.col("player").alias("text"), F.substring("low", 1, 3).alias("head")), SAME_PREFIX)
     others = candidate_pairs(n.select(F.col("player").alias("text")), None, OTHER_PREFIX)
     side = lambda s: n.select(F.col("player").alias(s), F.col("matches").alias(f"matches_{s}"), F.col("low").alias(f"low_{s}"))
     pairs = by_prefix.unionByName(others).distinct().join(side("a"), "a").join(side("b"), "b")
