@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from feedloom.functions import fixed as V
 from feedloom.functions.similarity import candidate_pairs, ratio, ratio_at_least, ratio_of
 from feedloom.functions.text import confusion_key, norm_untagged, stem
+from feedloom.session import materialize
 
 
 def nearest(col: str | Column, among: list[str], least: float, strictly: bool = False) -> Column:
@@ -106,11 +107,11 @@ def resolve(names: DataFrame, dictionary: DataFrame, least: float = 0.85, charac
         dictionary = dictionary.withColumn("pro", F.lit(False))
     entries = dictionary.groupBy("canonical").agg(F.max("seen").alias("seen"), F.max("protected").alias("protected"), F.max("pro").alias("pro"))
     sure = F.least(F.col("seen") / 10, F.lit(1.0))
-    distinct = names.select("name").where("name is not null").distinct()
+    distinct = materialize(names.select("name").where("name is not null").distinct(), "names")
     looked = distinct.join(entries.withColumn("name", F.col("canonical")), "name", "left")
     exact_score = F.when(F.col("protected"), F.lit(1.0)).otherwise(0.6 + 0.4 * sure)
     known = looked.where("canonical is not null and length(name) >= 4").select("name", "canonical", exact_score.alias("score"))
-    open_ = looked.where("canonical is null and length(name) >= 4").select("name", character_of("name", {}, characters).alias("who"))
+    open_ = materialize(looked.where("canonical is null and length(name) >= 4").select("name", character_of("name", {}, characters).alias("who")), "unknown-names")
     as_character = open_.where("who is not null").select("name", F.col("who").alias("canonical"), F.lit(1.0).alias("score"))
     unknown = open_.where("who is null").select("name")
     forms = dictionary.select("canonical", F.col("variant").alias("form")).unionByName(entries.select("canonical", F.col("canonical").alias("form"))).distinct()
