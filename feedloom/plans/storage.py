@@ -430,8 +430,8 @@ def j23(t: Tables) -> DataFrame:
     from feedloom.streaming.live import coverage
 
     source, out, state = (fresh_path(t.spark, x) for x in ("coverage-in", "coverage-out", "coverage-state"))
-    rows = t.feed_events.where("timestamp is not null and trim(streamer) <> ''")
-    rows.select("id", F.lower(F.trim("streamer")).alias("key"), F.col("timestamp").cast("timestamp").alias("ts"), "event_type").distinct().coalesce(4).write.parquet(source)
+    rows = t.feed_events.where("timestamp is not null and trim(streamer) <> '' and event_type in ('Knock', 'BleedOut')")
+    rows.select("id", F.lower(F.trim("streamer")).alias("key"), F.col("timestamp").cast("timestamp").alias("ts"), "event_type").distinct().write.parquet(source)
     events = t.spark.readStream.schema("id long, key string, ts timestamp, event_type string").parquet(source)
     pairs = coverage(events.where("event_type = 'Knock'"), events.where("event_type = 'BleedOut'"), lateness="60 days")
     pairs.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()

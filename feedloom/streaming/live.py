@@ -43,10 +43,18 @@ def live_sessions(events: DataFrame, gap: str = "90 seconds", lateness: str = "1
 
 
 def coverage(anchors: DataFrame, hits: DataFrame, before: str = "10 seconds", after: str = "9 seconds", lateness: str = "1 minute") -> DataFrame:
-    """Pairs of anchors and hits of a streamer from ``before`` to ``after`` around the anchor, by a stream-stream join."""
-    a = anchors.select(F.col("key"), F.col("ts").alias("at"), F.col("id").alias("anchor")).withWatermark("at", lateness)
+    """Pairs of anchors and hits of a streamer from ``before`` to ``after`` around the anchor, by a stream-stream join.
+
+    Its keys are streamers and slots of time as wide as the window: an anchor has one, a hit those of the anchors it can
+    belong to (two at most), so a row meets the rows of its slot only and not all that the state holds of its streamer.
+    """
+    spark = anchors.sparkSession
+    width = spark.sql(f"select unix_micros(timestamp_seconds(0) + interval {before} + interval {after})").first()[0]
+    slot = lambda at: F.floor(F.unix_micros(F.expr(at)) / F.lit(max(width, 1))).cast("long")
+    a = anchors.select(F.col("key"), F.col("ts").alias("at"), F.col("id").alias("anchor")).withWatermark("at", lateness).withColumn("slot", slot("at"))
     h = hits.select(F.col("key").alias("hit_key"), F.col("ts").alias("hit_at"), F.col("id").alias("hit")).withWatermark("hit_at", lateness)
-    near = F.expr(f"key = hit_key and hit_at >= at - interval {before} and hit_at <= at + interval {after}")
+    h = h.withColumn("hit_slot", F.explode(F.sequence(slot(f"hit_at - interval {after}"), slot(f"hit_at + interval {before}"))))
+    near = F.expr(f"key = hit_key and slot = hit_slot and hit_at >= at - interval {before} and hit_at <= at + interval {after}")
     return a.join(h, near).select("key", "anchor", "hit", "at", "hit_at")
 
 

@@ -184,3 +184,36 @@ def test_common_letter_pairs_leave_few_pairs_to_compare(spark, monkeypatch):
     want = {(a, b) for a in names for b in names if a < b and SequenceMatcher(None, a.lower(), b.lower()).ratio() >= 0.82}
     got = [tuple(r) for r in S.candidate_pairs(spark.createDataFrame([(n,) for n in names], "text string"), None, 0.82).collect()]
     assert want <= set(got) and len(got) == len(set(got)) < 2 * len(want) and len(want) > 30
+
+
+def test_names_are_read_once_to_be_resolved(spark):
+    from pyspark.sql import functions as F
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(name):
+        read.add(1)
+        return name
+
+    d = spark.createDataFrame([("Jimmy", "Jimmy", 20, False)], "canonical string, variant string, seen int, protected boolean")
+    names = spark.createDataFrame([("J1mmy",), ("Jimmy",), ("Nobody",)], "name string").select(counted("name").alias("name"))
+    got = {r.name: r.canonical for r in resolve(names, d, 0.75).collect()}
+    assert got == {"J1mmy": "Jimmy", "Jimmy": "Jimmy", "Nobody": "Nobody"} and read.value <= 6
+
+
+def test_live_coverage_meets_rows_of_its_slot_only(spark):
+    import random
+
+    from pyspark.sql import functions as F
+
+    from feedloom.streaming.live import coverage
+
+    rnd = random.Random(4)
+    edges = [0, 9 * S, 10 * S, 19 * S, 19 * S - 1, 9 * S + 1, -S, -10 * S, -10 * S - 1]
+    a, h = ([("k", k, us) for k, us in enumerate(edges + [rnd.randrange(-60 * S, 200 * S) for _ in range(80)])] for _ in range(2))
+    frame = lambda rows: spark.createDataFrame(rows, "key string, id long, us long").select("key", "id", F.timestamp_micros("us").alias("ts"))
+    got = coverage(frame(a), frame(h))
+    want = sorted((i, j) for _, i, s in a for _, j, t in h if s - 10 * S <= t <= s + 9 * S)
+    assert sorted((r.anchor, r.hit) for r in got.collect()) == want
+    assert "hit_slot" in got._jdf.queryExecution().sparkPlan().toString().split("Join")[1].split("\n")[0]
