@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions import fixed as V
-from feedloom.functions.similarity import candidate_pairs, ratio, ratio_at_least, ratio_of
+from feedloom.functions.similarity import candidate_pairs, ratio, ratio_if_at_least, ratio_of
 from feedloom.functions.text import confusion_key, norm_untagged, stem
 from feedloom.session import materialize
 
@@ -164,8 +164,8 @@ def resolve_in_time(rows: DataFrame, resolved: DataFrame) -> DataFrame:
                 hit = name
             else:
                 low = name.lower()
-                near = [n for n in recent if ratio_at_least(low, n.lower(), RECENT_LIKENESS)]
-                hit = max(near, key=lambda n: (ratio_of(low, n.lower()), recent[n], n), default=None)
+                near = [(r, at, n) for n, at in recent.items() if (r := ratio_if_at_least(low, n.lower(), RECENT_LIKENESS)) is not None]
+                hit = max(near)[2] if near else None
         canonical = hit or (row["_by_table"] if isinstance(row["_by_table"], str) else name)
         if isinstance(canonical, str) and len(canonical) >= 4:
             recent[canonical] = us

@@ -7,6 +7,7 @@ symmetric; callers decide about letter case and about which side comes first.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -32,6 +33,29 @@ def ratio_at_least(a: str, b: str, least: float) -> bool:
     return m.quick_ratio() >= least and m.ratio() >= least
 
 
+@lru_cache(maxsize=200_000)
+def letter_bits(text: str) -> int:
+    """A bit for each letter of a text, told from others of its kind by its number; two texts differ in the letters that one lacks."""
+    bits, seen = 0, {}
+    for c in text:
+        seen[c] = nth = seen.get(c, 0) + 1
+        bits ^= 1 << (ord(c) + 43 * nth) % 192
+    return bits
+
+
+@lru_cache(maxsize=200_000)
+def _ratio_again(a: str, b: str) -> float:
+    return SequenceMatcher(None, a, b).ratio()
+
+
+def ratio_if_at_least(a: str, b: str, least: float) -> float | None:
+    """``ratio_of(a, b)`` if it is ``least`` or more. Letters that one has and the other lacks decide most pairs; pairs that come again are known."""
+    if (letter_bits(a) ^ letter_bits(b)).bit_count() > (1 - least) * (len(a) + len(b)) + 1e-9:
+        return None
+    r = _ratio_again(a, b)
+    return r if r >= least else None
+
+
 class Target:
     """A text that many others are compared with: difflib indexes its second text only once."""
 

@@ -217,3 +217,16 @@ def test_live_coverage_meets_rows_of_its_slot_only(spark):
     want = sorted((i, j) for _, i, s in a for _, j, t in h if s - 10 * S <= t <= s + 9 * S)
     assert sorted((r.anchor, r.hit) for r in got.collect()) == want
     assert "hit_slot" in got._jdf.queryExecution().sparkPlan().toString().split("Join")[1].split("\n")[0]
+
+
+def test_ratio_with_a_bound_is_the_ratio():
+    import random
+
+    from feedloom.functions.similarity import ratio_if_at_least, ratio_of
+
+    rnd = random.Random(6)
+    texts = ["".join(rnd.choice("abcé1 漢") for _ in range(rnd.randrange(1, 12))) for _ in range(60)]
+    for a in texts:
+        for b in texts:
+            r = ratio_of(a, b)
+            assert ratio_if_at_least(a, b, 0.7) == (r if r >= 0.7 else None)
