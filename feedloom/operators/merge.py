@@ -1,11 +1,10 @@
 """The same match seen by several streams, merged into one.
 
-Views that overlap in time are compared pair by pair, each pair a task of the
-size of two matches. Only pairs that share a line (similar names, close in
-time) can ever be merged, directly or after others, so the graph of these pairs
-falls into the groups of views that show one match; overlap alone would tie all
-views of a busy hour together. Each group is then merged by one task, whose
-size is that of the views of one match.
+Only views that share a line (similar names, close in time) can ever be merged,
+directly or after others, so lines are compared in spans of time, and the graph
+of the views whose lines are alike falls into the groups that show one match;
+overlap alone would tie all views of a busy hour together. Groups stream by,
+sorted, and each is merged on its own; its size is that of the views of one match.
 
 Inside a group the order matters: of all pairs that can be united the first in
 the order of the streams' first kill and of time is, then all again. What once
@@ -15,23 +14,24 @@ could not be united is not tried again before one of the two has changed.
 from __future__ import annotations
 
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
 from dataclasses import dataclass, field, replace
-from itertools import combinations
+from itertools import combinations, groupby
 from statistics import median
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from feedloom.functions.similarity import ratio_at_least, ratio_of
+from feedloom.functions.similarity import likely_pairs, ratio_at_least, ratio_if_at_least
 from feedloom.operators.graph import components
-from feedloom.operators.joins import overlapping
+from feedloom.session import materialize
 
 # Clocks of two streams are so far apart at most, spans may be, lines are so similar, and so many are shared.
 SKEW_US, SLOP_US, SIMILARITY, LEAST_SHARED = 60_000_000, 120_000_000, 0.75, 3
 #: Merging shifts clocks, so ends and lines may move; candidates take in that much more.
 MARGIN_US = 300_000_000
-LONGEST_US = 1_800_000_000
 
 
 @dataclass
@@ -72,7 +72,8 @@ class Lines:
 
     def __init__(self, events: list[Seen]):
         self.events = events
-        self.by_time = sorted((e.us, k) for k, e in enumerate(events) if e.line)
+        self.lines = [e.line for e in events]
+        self.by_time = sorted((e.us, k) for k, e in enumerate(events) if self.lines[k])
         self.times = [us for us, _ in self.by_time]
         self.taken: set[int] = set()
 
@@ -85,8 +86,8 @@ class Lines:
         """The most similar free event, the first of equals."""
         best, at = 0.0, None
         for k in self.near(us, SKEW_US):
-            other = self.events[k].line
-            if ratio_at_least(line, other, max(SIMILARITY, best)) and (r := ratio_of(line, other)) > best:
+            r = ratio_if_at_least(line, self.lines[k], max(SIMILARITY, best))
+            if r is not None and r > best:
                 best, at = r, k
         if at is None:
             return None
@@ -101,14 +102,6 @@ def shared_events(left: list[Seen], right: list[Seen]) -> list[tuple[Seen, Seen]
     return [(a, b) for a, b in found if b is not None]
 
 
-def share_a_line(left: list[Seen], right: list[Seen]) -> bool:
-    """Whether a merge could ever find a common line, whatever clocks are shifted by."""
-    lines = Lines(right)
-    return any(
-        ratio_at_least(e.line, right[k].line, SIMILARITY) for e in left if e.line for k in lines.near(e.us, SKEW_US + MARGIN_US)
-    )
-
-
 def unite(first: View, second: View) -> View | None:
     """``second`` put on the clock of ``first`` by the median offset of what they share, if that is enough. Shared kills keep the better confidences."""
     offsets = [b.us - a.us for a, b in shared_events(first.events, second.events)]
@@ -158,48 +151,78 @@ def merge_views(views: list[View]) -> list[View]:
 MERGED = "match_id string, streamer string, id long, us long, attacker string, victim string, kill_order int, attacker_conf double, victim_conf double, merged_from string"
 
 
-def _seen(rows: pd.DataFrame) -> list[tuple[bool, Seen]]:
-    name = lambda x: x if isinstance(x, str) else None
-    columns = ["is_kill", "us", "id", "attacker", "victim", "attacker_conf", "victim_conf"]
-    return [(k, Seen(u, i, name(a), name(v), ac, vc)) for k, u, i, a, v, ac, vc in rows.sort_values(["us", "id"])[columns].itertuples(index=False)]
-
+def mergeable_pairs(events: DataFrame) -> DataFrame:
+    """(a, b), a < b: views of two streams that share a line: a merge could find one, whatever clocks are shifted by. ``events`` have match_id.
 
-def mergeable_pairs(events: DataFrame, spans: DataFrame) -> DataFrame:
-    """(a, b): views of two streams that overlap and share a line. ``events`` have match_id; each pair is one small group."""
-    pairs = overlapping(spans.select("match_id", "key", "s", "e"), "s", "e", "match_id", MARGIN_US, LONGEST_US)
-    pairs = pairs.where("key_a <> key_b").select(F.col("match_id_a").alias("a"), F.col("match_id_b").alias("b"))
-    lines = events.where("attacker is not null and victim is not null").select("match_id", "us", "id", "attacker", "victim")
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("match_id"))
+    Lines meet in spans of time as wide as the window, each with those of its own span and of the one before, where
+    letters and common subsequences leave few to compare (``likely_pairs``).
+    """
+    reach = SKEW_US + MARGIN_US
+    line = F.concat_ws("|", "attacker", "victim")
+    lines = events.where("attacker is not null and victim is not null").select("match_id", "key", "us", line.alias("line"))
+    span = F.floor(F.col("us") / reach).cast("long")
+    met = lines.withColumn("own", span).withColumn("span", F.explode(F.array(F.col("own"), F.col("own") + 1)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf["a"].iloc[0], pdf["b"].iloc[0]
-        left, right = ([Seen(*r) for r in pdf[pdf["match_id"] == m][["us", "id", "attacker", "victim"]].itertuples(index=False)] for m in (a, b))
-        return pd.DataFrame([(a, b)] if share_a_line(left, right) else [], columns=["a", "b"])
-
-    return sides.join(lines, "match_id").groupBy("a", "b").applyInPandas(run, "a string, b string")
+        pdf = pdf.sort_values(["match_id", "us", "line"], kind="stable")
+        lines = [t.lower() for t in pdf["line"]]
+        own = np.flatnonzero(pdf["own"].to_numpy() == pdf["span"].to_numpy())
+        p, q = likely_pairs([lines[k] for k in own], lines, SIMILARITY)
+        p = own[p]
+        us, (views, _), (keys, _) = pdf["us"].to_numpy(), pd.factorize(pdf["match_id"], sort=True), pd.factorize(pdf["key"])
+        near = (np.abs(us[p] - us[q]) <= reach) & (keys[p] != keys[q])
+        p, q = p[near], q[near]
+        first = views[p] < views[q]
+        p, q = np.where(first, p, q), np.where(first, q, p)
+        ids, found = pdf["match_id"].tolist(), set()
+        for i, j in zip(p.tolist(), q.tolist()):
+            pair = (ids[i], ids[j])
+            if pair not in found and (ratio_at_least(lines[i], lines[j], SIMILARITY) or ratio_at_least(lines[j], lines[i], SIMILARITY)):
+                found.add(pair)
+        return pd.DataFrame(sorted(found), columns=["a", "b"], dtype=object)
+
+    return met.groupBy("span").applyInPandas(run, "a string, b string").distinct()
 
 
 def merge_matches(events: DataFrame, least_kills: int = 3) -> DataFrame:
     """Kills of the merged matches, from the chunked events of ``matches.match_events``; short matches are dropped after merging."""
+    events = materialize(events, "match-events")
     kills = events.where("is_kill")
     match = ["key", "session", "chunk"]
-    spans = kills.groupBy(*match).agg(F.min("us").alias("s"), F.max("us").alias("e"))
+    spans = kills.groupBy(*match).agg(F.min("us").alias("s"))
     spans = spans.withColumn("match_id", F.concat_ws("_", "key", F.floor(F.col("s") / 1_000_000).cast("long"), "chunk"))
     placed = events.join(spans, match)
-    groups = components(mergeable_pairs(placed, spans))
+    groups = components(mergeable_pairs(placed))
     first = kills.groupBy("key").agg(F.min("us").alias("opened"))
     placed = placed.join(groups.withColumnRenamed("member", "match_id"), "match_id", "left").withColumn("group", F.coalesce("group", "match_id"))
+    order = ["group", "opened", "key", "s", "match_id", "us", "id"]
+    columns = [*order, "is_kill", "attacker", "victim", "attacker_conf", "victim_conf"]
+    name = lambda x: x if isinstance(x, str) else None
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+    def merged(rows: Iterator[tuple]) -> list[tuple]:
         views = []
-        for _, part in pdf.sort_values(["opened", "key", "s", "match_id"]).groupby(["opened", "key", "s", "match_id"], sort=False):
-            seen = _seen(part)
-            views.append(View(part["match_id"].iloc[0], part["key"].iloc[0], [e for k, e in seen if k], [e for k, e in seen if not k]))
-        rows = []
+        for (_, _, key, _, match_id), part in groupby(rows, key=lambda r: r[:5]):
+            seen = [(r[7], Seen(r[5], r[6], name(r[8]), name(r[9]), r[10], r[11])) for r in part]
+            views.append(View(match_id, key, [e for k, e in seen if k], [e for k, e in seen if not k]))
+        out = []
         for v in merge_views(views):
             if len(v.kills) >= least_kills:
-                name = f"{v.streamer}_{v.span[0] // 1_000_000}"
-                rows += [(name, v.streamer, e.id, e.us, e.attacker, e.victim, n, e.attacker_conf, e.victim_conf, ",".join(v.merged)) for n, e in enumerate(v.kills, 1)]
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in MERGED.split(", ")])
+                title = f"{v.streamer}_{v.span[0] // 1_000_000}"
+                out += [(title, v.streamer, e.id, e.us, e.attacker, e.victim, n, e.attacker_conf, e.victim_conf, ",".join(v.merged)) for n, e in enumerate(v.kills, 1)]
+        return out
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Groups lie sorted in a partition and stream by, one in memory at a time."""
+        rows = (row for pdf in batches for row in pdf.itertuples(index=False, name=None))
+        waiting: list[tuple] = []
+        for _, part in groupby(rows, key=lambda r: r[0]):
+            waiting += merged(part)
+            if len(waiting) >= ROWS_AT_ONCE:
+                yield pd.DataFrame(waiting, columns=[c.split()[0] for c in MERGED.split(", ")], dtype=object)
+                waiting = []
+        yield pd.DataFrame(waiting, columns=[c.split()[0] for c in MERGED.split(", ")], dtype=object)
+
+    return placed.join(first, "key").select(*columns).repartition("group").sortWithinPartitions(*order).mapInPandas(run, MERGED)
+
 
-    return placed.join(first, "key").groupBy("group").applyInPandas(run, MERGED)
+ROWS_AT_ONCE = 10_000

@@ -39,3 +39,13 @@ def test_period_update_is_the_published_example(spark):
     results = spark.createDataFrame([("me", "x", 1.0), ("me", "y", 0.0), ("me", "z", 0.0)], "player string, opponent string, score double")
     got = {r.player: (round(r.elo, 3), round(r.rd, 3), round(r.vol, 6)) for r in period_update(ratings, results).collect()}
     assert got["me"] == (964.051, 151.517, 0.059996) and got["idle"] == (990.0, 80.0, 0.06)
+
+
+def test_views_that_share_a_line_are_found_without_their_overlaps(spark):
+    from feedloom.operators.merge import MARGIN_US, SKEW_US, mergeable_pairs
+
+    reach = SKEW_US + MARGIN_US
+    rows = [("a", "x", reach - 5, "Anna_Long", "Berta_42"), ("b", "y", reach + 5, "anna_long", "berta_4Z"), ("c", "y", 2 * reach - 4, "Anna_Long", "Berta_42")]
+    rows += [("d", "x", 0, "Anna_Long", "Berta_42"), ("e", "z", reach, "Somebody", "Other"), ("f", "z", -reach, "Anna_Long", "Berta_42"), ("f", "z", 9, None, "Other")]
+    got = mergeable_pairs(spark.createDataFrame(rows, "match_id string, key string, us long, attacker string, victim string"))
+    assert sorted(tuple(r) for r in got.collect()) == [("a", "b"), ("d", "f")]
