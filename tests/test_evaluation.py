@@ -230,3 +230,13 @@ def test_ratio_with_a_bound_is_the_ratio():
         for b in texts:
             r = ratio_of(a, b)
             assert ratio_if_at_least(a, b, 0.7) == (r if r >= 0.7 else None)
+
+
+def test_clusters_over_several_blocks(spark, monkeypatch):
+    from feedloom.functions import similarity as S
+
+    monkeypatch.setattr(S, "LEAST_BLOCK", 5)
+    names = [f"{c}ongname{k}{k}{k}{c}" for c in "bdfg" for k in range(4)]
+    rows = [(n, 5) for n in names] + [("x" + n[1:-1].upper() + n[-1], 1) for n in names]
+    got = {r.player: r.canonical for r in cluster_names(spark.createDataFrame(rows, "player string, matches_played int"), CHARACTERS).collect()}
+    assert len(got) == 2 * len(names) - len(set(got.values())) and all(k in got for k, n in rows if n == 1 and k not in got.values())
