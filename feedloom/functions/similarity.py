@@ -6,6 +6,7 @@ symmetric; callers decide about letter case and about which side comes first.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import lru_cache
 
@@ -133,13 +134,10 @@ def _common_letters(x: np.ndarray, y: np.ndarray, p: np.ndarray, q: np.ndarray)
 PAIRS_AT_ONCE = 200_000
 
 
-def likely_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all pairs that may reach a ratio of ``least``: what ``ratio`` matches is a common subsequence of both.
-
-    Lengths and letters come first (a few ns a pair: two words are compared), then the longest common subsequence.
-    """
+def likely_pieces(x: list[str], y: list[str], least: float, among: Callable[[np.ndarray, np.ndarray], np.ndarray] | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """``likely_pairs`` a piece at a time. ``among`` tells which pairs of a piece are asked for, before the costlier bound."""
     if not x or not y:
-        return np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+        return
     orders, sizes, letters, marks = [], [], [], []
     for side in (x, y):
         size, points = _letters(side)
@@ -148,7 +146,22 @@ def likely_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray,
             to.append(value)
         marks.append(_marks(sizes[-1], letters[-1]))
     (la, lb), (one, other) = sizes, (m[0] ^ m[1] for m in marks)
+
+    def judged(found: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        p, q = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+        if among is not None:
+            asked = among(orders[0][p], orders[1][q])
+            p, q = p[asked], q[asked]
+        able = np.ones(len(p), dtype=bool)
+        rows = np.flatnonzero((la[p] <= 64) & (la[p] > 0))
+        if len(rows):
+            i, j = p[rows], q[rows]
+            a, b = letters[0][:, : la[i].max()], letters[1][:, : max(1, lb[j].max())]
+            able[rows] = _common_letters(a, b, i, j) >= least * (la[i] + lb[j]) / 2 - 1e-9
+        return orders[0][p[able]], orders[1][q[able]]
+
     found: list[tuple[np.ndarray, np.ndarray]] = []
+    waiting = 0
     for n in np.unique(la):
         # Letters that one has and the other lacks, at most; lengths that allow no match are left out.
         spare = np.floor((1 - least) * (n + lb) + 1e-9)
@@ -166,19 +179,21 @@ def likely_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray,
             differ = np.bitwise_count(marks[0][0][p] ^ marks[1][0][q]).astype(np.int64) + np.bitwise_count(marks[0][1][p] ^ marks[1][1][q])
             keep = differ <= spare[q]
             found.append((p[keep], q[keep]))
-    p, q = (np.concatenate([f[k] for f in found] or [np.zeros(0, dtype=np.int64)]) for k in (0, 1))
-    keep = []
-    for k in range(0, len(p), PAIRS_AT_ONCE):
-        i, j = p[k : k + PAIRS_AT_ONCE], q[k : k + PAIRS_AT_ONCE]
-        need = least * (la[i] + lb[j]) / 2 - 1e-9
-        judged = np.flatnonzero((la[i] <= 64) & (la[i] > 0))
-        able = np.ones(len(i), dtype=bool)
-        if len(judged):
-            a, b = letters[0][:, : la[i[judged]].max()], letters[1][:, : max(1, lb[j[judged]].max())]
-            able[judged] = _common_letters(a, b, i[judged], j[judged]) >= need[judged]
-        keep.append(able)
-    keep = np.concatenate(keep) if keep else np.zeros(0, dtype=bool)
-    return orders[0][p[keep]], orders[1][q[keep]]
+            waiting += len(found[-1][0])
+            if waiting >= PAIRS_AT_ONCE:
+                yield judged(found)
+                found, waiting = [], 0
+    if waiting:
+        yield judged(found)
+
+
+def likely_pairs(x: list[str], y: list[str], least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all pairs that may reach a ratio of ``least``: what ``ratio`` matches is a common subsequence of both.
+
+    Lengths and letters come first (a few ns a pair: two words are compared), then the longest common subsequence.
+    """
+    pieces = [*likely_pieces(x, y, least), (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    return np.concatenate([p for p, _ in pieces]), np.concatenate([q for _, q in pieces])
 
 
 def possible_pairs(x: list[str], y: list[str], least: float) -> list[tuple[int, int]]:
@@ -258,6 +273,17 @@ def _blocks(n: int) -> int:
     return max(1, -(-n // BLOCK), min(LEAST_BLOCKS, -(-n // LEAST_BLOCK)))
 
 
+def _meet(texts: DataFrame, blocks: int) -> DataFrame:
+    """Rows of ``texts`` (text, own: its block, ...) in every group of two blocks i <= j; ``first`` are those of block i."""
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    met = texts.withColumn("other", other).withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other"))
+    return met.withColumn("first", F.col("own") <= F.col("other")).drop("own", "other")
+
+
+def _block_of(blocks: int) -> Column:
+    return F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")
+
+
 def candidate_pairs(left: DataFrame, right: DataFrame | None, least: float) -> DataFrame:
     """(a, b): all pairs of texts whose ratio without letter case can reach ``least``; of ``left`` alone each pair once, a < b.
 
@@ -268,14 +294,14 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None, least: float) -> D
     def placed(df: DataFrame) -> tuple[DataFrame, int]:
         texts = materialize(df.select("text", F.lower("text").alias("low")).where("length(low) > 0").distinct(), "texts")
         blocks = _blocks(texts.count())
-        return texts.withColumn("own", F.pmod(F.xxhash64("text"), F.lit(blocks)).cast("int")), blocks
+        return texts.withColumn("own", _block_of(blocks)), blocks
 
     def to_all(blocks: int) -> Column:
         return F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
 
     x, n = placed(left)
     if right is None:
-        rows = x.withColumn("other", to_all(n)).select("text", "low", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") <= F.col("other")).alias("first"))
+        rows = _meet(x, n)
     else:
         y, m = placed(right)
         rows = x.select("text", "low", F.col("own").alias("i"), to_all(m).alias("j"), F.lit(True).alias("first"))
@@ -301,25 +327,34 @@ def candidate_pairs(left: DataFrame, right: DataFrame | None, least: float) -> D
 CELL, TOGETHER = 4_000, 500
 
 
+def _meet_by_prefix(rows: DataFrame) -> DataFrame:
+    """Rows of ``rows`` (text, head, ...) in groups (bucket, i, j): of every two cells, i <= j, of a prefix; ``own`` is a row's cell."""
+    sizes = rows.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
+    own = rows.join(sizes, "head").withColumn("own", F.pmod(F.xxhash64("text"), F.col("cells")).cast("int"))
+    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1)))
+    met = met.withColumn("i", F.least("own", "other")).withColumn("j", F.greatest("own", "other")).drop("other", "cells")
+    return met.withColumn("bucket", F.pmod(F.xxhash64("head"), F.lit(GROUP_PARTS)))
+
+
+def _heads_together(heads: pd.Series) -> pd.Series:
+    """Numbers of the runs of heads to be compared at once, for ``heads`` in order."""
+    counts = heads.value_counts(sort=False).sort_index()
+    return heads.map(pd.Series((counts.cumsum() - 1) // TOGETHER, index=counts.index))
+
+
 def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
     """(a, b), a < b: all pairs of ``texts`` (text, head) with one head, their prefix, whose ratio without letter case can reach ``least``.
 
     A prefix of many names is dealt to cells, every two of which meet; prefixes of few names share their groups.
     """
     rows = texts.select("text", "head", F.lower("text").alias("low")).where("text is not null").distinct()
-    sizes = rows.groupBy("head").agg(F.ceil(F.count(F.lit(1)) / CELL).cast("int").alias("cells"))
-    own = rows.join(sizes, "head").withColumn("own", F.pmod(F.xxhash64("text"), F.col("cells")).cast("int"))
-    met = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("cells") - 1))).select(
-        F.pmod(F.xxhash64("head"), F.lit(GROUP_PARTS)).alias("bucket"), F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "head", "text", "low"
-    )
+    met = _meet_by_prefix(rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         i, j = int(pdf["i"].iloc[0]), int(pdf["j"].iloc[0])
         pdf = pdf.sort_values(["head", "text"])
-        counts = pdf["head"].value_counts(sort=False).sort_index()
-        part = pd.Series((counts.cumsum() - 1) // TOGETHER, index=counts.index)
         out: list[tuple] = []
-        for _, some in pdf.groupby(pdf["head"].map(part), sort=False):
+        for _, some in pdf.groupby(_heads_together(pdf["head"]), sort=False):
             one, other = (some, some) if i == j else (some[some["own"] == i], some[some["own"] == j])
             p, q = likely_pairs(one["low"].tolist(), other["low"].tolist(), least)
             (a, b), (h, k) = ((one[c].to_numpy(dtype=object)[p], other[c].to_numpy(dtype=object)[q]) for c in ("text", "head"))
@@ -329,6 +364,72 @@ def prefix_pairs(texts: DataFrame, least: float) -> DataFrame:
     return met.repartition(GROUP_PARTS, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, "a string, b string")
 
 
+def _forest(rows: pd.DataFrame, left: np.ndarray, right: np.ndarray, least: float) -> list[tuple[str, str]]:
+    """Pairs of ``tie`` that hold together what the similar rows of ``left`` and ``right`` (places) tie: fewer than there are ties.
+
+    A pair whose ties hold together already is not compared any more. Of two names that of more matches, or the first, is the first text.
+    """
+    node, ties = pd.factorize(rows["tie"])
+    node_of, head = node.tolist(), pd.factorize(rows["head"])[0] if "head" in rows else None
+    names = list(zip((-rows["matches"]).tolist(), rows["text"], rows["low"]))
+    parent, out = list(range(len(ties))), []
+
+    def top(k: int) -> int:
+        while parent[k] != k:
+            parent[k] = k = parent[parent[k]]
+        return k
+
+    def apart(p: np.ndarray, q: np.ndarray) -> np.ndarray:
+        roots = np.array(parent)
+        while ((up := roots[roots]) != roots).any():
+            roots = up
+        p, q = left[p], right[q]
+        asked = roots[node[p]] != roots[node[q]]
+        if left is right:
+            asked &= p < q
+        return asked if head is None else asked & (head[p] == head[q])
+
+    x, y = ([names[k][2] for k in side.tolist()] for side in (left, right))
+    for p, q in likely_pieces(x, y, least, apart):
+        for i, j in zip(left[p].tolist(), right[q].tolist()):
+            a, b = top(node_of[i]), top(node_of[j])
+            if a != b:
+                first, second = sorted((names[i], names[j]))
+                if ratio_of(first[2], second[2]) >= least:
+                    parent[b] = a
+                    out.append((ties[node_of[i]], ties[node_of[j]]))
+    return out
+
+
+TIES = "a string, b string"
+
+
+def prefix_ties(names: DataFrame, least: float) -> DataFrame:
+    """(a, b): what ties the names (text, low, head, matches, tie) of one head whose ratio reaches ``least``, as a forest in each group of ``prefix_pairs``."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        alone = pdf["i"].iloc[0] == pdf["j"].iloc[0]
+        pdf = pdf.sort_values(["head", "text"])
+        out: list[tuple] = []
+        for _, some in pdf.groupby(_heads_together(pdf["head"]), sort=False):
+            left = np.flatnonzero((some["own"] == some["i"]).to_numpy())
+            out += _forest(some, left, left if alone else np.flatnonzero((some["own"] == some["j"]).to_numpy()), least)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    return _meet_by_prefix(names).repartition(GROUP_PARTS, "bucket", "i", "j").groupBy("bucket", "i", "j").applyInPandas(run, TIES)
+
+
+def block_ties(names: DataFrame, least: float) -> DataFrame:
+    """(a, b): what ties the names (text, low, matches, tie) whose ratio reaches ``least``, as a forest in each group of ``candidate_pairs``."""
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf["first"].to_numpy(dtype=bool)
+        left = np.flatnonzero(first)
+        out = _forest(pdf, left, left if first.all() else np.flatnonzero(~first), least)
+        return pd.DataFrame(out, columns=["a", "b"], dtype=object)
+
+    blocks = _blocks(names.count())
+    return _meet(names.withColumn("own", _block_of(blocks)), blocks).repartition(GROUP_PARTS, "i", "j").groupBy("i", "j").applyInPandas(run, TIES)
+
+
 def digit_conflict(a: str | Column, b: str | Column, least: float = 0.6) -> Column:
     """Both end in three or more digits that don't resemble each other: two different players."""
     end = lambda c: F.regexp_extract(c, "([0-9]{3,})$", 1)

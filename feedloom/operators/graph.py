@@ -27,16 +27,18 @@ def _at_once(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"member": list(parent), "group": [top(x) for x in parent]})
 
 
-def components(edges: DataFrame, at_once: int = 200_000) -> DataFrame:
+def components(edges: DataFrame, at_once: int = 200_000, members: int | None = None) -> DataFrame:
     """(member, group) of undirected ``edges`` (a, b); the group is the smallest member.
 
-    Up to ``at_once`` edges (counted first) are united in one task. Beyond that
+    Up to ``at_once`` edges (counted first) are united in one task, and so are
+    any between no more ``members``, if that bound is known, than so many edges
+    can have: edges stream by, only members are held. Beyond that
     large-star and small-star steps connect every node with the smallest of its
     neighbourhood until only stars remain; each step is two aggregations, and a
     node's edges are never gathered in one row.
     """
     now = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    if now.count() <= at_once:
+    if now.count() <= at_once or (members is not None and members <= 2 * at_once):
         kind = now.schema["a"].dataType.simpleString()
         return now.repartition(1).mapInPandas(_at_once, f"member {kind}, group {kind}")
     while True:

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from feedloom.functions.names import identity_key
-from feedloom.functions.similarity import candidate_pairs, possible_pairs, prefix_pairs, ratio, ratio_of
+from feedloom.functions.similarity import block_ties, candidate_pairs, possible_pairs, prefix_pairs, prefix_ties, ratio, ratio_of
+from feedloom.session import materialize
 
 
 def choose_canonical(players: DataFrame, cluster: str) -> DataFrame:
@@ -47,13 +48,17 @@ LEAST_LENGTH = 4
 SAME_PREFIX, OTHER_PREFIX = 0.70, 0.82
 
 
+def _long_names(players: DataFrame) -> DataFrame:
+    return players.select("player", F.coalesce("matches_played", F.lit(0)).alias("matches"), F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
+
+
 def similar_names(players: DataFrame) -> DataFrame:
     """Pairs (a, b) of names whose ratio reaches 0.70 with a common three-letter prefix, else 0.82; the player of more matches first.
 
     Names with a common prefix meet under it, all others in pairs of blocks;
     what upper bounds of the ratio leave is compared. No pair is lost to them.
     """
-    n = players.select("player", F.coalesce("matches_played", F.lit(0)).alias("matches"), F.lower("player").alias("low")).where(F.length("low") >= LEAST_LENGTH)
+    n = _long_names(players)
     by_prefix = prefix_pairs(n.select(F.col("player").alias("text"), F.substring("low", 1, 3).alias("head")), SAME_PREFIX)
     others = candidate_pairs(n.select(F.col("player").alias("text")), None, OTHER_PREFIX)
     side = lambda s: n.select(F.col("player").alias(s), F.col("matches").alias(f"matches_{s}"), F.col("low").alias(f"low_{s}"))
@@ -115,10 +120,19 @@ def base_token_edges(players: DataFrame) -> DataFrame:
 
 
 def cluster_names(ratings: DataFrame, characters: list[str]) -> DataFrame:
-    """(player, canonical) of names that are not their own canonical form."""
+    """(player, canonical) of names that are not their own canonical form.
+
+    Groups are those of the pairs of ``similar_names`` and of both kinds of edges, but the pairs are never listed, as their number
+    grows with the square of the names: groups of names leave only what ties them (``prefix_ties``, then ``block_ties`` over what is tied by then).
+    """
     from feedloom.operators.graph import components
 
-    edges = similar_names(ratings).unionByName(key_edges(ratings, characters)).unionByName(base_token_edges(ratings))
-    groups = components(edges)
+    known = ratings.count()
+    n = _long_names(ratings).select(F.col("player").alias("text"), "low", "matches").distinct()
+    by_prefix = prefix_ties(n.withColumn("tie", F.col("text")).withColumn("head", F.substring("low", 1, 3)), SAME_PREFIX)
+    near = materialize(components(by_prefix.unionByName(key_edges(ratings, characters)).unionByName(base_token_edges(ratings)), members=known), "near")
+    tied = n.join(near.select(F.col("member").alias("text"), "group"), "text", "left").withColumn("tie", F.coalesce("group", "text")).drop("group")
+    far = block_ties(materialize(tied, "names"), OTHER_PREFIX)
+    groups = components(near.select(F.col("member").alias("a"), F.col("group").alias("b")).unionByName(far), members=known)
     named = ratings.select("player", "matches_played").join(groups.withColumnRenamed("member", "player"), "player")
     return named.join(choose_canonical(named, "group"), "group").where("player <> canonical").select("player", "canonical")

@@ -1,7 +1,7 @@
 from feedloom.functions.fixed import CHARACTERS
 from feedloom.functions.names import resolve, resolve_in_time
 from feedloom.operators import evaluation as E
-from feedloom.operators.identity import cluster_names
+from feedloom.operators.identity import cluster_names, key_edges
 from feedloom.operators.joins import nearest, overlapping, within
 from feedloom.operators.quality import snapshot_diff
 
@@ -240,3 +240,59 @@ def test_clusters_over_several_blocks(spark, monkeypatch):
     rows = [(n, 5) for n in names] + [("x" + n[1:-1].upper() + n[-1], 1) for n in names]
     got = {r.player: r.canonical for r in cluster_names(spark.createDataFrame(rows, "player string, matches_played int"), CHARACTERS).collect()}
     assert len(got) == 2 * len(names) - len(set(got.values())) and all(k in got for k, n in rows if n == 1 and k not in got.values())
+
+
+def _clusters_by_hand(rows, edges):
+    """Groups of the names from all pairs and further ``edges``."""
+    from difflib import SequenceMatcher
+
+    parent = {n: n for n, _ in rows}
+
+    def top(n):
+        return n if parent[n] == n else top(parent[n])
+
+    for a, b in edges:
+        parent[top(b)] = top(a)
+    rows = [(n, m or 0) for n, m in rows]
+    for a, m in rows:
+        for b, k in rows:
+            if a < b and min(len(a), len(b)) >= 4:
+                x, y = (a.lower(), b.lower()) if m >= k else (b.lower(), a.lower())
+                if SequenceMatcher(None, x, y).ratio() >= (0.70 if x[:3] == y[:3] else 0.82):
+                    parent[top(b)] = top(a)
+    groups = {}
+    for n in parent:
+        groups.setdefault(top(n), set()).add(n)
+    return {frozenset(g) for g in groups.values() if len(g) > 1}
+
+
+def test_clusters_are_those_of_all_pairs(spark, monkeypatch):
+    import random
+
+    from feedloom.functions import similarity as S
+
+    for name, value in (("LEAST_BLOCK", 40), ("CELL", 7), ("PAIRS_AT_ONCE", 50)):
+        monkeypatch.setattr(S, name, value)
+    rnd = random.Random(11)
+    names = {"".join(rnd.choice("bdfgBD") for _ in range(rnd.randrange(2, 9))) for _ in range(130)}
+    names |= {"pre" + "".join(rnd.choice("kmpt") for _ in range(rnd.randrange(2, 6))) for _ in range(40)}
+    rows = [(n, rnd.choice([None, 0, 1, 5])) for n in sorted(names)]
+    rows += [(n, 3) for n, _ in rows[::9]]  # repeated, with other matches
+    df = spark.createDataFrame(rows, "player string, matches_played int")
+    members = {}
+    for r in cluster_names(df, []).collect():
+        members.setdefault(r.canonical, {r.canonical}).add(r.player)
+    assert {frozenset(g) for g in members.values()} == _clusters_by_hand(rows, key_edges(df, []).collect())
+
+
+def test_clusters_of_many_alike_names_leave_few_edges(spark, monkeypatch):
+    from feedloom.functions import similarity as S
+    from feedloom.operators import graph
+
+    monkeypatch.setattr(S, "LEAST_BLOCK", 100)
+    seen, components = [], graph.components
+    monkeypatch.setattr(graph, "components", lambda edges, *a, **k: seen.append(edges.count()) or components(edges, *a, **k))
+    names = [f"{c}olden{k:03d}marionette" for c in "bg" for k in range(150)]
+    got = cluster_names(spark.createDataFrame([(n, 5) for n in names], "player string, matches_played int"), []).collect()
+    assert len(got) == len(names) - 1 and {r.canonical for r in got} == {names[0]}
+    assert max(seen) < 3 * len(names)  # 44,850 pairs
